@@ -1,208 +1,215 @@
-"""Exact interpolated quantiles that do not need a whole column in one task.
+"""Column summaries and exact quantiles over tables of any size.
 
-``percentile`` keeps every distinct value of a column in one reducer, which is the right plan for a
-small table only. Larger tables are narrowed down: a mergeable sketch brackets the wanted rank, a
-counting pass makes the bracket exact, and this repeats until what is inside fits one reducer.
-Nothing is shuffled but sketches and counts.
+``percentile`` keeps every distinct value of a column in one reducer. Here a column is narrowed down
+instead: values are counted in equal-width bins, the bin that holds the wanted rank is cut into bins
+again, and so on until the value is known. Every round is one scan with map-side counting; what moves
+is bins times columns, never values. All columns go through a round together, in long form, which also
+keeps the generated code small however wide the table is.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Values one reducer may hold when an exact ``percentile`` runs over them.
-CELL_LIMIT = 8_000_000
-#: Quantile sketch: relative rank error 1/ACCURACY, read at GRID + 1 even probabilities.
-ACCURACY = 10_000
-GRID = 500
+#: Bins per bracket and round.
+BINS = 1024
+#: Values that are fetched as they are instead of being counted in bins once more.
+FETCH_LIMIT = 50_000
 
+_ID, _VALUE = "_id", "_value"
 
-@dataclass
-class _Bracket:
-    """The order statistic ``rank`` of ``column`` lies in ``[low, high]``; None is an open side."""
 
-    column: str
-    rank: int
+@dataclass(frozen=True)
+class Summary:
+    """One column: rows, values (rows that are not NULL), moments, finite extremes, infinities."""
+
+    rows: int = 0
+    values: int = 0
+    mean: float | None = None
+    variance: float | None = None
     low: float | None = None
     high: float | None = None
-    value: float | None = None
+    below: int = 0
+    above: int = 0
+
+
+@dataclass
+class _Bracket:
+    """Values of ``column`` in ``[low, high]``, the first of them at rank ``start``."""
 
-    def inside(self) -> Column:
-        c = F.col(self.column)
-        keep = c.isNotNull()
-        if self.low is not None:
-            keep = keep & (c > F.lit(self.low))
-        if self.high is not None:
-            keep = keep & (c < F.lit(self.high))
-        return keep
+    column: str
+    low: float
+    high: float
+    start: int
+    count: int
+    ranks: set[int] = field(default_factory=set)
+
+
+def long_form(df: DataFrame, values: Sequence[Column | str]) -> DataFrame:
+    """One row per row and expression: its position and its value."""
+    return df.select(F.posexplode(F.array(*values)).alias(_ID, _VALUE))
+
+
+def summarize(
+    df: DataFrame, columns: Sequence[str], *, moments: bool = False
+) -> dict[str, Summary]:
+    """Summaries of DOUBLE columns in one pass; ``moments`` adds mean and population variance."""
+    v = F.col(_VALUE)
+    finite = F.when(F.abs(v) < F.lit(float("inf")), v)
+    wanted = [
+        F.count(F.lit(1)).alias("rows"),
+        F.count(v).alias("values"),
+        F.min(finite).alias("low"),
+        F.max(finite).alias("high"),
+        F.count_if(v == F.lit(float("-inf"))).alias("below"),
+        F.count_if(v == F.lit(float("inf"))).alias("above"),
+    ]
+    if moments:
+        wanted += [F.avg(v).alias("mean"), F.var_pop(v).alias("variance")]
+    # One row per column comes back.
+    rows = long_form(df, [F.col(c).cast("double") for c in columns]).groupBy(_ID).agg(*wanted)
+    found = {c: Summary() for c in columns}
+    for r in rows.collect():
+        found[columns[r[_ID]]] = Summary(**{k: x for k, x in r.asDict().items() if k != _ID})
+    return found
 
 
 def exact_quantiles(
     df: DataFrame,
     probabilities: Mapping[str, Sequence[float]],
-    *,
-    n_rows: int | None = None,
-    cell_limit: int = CELL_LIMIT,
+    summaries: Mapping[str, Summary] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column, NULL skipped; ``None`` for an empty column."""
+    """Linearly interpolated quantiles per DOUBLE column, NULL skipped; None for an empty column.
+
+    ``summaries`` of the same frame save a pass.
+    """
     if not probabilities:
         return {}
-    if n_rows is None:
-        n_rows = df.count()
-    if n_rows <= cell_limit:
-        return _direct(df, probabilities, max(1, cell_limit // max(1, n_rows)))
-    return _narrowed(df, probabilities, cell_limit)
-
-
-def percentile_row(probabilities: Mapping[str, Sequence[float]]) -> list[Column]:
-    """One exact ``percentile`` aggregate per column, for tables known to be small."""
-    return [
-        F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in ps])).alias(c)
+    if summaries is None:
+        summaries = summarize(df, list(probabilities))
+    positions = {
+        c: [p * (summaries[c].values - 1) for p in ps if summaries[c].values]
         for c, ps in probabilities.items()
-    ]
-
-
-def _direct(df, probabilities, columns_per_job) -> dict[str, list[float | None]]:
-    names = list(probabilities)
-    found: dict[str, list[float | None]] = {}
-    for start in range(0, len(names), columns_per_job):
-        part = {c: probabilities[c] for c in names[start : start + columns_per_job]}
-        row = df.agg(*percentile_row(part)).first()
-        found.update({c: list(row[c]) if row[c] else [None] * len(ps) for c, ps in part.items()})
-    return found
+    }
+    ranks = {
+        c: sorted({r for at in positions[c] for r in (math.floor(at), math.ceil(at))})
+        for c in probabilities
+    }
+    values = order_statistics(df, ranks, summaries)
 
+    def interpolated(c: str, at: float) -> float:
+        low, high = values[c, math.floor(at)], values[c, math.ceil(at)]
+        return low if low == high else low + (high - low) * (at - math.floor(at))
 
-def _narrowed(df, probabilities, cell_limit) -> dict[str, list[float | None]]:
-    columns = list(probabilities)
-    grid = [i / GRID for i in range(GRID + 1)]
-    first = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(c, grid, ACCURACY).alias(f"g{i}") for i, c in enumerate(columns)],
-    ).first()
-    counts = {c: first[f"n{i}"] for i, c in enumerate(columns)}
-    brackets: dict[tuple[str, int], _Bracket] = {}
-    for i, c in enumerate(columns):
-        for p in probabilities[c]:
-            for rank in _ranks(p, counts[c]):
-                if (c, rank) not in brackets:
-                    bracket = brackets[c, rank] = _Bracket(c, rank)
-                    _read_grid(bracket, first[f"g{i}"], rank, counts[c])
-    resolve_ranks(df, list(brackets.values()), cell_limit)
     return {
-        c: [_interpolate(p, counts[c], lambda r, c=c: brackets[c, r].value) for p in ps]
+        c: [interpolated(c, at) for at in positions[c]] or [None] * len(ps)
         for c, ps in probabilities.items()
     }
 
 
 def order_statistics(
-    df: DataFrame, column: str, ranks: Sequence[int], *, cell_limit: int = CELL_LIMIT
-) -> dict[int, float]:
-    """Values at 0-based sorted positions of one DOUBLE column, without sorting it."""
-    brackets = [_Bracket(column, r) for r in dict.fromkeys(ranks)]
-    resolve_ranks(df, brackets, cell_limit)
-    return {b.rank: b.value for b in brackets}
-
-
-def resolve_ranks(df: DataFrame, brackets: list[_Bracket], cell_limit: int) -> None:
-    """Shrink all open brackets together, one scan per round, until each value is known."""
-    grid = [i / GRID for i in range(GRID + 1)]
-    open_ = [b for b in brackets if b.value is None]
-    while open_:
-        aggregates = []
-        for i, b in enumerate(open_):
-            c, inside = F.col(b.column), b.inside()
-            inner = F.when(inside, c)
-            below = F.lit(False) if b.low is None else c < F.lit(b.low)
-            on_low = F.lit(False) if b.low is None else c == F.lit(b.low)
-            aggregates += [
-                F.count_if(below).alias(f"below{i}"),
-                F.count_if(on_low).alias(f"low{i}"),
-                F.count(inner).alias(f"mid{i}"),
-                F.approx_count_distinct(inner).alias(f"ndv{i}"),
-                F.percentile_approx(inner, grid, ACCURACY).alias(f"grid{i}"),
-            ]
-            if b.high is not None:
-                aggregates.append(F.count_if(c == F.lit(b.high)).alias(f"high{i}"))
-        row = df.agg(*aggregates).first()
-
-        final: list[tuple[_Bracket, int, int]] = []
-        budget = cell_limit
-        for i, b in enumerate(open_):
-            below, on_low, mid = row[f"below{i}"], row[f"low{i}"], row[f"mid{i}"]
-            upto_low, upto_mid = below + on_low, below + on_low + mid
-            if b.rank < below:
-                b.low, b.high = None, b.low
-            elif b.rank < upto_low:
-                b.value = b.low
-            elif b.rank < upto_mid:
-                load = min(mid, row[f"ndv{i}"] * 2)
-                if load <= budget:
-                    budget -= load
-                    final.append((b, b.rank - upto_low, mid))
-                else:
-                    _read_grid(b, row[f"grid{i}"], b.rank - upto_low, mid)
-            elif b.high is not None and b.rank < upto_mid + row[f"high{i}"]:
-                b.value = b.high
-            elif b.high is not None:
-                b.low, b.high = b.high, None
+    df: DataFrame,
+    ranks: Mapping[str, Sequence[int]],
+    summaries: Mapping[str, Summary] | None = None,
+) -> dict[tuple[str, int], float]:
+    """``(column, rank) -> value`` at 0-based positions of the sorted values, without sorting."""
+    if summaries is None:
+        summaries = summarize(df, list(ranks))
+    known: dict[tuple[str, int], float] = {}
+    brackets = []
+    for c, wanted in ranks.items():
+        s = summaries[c]
+        finite = s.values - s.below - s.above
+        for r in wanted:
+            if not 0 <= r < s.values:
+                raise ValueError(f"Column {c!r} has no rank {r} among {s.values} values")
+            if r < s.below:
+                known[c, r] = float("-inf")
+            elif r >= s.below + finite:
+                known[c, r] = float("inf")
+        open_ = {r for r in wanted if (c, r) not in known}
+        if open_:
+            brackets.append(_Bracket(c, s.low, s.high, s.below, finite, open_))
+    brackets = _settle(brackets, known)
+    while brackets:
+        if sum(b.count for b in brackets) <= FETCH_LIMIT:
+            _fetch(df, brackets, known)
+            break
+        brackets = _settle(_refine(df, brackets), known)
+    return known
+
+
+def _settle(brackets: list[_Bracket], known: dict[tuple[str, int], float]) -> list[_Bracket]:
+    """Read off the ranks that are the ends of a bracket; keep the brackets with others left."""
+    kept = []
+    for b in brackets:
+        for r in list(b.ranks):
+            if b.low == b.high or r == b.start:
+                known[b.column, r] = b.low
+            elif r == b.start + b.count - 1:
+                known[b.column, r] = b.high
             else:
-                raise ValueError(f"Rank {b.rank} is beyond the values of column {b.column!r}")
-        _finish(df, final)
-        open_ = [b for b in open_ if b.value is None]
-
-
-def _finish(df: DataFrame, final: list[tuple[_Bracket, int, int]]) -> None:
-    if not final:
-        return
-    # (rank + 1/2) / count hits the wanted position whatever the rounding of the division.
-    row = df.agg(
-        *[
-            F.expr(
-                f"percentile_disc({(rank + 0.5) / count!r}D) WITHIN GROUP (ORDER BY {_sql(b)})"
-            ).alias(f"v{i}")
-            for i, (b, rank, count) in enumerate(final)
-        ]
-    ).first()
-    for i, (b, _, _) in enumerate(final):
-        b.value = row[f"v{i}"]
-
-
-def _sql(b: _Bracket) -> str:
-    name = "`" + b.column.replace("`", "``") + "`"
-    tests = [f"{name} IS NOT NULL"]
-    if b.low is not None:
-        tests.append(f"{name} > double('{b.low!r}')")
-    if b.high is not None:
-        tests.append(f"{name} < double('{b.high!r}')")
-    return f"CASE WHEN {' AND '.join(tests)} THEN {name} END"
-
-
-def _read_grid(b: _Bracket, values: Sequence[float], rank: int, count: int) -> None:
-    """Take the sketch values around ``rank``; a wrong guess is caught by the next counting pass."""
-    slack = 2.0 / ACCURACY
-    left = math.floor((rank / count - slack) * GRID)
-    right = math.ceil(((rank + 1) / count + slack) * GRID)
-    if left > 0:
-        b.low = values[left]
-    if right < GRID:
-        b.high = values[right]
-
-
-def _ranks(probability: float, count: int) -> list[int]:
-    if count == 0:
-        return []
-    at = probability * (count - 1)
-    return sorted({math.floor(at), math.ceil(at)})
-
-
-def _interpolate(probability: float, count: int, value_at) -> float | None:
-    if count == 0:
-        return None
-    at = probability * (count - 1)
-    lower = value_at(math.floor(at))
-    return lower + (value_at(math.ceil(at)) - lower) * (at - math.floor(at))
+                continue
+            b.ranks.discard(r)
+        if b.ranks:
+            kept.append(b)
+    return kept
+
+
+def _bracketed(df: DataFrame, brackets: list[_Bracket]) -> DataFrame:
+    inside = [
+        F.when(F.col(b.column).between(F.lit(b.low), F.lit(b.high)), F.col(b.column).cast("double"))
+        for b in brackets
+    ]
+    return long_form(df, inside).where(F.col(_VALUE).isNotNull())
+
+
+def _refine(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
+    """One counting round: the bins of each bracket that hold a wanted rank."""
+
+    def of_bracket(values: list[float]) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in values]), F.col(_ID) + 1)
+
+    # Halved where the span itself would overflow.
+    halves = [0.5 if math.isinf(b.high - b.low) else 1.0 for b in brackets]
+    low = of_bracket([b.low * h for b, h in zip(brackets, halves)])
+    span = of_bracket([b.high * h - b.low * h for b, h in zip(brackets, halves)])
+    value = F.col(_VALUE) if set(halves) == {1.0} else F.col(_VALUE) * of_bracket(halves)
+    bin_ = F.least(F.lit(BINS - 1), F.floor((value - low) / span * F.lit(BINS)).cast("int"))
+    counted = (
+        _bracketed(df, brackets)
+        .select((F.col(_ID) * F.lit(BINS) + bin_).alias("_bin"), _VALUE)
+        .groupBy("_bin")
+        .agg(
+            F.count(F.lit(1)).alias("count"), F.min(_VALUE).alias("low"), F.max(_VALUE).alias("high")
+        )
+    )
+    # At most BINS rows per bracket come back.
+    found: list[_Bracket] = []
+    by_bracket: list[list] = [[] for _ in brackets]
+    for r in counted.collect():
+        by_bracket[r["_bin"] // BINS].append(r)
+    for b, bins in zip(brackets, by_bracket):
+        start = b.start
+        for r in sorted(bins, key=lambda r: r["_bin"]):
+            inside = {x for x in b.ranks if start <= x < start + r["count"]}
+            if inside:
+                found.append(_Bracket(b.column, r["low"], r["high"], start, r["count"], inside))
+            start += r["count"]
+    return found
+
+
+def _fetch(df: DataFrame, brackets: list[_Bracket], known: dict[tuple[str, int], float]) -> None:
+    """Read the few values left, at most FETCH_LIMIT, and take the wanted ones."""
+    left: list[list[float]] = [[] for _ in brackets]
+    for r in _bracketed(df, brackets).collect():
+        left[r[_ID]].append(r[_VALUE])
+    for b, values in zip(brackets, left):
+        values.sort()
+        for r in b.ranks:
+            known[b.column, r] = values[r - b.start]

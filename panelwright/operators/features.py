@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.functions.quantiles import CELL_LIMIT, exact_quantiles, percentile_row
+from panelwright.functions.quantiles import exact_quantiles, long_form, summarize
 from panelwright.functions.scalars import clip
 from panelwright.operators.segments import KeyWindow, over_keys
 from panelwright.session import materialize
@@ -29,15 +29,10 @@ STATISTICS_SCHEMA = (
 
 
 def winsor_bounds(
-    df: DataFrame,
-    columns: Sequence[str],
-    lower: float = 0.01,
-    upper: float = 0.99,
-    *,
-    cell_limit: int = CELL_LIMIT,
+    df: DataFrame, columns: Sequence[str], lower: float = 0.01, upper: float = 0.99
 ) -> Bounds:
     """Two interpolated quantiles per column over the whole frame (all keys together)."""
-    quantiles = exact_quantiles(df, {c: (lower, upper) for c in columns}, cell_limit=cell_limit)
+    quantiles = exact_quantiles(df, {c: (lower, upper) for c in columns})
     return {c: (low, high) for c, (low, high) in quantiles.items()}
 
 
@@ -126,15 +121,9 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, float | Non
     Values are counted in long form, so a frequent value is pre-aggregated in the map tasks and no
     reducer holds all values of a column.
     """
-    long_form = df.select(
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(columns)]
-            )
-        )
-    ).where(F.col("v").isNotNull())
+    values = long_form(df, columns).toDF("c", "v").where(F.col("v").isNotNull())
     rows = (
-        long_form.groupBy("c", "v")
+        values.groupBy("c", "v")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("c")
         .agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("mode"))
@@ -145,67 +134,45 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, float | Non
 
 
 def fit_columns(
-    df: DataFrame, columns: Sequence[str], features: FeatureSpec, *, cell_limit: int = CELL_LIMIT
+    df: DataFrame, columns: Sequence[str], features: FeatureSpec
 ) -> dict[str, ColumnStatistics]:
-    """Imputer and scaler statistics in one pass where the fill value allows it.
+    """Imputer and scaler statistics.
 
     The scaler sees imputed values, so its moments follow from those of the present values, their
-    number and the fill value; no second pass over imputed data is needed.
+    number and the fill value; no pass over imputed data is needed.
     """
     columns = list(columns)
-    moments = [
-        e
-        for i, c in enumerate(columns)
-        for e in (
-            F.count(c).alias(f"n{i}"),
-            F.avg(c).alias(f"m{i}"),
-            F.var_pop(c).alias(f"v{i}"),
-        )
-    ]
-    total = F.count(F.lit(1)).alias("total")
-    fills: dict[str, float | None] = {}
+    summaries = summarize(df, columns, moments=True)
     if features.imputation == "median":
-        n_rows = df.count()
-        if n_rows * len(columns) <= cell_limit:
-            halves = [p.alias(f"q{i}") for i, p in enumerate(_medians(columns))]
-            row = df.agg(total, *moments, *halves).first()
-            fills = {c: row[f"q{i}"] for i, c in enumerate(columns)}
-        else:
-            row = df.agg(total, *moments).first()
-            wanted = {c: (0.5,) for c in columns}
-            quantiles = exact_quantiles(df, wanted, n_rows=n_rows, cell_limit=cell_limit)
-            fills = {c: q[0] for c, q in quantiles.items()}
+        quantiles = exact_quantiles(df, {c: (0.5,) for c in columns}, summaries)
+        fills = {c: q[0] for c, q in quantiles.items()}
+    elif features.imputation == "mean":
+        fills = {c: s.mean for c, s in summaries.items()}
+    elif features.imputation == "constant":
+        fills = {c: 0.0 for c in columns}
     else:
-        row = df.agg(total, *moments).first()
-        if features.imputation == "mean":
-            fills = {c: row[f"m{i}"] for i, c in enumerate(columns)}
-        elif features.imputation == "constant":
-            fills = {c: 0.0 for c in columns}
-        else:
-            fills = column_modes(df, columns)
-
+        fills = column_modes(df, columns)
     empty = [c for c in columns if fills[c] is None]
     if empty:
         raise ValueError(f"Columns without any value cannot be imputed: {empty}")
+
     found = {}
-    for i, c in enumerate(columns):
-        n, mean, var = row[f"n{i}"], row[f"m{i}"] or 0.0, row[f"v{i}"] or 0.0
-        missing, all_rows = row["total"] - n, max(1, row["total"])
+    for c, s in summaries.items():
+        mean, variance = s.mean or 0.0, s.variance or 0.0
+        missing, rows = s.rows - s.values, max(1, s.rows)
         if missing:
-            joint = (n * mean + missing * fills[c]) / all_rows
-            var = (n * (var + (mean - joint) ** 2) + missing * (fills[c] - joint) ** 2) / all_rows
+            joint = (s.values * mean + missing * fills[c]) / rows
+            variance = (
+                s.values * (variance + (mean - joint) ** 2) + missing * (fills[c] - joint) ** 2
+            ) / rows
             mean = joint
-        std = var**0.5
+        std = variance**0.5
         if std <= CONSTANT_SPREAD * max(1.0, abs(mean)):
             std = 1.0
         found[c] = ColumnStatistics(fills[c], mean, std)
     return found
 
 
-def _medians(columns: Sequence[str]) -> list[Column]:
-    return [p.getItem(0) for p in percentile_row({c: (0.5,) for c in columns})]
-
-
 def apply_columns(
     df: DataFrame, statistics: Mapping[str, ColumnStatistics], *, scaled: bool = True
 ) -> DataFrame:

@@ -107,7 +107,7 @@ def exponential_averages(
                 F.aggregate(
                     F.collect_list(f"_end_{name}").over(by_run.rowsBetween(-depth[name], -1)),
                     F.lit(0.0),
-                    lambda total, end, d=keep[name] ** RUN: total * F.lit(d) + end,
+                    _decayed(keep[name] ** RUN),
                 ).alias(f"_carry_{name}")
                 for name in averages
             ],
@@ -125,6 +125,10 @@ def exponential_averages(
     )
 
 
+def _decayed(decay: float):
+    return lambda total, end: total * F.lit(decay) + end
+
+
 def macd(
     df: DataFrame,
     spec: PanelSpec,

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.functions.quantiles import order_statistics
+from panelwright.functions.quantiles import order_statistics, summarize
 from panelwright.operators.segments import instant_micros
 from panelwright.session import materialize
 from panelwright.spec import PanelSpec, SplitSpec
@@ -84,10 +84,12 @@ def _boundary_dates(
         .distinct(),
         "instants",
     )
-    ranks = fold_ranks(instants.count(), split)
-    values = order_statistics(instants, "at", sorted({r - 1 for fold in ranks for r in fold}))
+    summaries = summarize(instants, ["at"])
+    ranks = fold_ranks(summaries["at"].values, split)
+    wanted = sorted({r - 1 for fold in ranks for r in fold})
+    values = order_statistics(instants, {"at": wanted}, summaries)
     rows = df.sparkSession.createDataFrame(
-        [(r + 1, int(v)) for r, v in values.items()], "rank long, at long"
+        [(r + 1, int(v)) for (_, r), v in values.items()], "rank long, at long"
     )
     text = F.timestamp_micros("at").cast(df.schema[spec.date].dataType).cast("string")
     return ranks, {r["rank"]: r["date"] for r in rows.select("rank", text.alias("date")).collect()}
