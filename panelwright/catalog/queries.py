@@ -75,6 +75,11 @@ def _supplier(spark: SparkSession, sf: str) -> DataFrame:
     return as_panel(supplier_daily(spark, sf), SUPPLIER)
 
 
+def _supplier_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel as a table, for operators that fit before they transform and so read it again."""
+    return materialize(_supplier(spark, sf), "panel")
+
+
 # -- projection and winsorising -------------------------------------------------------------------
 
 
@@ -83,13 +88,13 @@ def panel_project(spark, sf):
 
 
 def winsorize_bounds(spark, sf):
-    bounds = ft.winsor_bounds(_supplier(spark, sf), [*BASE, SUPPLIER.target])
+    bounds = ft.winsor_bounds(_supplier_table(spark, sf), [*BASE, SUPPLIER.target])
     rows = [(c, low, high) for c, (low, high) in bounds.items()]
     return rounded(spark.createDataFrame(rows, "feature string, lower double, upper double"))
 
 
 def winsorize_panel(spark, sf):
-    panel = materialize(_supplier(spark, sf), "panel")
+    panel = _supplier_table(spark, sf)
     return rounded(ft.winsorize(panel, ft.winsor_bounds(panel, [*BASE, SUPPLIER.target])))
 
 
@@ -119,7 +124,7 @@ def event_history_hot_keys(spark, sf):
 
 def _impute(strategy: str) -> Query:
     def query(spark, sf):
-        panel = materialize(_supplier(spark, sf), "panel")
+        panel = _supplier_table(spark, sf)
         statistics = ft.fit_columns(panel, BASE, FeatureSpec(imputation=strategy))
         return rounded(ft.apply_columns(panel, statistics, scaled=False))
 
@@ -127,23 +132,23 @@ def _impute(strategy: str) -> Query:
 
 
 def standard_scale(spark, sf):
-    panel = materialize(_supplier(spark, sf), "panel")
+    panel = _supplier_table(spark, sf)
     statistics = ft.fit_columns(panel, BASE, FeatureSpec(imputation="mean"))
     return rounded(ft.apply_columns(panel, statistics))
 
 
 def feature_matrix(spark, sf):
-    matrix, _ = ft.FeatureEstimator(SUPPLIER).fit_transform(supplier_daily(spark, sf))
+    matrix, _ = ft.FeatureEstimator(SUPPLIER).fit_transform(_supplier_table(spark, sf))
     return rounded(matrix)
 
 
 def feature_statistics(spark, sf):
-    model = ft.FeatureEstimator(SUPPLIER).fit(supplier_daily(spark, sf))
+    model = ft.FeatureEstimator(SUPPLIER).fit(_supplier_table(spark, sf))
     return rounded(model.statistics_table(spark).select("*", F.col("ord").cast("long").alias("position")).drop("ord"))
 
 
 def _history_and_holdout(spark, sf) -> tuple[DataFrame, DataFrame]:
-    panel = materialize(_supplier(spark, sf), "panel")
+    panel = _supplier_table(spark, sf)
     at = sp.date_literal(panel, SUPPLIER, HOLDOUT_FROM)
     return panel.where(F.col("date") < at), panel.where(F.col("date") >= at)
 
@@ -160,7 +165,7 @@ def feature_transform_fitted_bounds(spark, sf):
 
 
 def min_max_scale(spark, sf):
-    panel = materialize(_supplier(spark, sf), "panel")
+    panel = _supplier_table(spark, sf)
     return rounded(dq.min_max_scale(panel, BASE))
 
 
@@ -230,7 +235,8 @@ def turnover_from_previous(spark, sf):
 
 
 def equity_curve_pooled(spark, sf):
-    curve = ev.equity_curve(_flows(spark, sf), SUPPLIER, "pnl")
+    flows = materialize(_flows(spark, sf), "flows")
+    curve = ev.equity_curve(flows, SUPPLIER, "pnl")
     return rounded(curve.select("symbol", "date", "equity", "peak"), 6)
 
 
@@ -264,8 +270,9 @@ def hit_rate(spark, sf):
 
 
 def strategy_report(spark, sf):
+    sized = materialize(_sized(spark, sf), "sized")
     return rounded(
-        ev.strategy_report(_sized(spark, sf), SUPPLIER, "position", "excess_return", STRATEGY)
+        ev.strategy_report(sized, SUPPLIER, "position", "excess_return", STRATEGY)
     )
 
 
@@ -384,11 +391,11 @@ def dq_nulls(spark, sf):
 
 
 def dq_outliers(spark, sf):
-    return dq.outlier_counts(materialize(_supplier(spark, sf), "panel"), BASE)
+    return dq.outlier_counts(_supplier_table(spark, sf), BASE)
 
 
 def profile(spark, sf):
-    return rounded(dq.profile(materialize(_supplier(spark, sf), "panel"), BASE))
+    return rounded(dq.profile(_supplier_table(spark, sf), BASE))
 
 
 def autocorr(spark, sf):
@@ -476,7 +483,7 @@ def backtest_fixed_linear(spark, sf):
 
 
 def _training(spark, sf) -> tuple[DataFrame, list[str]]:
-    matrix, model = ft.FeatureEstimator(SUPPLIER).fit_transform(supplier_daily(spark, sf))
+    matrix, model = ft.FeatureEstimator(SUPPLIER).fit_transform(_supplier_table(spark, sf))
     return matrix, model.fitted_columns
 
 

@@ -9,10 +9,11 @@ from dataclasses import dataclass
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.functions.quantiles import long_form, summarize
 from panelwright.operators.features import CONSTANT_SPREAD
 from panelwright.spec import ModelSpec
 
@@ -29,13 +30,35 @@ class TrainedModel:
     rmse: float
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """``df`` with a ``prediction`` column; the vectors stay inside."""
+        """``df`` with a ``prediction`` column."""
         return predict(self.pipeline, df)
 
 
+def linear_weights(pipeline: PipelineModel) -> tuple[dict[str, float], float] | None:
+    """Weights per raw feature and the intercept of a fitted elastic net; None for other models."""
+    fitted = pipeline.stages[-1]
+    if not isinstance(fitted, LinearRegressionModel):
+        return None
+    assembler, scaler = pipeline.stages[0], pipeline.stages[1]
+    scaled = [float(w * s) for w, s in zip(fitted.coefficients, scaler.getScalingVec())]
+    return dict(zip(assembler.getInputCols(), scaled)), float(fitted.intercept)
+
+
 def predict(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
-    scored = pipeline.transform(df)
-    return scored.select(*df.columns, PREDICTION)
+    """Add ``prediction``.
+
+    A linear model is one expression over the features it uses: no vectors, and what feeds only
+    features of weight zero is pruned from the plan, windows included.
+    """
+    linear = linear_weights(pipeline)
+    if linear is None:
+        return pipeline.transform(df).select(*df.columns, PREDICTION)
+    weights, intercept = linear
+    value = F.lit(intercept)
+    for name, w in weights.items():
+        if w != 0.0:
+            value = value + F.lit(w) * F.col(name)
+    return df.select("*", value.alias(PREDICTION))
 
 
 def train_model(
@@ -43,11 +66,10 @@ def train_model(
 ) -> TrainedModel:
     """Fit on the rows of ``df`` and report the in-sample error."""
     features = list(features)
-    estimator = build_model(spec, df, features, target)
-    rows = df.select(F.col(target).alias(target), *features)
-    pipeline = estimator.fit(rows)
+    rows = df.select(target, *features)
+    pipeline = build_model(spec, rows, features, target).fit(rows)
     error = F.col(target) - F.col(PREDICTION)
-    rmse = pipeline.transform(rows).agg(F.sqrt(F.avg(error * error))).first()[0]
+    rmse = predict(pipeline, rows).agg(F.sqrt(F.avg(error * error))).first()[0]
     return TrainedModel(pipeline, tuple(features), rmse)
 
 
@@ -73,17 +95,14 @@ def _elastic_net(
     """
     alpha = float(spec.params.get("alpha", 0.5))
     l1_ratio = float(spec.params.get("l1_ratio", 0.5))
-    row = df.agg(
-        F.stddev_samp(target).alias("y"),
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)],
-    ).first()
+    summaries = summarize(df, [*features, target], moments=True)
     inverse = []
-    for i in range(len(features)):
-        std = row[f"s{i}"] or 0.0
-        constant = std <= CONSTANT_SPREAD * max(1.0, abs(row[f"m{i}"] or 0.0))
-        inverse.append(1.0 if constant else 1.0 / std)
-    l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio) * (row["y"] or 1.0)
+    for c in features:
+        mean, std = summaries[c].mean or 0.0, (summaries[c].variance or 0.0) ** 0.5
+        inverse.append(1.0 if std <= CONSTANT_SPREAD * max(1.0, abs(mean)) else 1.0 / std)
+    y = summaries[target]
+    spread = ((y.variance or 0.0) * y.values / max(1, y.values - 1)) ** 0.5
+    l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio) * (spread or 1.0)
     total = l1 + l2
     regression = LinearRegression(
         featuresCol=SCALED,
@@ -137,13 +156,13 @@ def _boosted_trees(spec: ModelSpec, features: list[str], target: str) -> Pipelin
 
 def feature_weights(spark: SparkSession, model: TrainedModel) -> DataFrame:
     """Coefficients (per unit of the raw feature) with the intercept last, or importances."""
-    fitted = model.pipeline.stages[-1]
-    if hasattr(fitted, "coefficients"):
-        scale = model.pipeline.stages[-2].getScalingVec()
-        weights = [float(w * s) for w, s in zip(fitted.coefficients, scale)]
-        rows = [*zip(model.features, weights), ("(intercept)", float(fitted.intercept))]
+    linear = linear_weights(model.pipeline)
+    if linear is not None:
+        weights, intercept = linear
+        rows = [*weights.items(), ("(intercept)", intercept)]
     else:
-        rows = [(n, float(w)) for n, w in zip(model.features, fitted.featureImportances)]
+        importances = model.pipeline.stages[-1].featureImportances
+        rows = [(n, float(w)) for n, w in zip(model.features, importances)]
     return spark.createDataFrame(rows, "feature string, weight double")
 
 
@@ -158,16 +177,14 @@ def optimality_gaps(
     a1, a2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
     scored = model.predict(df.select(target, *model.features))
     residual = F.col(target) - F.col(PREDICTION)
-    scale = scaler.getScalingVec()
-    row = scored.agg(
-        *[
-            F.avg(F.col(c) * F.lit(float(s)) * residual).alias(f"g{i}")
-            for i, (c, s) in enumerate(zip(model.features, scale))
-        ]
-    ).first()
+    slopes = [
+        F.col(c) * F.lit(float(s)) * residual for c, s in zip(model.features, scaler.getScalingVec())
+    ]
+    averaged = long_form(scored, slopes).groupBy("_id").agg(F.avg("_value").alias("slope"))
+    found = {r["_id"]: r["slope"] for r in averaged.collect()}
     rows = []
     for i, (name, w) in enumerate(zip(model.features, fitted.coefficients)):
-        slope = row[f"g{i}"] - a2 * w
+        slope = found[i] - a2 * w
         gap = max(0.0, abs(slope) - a1) if w == 0.0 else abs(slope - math.copysign(a1, w))
         rows.append((name, float(w), float(gap)))
     return df.sparkSession.createDataFrame(rows, "feature string, weight double, gap double")

@@ -19,6 +19,8 @@ def build_session(app: str = "panelwright", master: str | None = None, **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
         "spark.ui.enabled": "false",
+        # Call sites in error messages cost a stack walk per column expression; wide plans have many.
+        "spark.sql.dataFrameQueryContext.enabled": "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)
