@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panelwright.operators.splits import date_literal
+from panelwright.plans.jobs import positions
 from panelwright.sources.artifacts import Artifacts
 from panelwright.spec import PanelSpec, StrategySpec
-from panelwright.plans.jobs import positions
 
-BATCH, NEW = "batch", "_new"
+BATCH, NEW, EVENT_TIME = "batch", "_new", "_event_time"
 
 
 def deduplicated(stream: DataFrame, panel: PanelSpec, late_days: int) -> DataFrame:
     """Drop repeats of a (key, date) row that arrive within the watermark."""
-    return stream.withWatermark(panel.date, f"{late_days} days").dropDuplicatesWithinWatermark(
-        [panel.key, *panel.order]
+    # A watermark needs TIMESTAMP, while panel dates may be DATE or TIMESTAMP_NTZ.
+    timed = stream.withColumn(EVENT_TIME, F.col(panel.date).cast("timestamp"))
+    return (
+        timed.withWatermark(EVENT_TIME, f"{late_days} days")
+        .dropDuplicatesWithinWatermark([panel.key, *panel.order])
+        .drop(EVENT_TIME)
     )
 
 
@@ -59,10 +63,11 @@ def score_batches(
             cutoff = batch.agg(earliest.cast("string")).first()[0]
             if cutoff is None:
                 return
+            recent = F.col(panel.date) >= date_literal(batch, panel, cutoff)
             history = (
                 spark.read.option("basePath", history_path)
                 .parquet(f"{history_path}/{BATCH}=*")
-                .where((F.col(BATCH) < batch_id) & (F.col(panel.date) >= date_literal(batch, panel, cutoff)))
+                .where((F.col(BATCH) < batch_id) & recent)
                 .select(*batch.columns)
                 .join(batch.select(panel.key).distinct(), panel.key, "left_semi")
             )

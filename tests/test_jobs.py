@@ -11,7 +11,14 @@ from panelwright.plans import jobs
 from panelwright.sources.artifacts import load_artifacts
 from panelwright.sources.readers import explode_payloads, load_panel, read_csv
 from panelwright.sources.writers import read_written, write_metrics, write_panel
-from panelwright.spec import FeatureSpec, ModelSpec, PanelSpec, ServingSpec, SplitSpec
+from panelwright.spec import (
+    FeatureSpec,
+    ModelSpec,
+    PanelSpec,
+    ServingSpec,
+    SplitSpec,
+    StrategySpec,
+)
 from panelwright.streaming import scoring
 
 PANEL = PanelSpec(target="target")
@@ -67,7 +74,7 @@ def trained(spark, tmp_path_factory):
     for s in ("A", "B", "C"):
         x = rng.normal(size=200).cumsum()
         for i in range(200):
-            data.append((i, s, float(x[i]), float(rng.integers(1, 9)), float(0.1 * x[i] + rng.normal())))
+            data.append((i, s, float(x[i]), float(rng.integers(1, 9)), float(0.5 + 0.1 * x[i] + rng.normal())))
     df = spark.createDataFrame(data, "i int, symbol string, close double, volume double, target double")
     df = df.select(
         F.date_add(F.lit("2020-01-01").cast("date"), F.col("i")).cast("timestamp_ntz").alias("date"),
@@ -93,7 +100,14 @@ def test_train_leaves_its_artifacts(spark, trained):
 def test_backtest_and_scores(spark, trained):
     out, _, _, holdout = trained
     report = jobs.backtest(holdout, f"{out}/artifacts").first()
-    assert report["max_drawdown"] is not None and 0 <= report["hit_rate"] <= 1
+    held = jobs.positions(holdout, load_artifacts(spark, f"{out}/artifacts"), StrategySpec()).toPandas()
+    held = held.sort_values(["date", "symbol"])
+    pnl = held["position"] * held["target"]
+    equity = pnl.cumsum()
+    assert held["position"].gt(0).any() and held["position"].between(0, 2).all()
+    assert report["total_return"] == pytest.approx(equity.iloc[-1])
+    assert report["hit_rate"] == pytest.approx((pnl > 0).mean())
+    assert report["max_drawdown"] == pytest.approx((equity / equity.cummax() - 1).min())
     by_key = jobs.backtest(holdout, f"{out}/artifacts", by="symbol")
     assert by_key.agg(F.sum("total_return")).first()[0] == pytest.approx(report["total_return"])
     trimmed = jobs.score(holdout, f"{out}/artifacts")
@@ -117,11 +131,8 @@ def test_unused_features_are_not_computed(spark, trained):
     assert "Window" not in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_walk_forward_and_search(trained):
+def test_search_over_folds(trained):
     _, _, history, _ = trained
-    split = SplitSpec(n_splits=2, test_size=20, gap=2)
-    folds = jobs.walk_forward(history, PANEL, split, SMALL, [LIGHT])
-    assert [r["fold_id"] for r in folds.orderBy("fold_id").collect()] == [0, 1]
     best = jobs.search(history, PANEL, SplitSpec(1, 20, 2), [1e-3, 50.0], [0.5], SMALL)
     rows = best.collect()
     assert {r["alpha"] for r in rows} == {1e-3, 50.0} and all(r["n_folds"] == 1 for r in rows)
