@@ -74,7 +74,9 @@ def trained(spark, tmp_path_factory):
     for s in ("A", "B", "C"):
         x = rng.normal(size=200).cumsum()
         for i in range(200):
-            data.append((i, s, float(x[i]), float(rng.integers(1, 9)), float(0.5 + 0.1 * x[i] + rng.normal())))
+            volume = float(rng.integers(1, 9))
+            target = 0.8 + 0.2 * (volume - 4.5) + 0.1 * rng.normal()
+            data.append((i, s, float(x[i]), volume, float(target)))
     df = spark.createDataFrame(data, "i int, symbol string, close double, volume double, target double")
     df = df.select(
         F.date_add(F.lit("2020-01-01").cast("date"), F.col("i")).cast("timestamp_ntz").alias("date"),
