@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -52,5 +53,5 @@ def walk(spark):
         )
     frame = pd.concat(parts, ignore_index=True)
     return frame, spark.createDataFrame(frame).withColumn(
-        "date", __import__("pyspark.sql.functions", fromlist=["col"]).col("date").cast("timestamp_ntz")
+        "date", F.col("date").cast("timestamp_ntz")
     )
