@@ -8,12 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import quality_ledger, sentencepiece_spans, token_files
+from panelwright.llm import exact_dedup, packing, quality_ledger, sentencepiece_spans, token_files
 from panelwright.llm.bpe import public_file
 from panelwright.llm.common import table
 from panelwright.session import shared_folder
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_file("byte_bpe_50k.json"))
@@ -34,8 +38,22 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_file("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_files, op4_sentencepiece_spans, op8_quality_ledger)
+    f.__name__: f for f in (op1_exact_dedup, op3_token_files, op4_sentencepiece_spans, op8_quality_ledger, op9_packing)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": """
+        WITH n AS (
+            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS normal
+            FROM documents
+        )
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, sha256(normal) AS text_sha256
+        FROM n WINDOW w AS (PARTITION BY normal)
+    """,
+}
