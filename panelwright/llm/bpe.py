@@ -19,6 +19,19 @@ from panelwright.llm.common import PieceCache, Pieces
 _SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: White space in Python's sense; the first four are none to the library.
 _SPACE = r"\x1c-\x1f\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: ASCII punctuation that may follow a word; no apostrophe, which starts contractions.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+
+
+def _byte_characters() -> dict[int, str]:
+    """The printable stand-ins of byte-level vocabularies: printable bytes stand for themselves, the
+    others, in order, for the characters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 
 class ChunkEncoder:
@@ -32,6 +45,8 @@ class ChunkEncoder:
         if self.tokenizer.get_vocab_size() >= 1 << 16:
             raise ValueError("The vocabulary needs more than 16 bits an id")
         self.cache = PieceCache(self._encode, np.uint16)
+        #: Ids of the punctuation seen after words.
+        self.tails: dict[str, bytes] = {}
         #: Whether white space is dropped between words, or belongs to the word after it.
         self.drops_space = type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel"
 
@@ -40,11 +55,32 @@ class ChunkEncoder:
             return key
         return key[1:] if key.startswith("\r") else f" {key}"
 
-    def _encode(self, keys: list[str]) -> list[bytes]:
+    def _library(self, keys: list[str]) -> list[bytes]:
         literal = [self._literal(k) for k in keys]
         found = self.tokenizer.encode_batch_fast(literal, add_special_tokens=False)
         return [array("H", x.ids).tobytes() for x in found]
 
+    def _encode(self, keys: list[str]) -> list[bytes]:
+        """A word of Latin letters, with or without punctuation after it, is known to be two pieces to
+        the library's pre-tokenizer and goes to its merge model directly; other keys go through all."""
+        merge, space = self.tokenizer.model.tokenize, "" if self.drops_space else _BYTE_CHARACTERS[32]
+        out: list[bytes | None] = [None] * len(keys)
+        for i, key in enumerate(keys):
+            word = key.rstrip(_TAIL)
+            tail = self.tails.get(key[len(word) :])
+            if tail is None:
+                self.tails[key[len(word) :]] = tail = self._library([("" if self.drops_space else "\r") + key[len(word) :]])[0]
+            if self.drops_space:
+                word = word.lower()
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+                out[i] = array("H", [x.id for x in merge(space + word)]).tobytes() + tail
+        others = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(others, self._library([keys[i] for i in others]), strict=True):
+            out[i] = x
+        return out
+
     def _words(self, texts: pa.Array) -> pa.ListArray:
         import pyarrow.compute as pc
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import exact_dedup, packing, quality_ledger, sentencepiece_spans, token_files
+from panelwright.llm import exact_dedup, packing, quality_ledger, sentencepiece_spans, token_files, toxicity
 from panelwright.llm.bpe import public_file
 from panelwright.llm.common import table
 from panelwright.session import shared_folder
@@ -18,6 +18,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_file("byte_bpe_50k.json"))
@@ -43,7 +48,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_token_files, op4_sentencepiece_spans, op8_quality_ledger, op9_packing)
+    f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_token_files, op4_sentencepiece_spans, op8_quality_ledger, op9_packing)
 }
 
 ORACLES: dict[str, str] = {
