@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import exact_dedup, packing, quality_ledger, sentencepiece_spans, token_files, toxicity
+from panelwright.llm import exact_dedup, license_scan, packing, quality_ledger, sentencepiece_spans, token_files, toxicity, url_filter
 from panelwright.llm.bpe import public_file
 from panelwright.llm.common import table
 from panelwright.session import shared_folder
@@ -34,6 +34,15 @@ def op4_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_spans.digests(sentencepiece_spans.encode_documents(table(spark, sf_dir, "documents"), model, spans=False))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    return url_filter.judge(table(spark, sf_dir, "pages"), model)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_ledger.apply_policy(quality_ledger.ledger(table(spark, sf_dir, "documents")), "v1")
     base_failed = F.col("failed_bits").bitwiseAND(F.lit(quality_ledger.mask("base"))) != 0
@@ -48,7 +57,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_token_files, op4_sentencepiece_spans, op8_quality_ledger, op9_packing)
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_toxicity,
+        op3_token_files,
+        op4_sentencepiece_spans,
+        op5_url_filter,
+        op7_license_scan,
+        op8_quality_ledger,
+        op9_packing,
+    )
 }
 
 ORACLES: dict[str, str] = {
