@@ -155,10 +155,10 @@ def shingle_codes(codes: np.ndarray, width: int) -> np.ndarray:
     if n == 0:
         return codes
     if n < width:
-        total = np.uint64(n)
-        for c in codes:
-            total = mix(np.array([total * np.uint64(0x9E3779B97F4A7C15) + c], np.uint64))[0]
-        return np.array([total], np.uint64)
+        total = np.array([n], np.uint64)
+        for i in range(n):
+            total = mix(total * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + 1])
+        return total
     total = np.zeros(n - width + 1, np.uint64)
     factor = 1
     for i in range(width):

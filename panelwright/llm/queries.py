@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import exact_dedup, license_scan, packing, quality_ledger, sentencepiece_spans, token_files, toxicity, url_filter
+from panelwright.llm import exact_dedup, license_scan, minhash_join, packing, quality_ledger, sentencepiece_spans, token_files, toxicity, url_filter
 from panelwright.llm.bpe import public_file
 from panelwright.llm.common import table
 from panelwright.session import shared_folder
@@ -39,6 +39,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), model)
 
 
+def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.components(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_files,
         op4_sentencepiece_spans,
         op5_url_filter,
+        op6_minhash_join,
         op7_license_scan,
         op8_quality_ledger,
         op9_packing,
