@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.session import materialize
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Texts handled at once in a Python worker.
 SLICE_BYTES = 8_000_000
@@ -40,6 +42,21 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+#: Spark then deletes the shuffle files of a step once its table is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``materialize``, and let go of the shuffle files behind it, which nobody reads again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def bucket(id_col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids count as -1 (never a held-out row)."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus)), F.lit(-1))

@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import batch_of, prepare, text_rows
-from panelwright.session import materialize
+from panelwright.llm.common import batch_of, prepare, text_rows, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text in a splitter, so that what the sampling brings to the driver is bounded.
@@ -122,7 +121,7 @@ def groups(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text
     keyed = rows.select("doc_id", "normal", F.sha2(F.col("normal"), 256).alias("text_sha256"))
     order = [F.substring("normal", 1, SPLITTER_BYTES), F.col("text_sha256"), F.col("doc_id")]
     ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    runs = materialize(ranged.mapInArrow(_runs(keep), _RUNS_DDL), "runs")
+    runs = written(ranged.mapInArrow(_runs(keep), _RUNS_DDL), "runs")
     best = F.max if keep == "largest" else F.min
     # Two rows for each partition at most.
     edges = runs.filter("edge and lead").groupBy("text_sha256").agg(best("run_keep").alias("edge_keep"), F.sum("run_size").alias("edge_size"))

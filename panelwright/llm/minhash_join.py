@@ -32,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import batch_of, mix, prepare, shingle_codes, spaced_words, text_rows, text_slices, word_codes
-from panelwright.session import materialize
+from panelwright.llm.common import batch_of, mix, prepare, shingle_codes, spaced_words, text_rows, text_slices, word_codes, written
 
 WIDTH = 5
 COORDINATES = 32
@@ -206,7 +205,7 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round every node moves to the neighbour (or itself) with the smallest hash of that round; the
     links between the places moved to remain. The moves are then followed in order.
     """
-    edges = materialize(links.select("a", "b").filter("a != b").distinct(), "links")
+    edges = written(links.select("a", "b").filter("a != b").distinct(), "links")
     place = None
     for i in range(max_rounds):
         if edges.isEmpty():
@@ -215,23 +214,23 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         key = lambda c: F.struct(F.xxhash64(F.lit(i), c).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
         moves = ends.groupBy("a").agg(F.min(key("b")).alias("best"))
         moves = moves.select(F.col("a").alias("node"), F.least(F.col("best"), key("a"))["v"].alias("to"))
-        moves = materialize(moves, "moves")
+        moves = written(moves, "moves")
         one = moves.select(F.col("node").alias("a"), F.col("to").alias("x"))
         two = moves.select(F.col("node").alias("b"), F.col("to").alias("y"))
         edges = edges.join(one, "a").join(two, "b").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = materialize(edges.distinct(), "links")
+        edges = written(edges.distinct(), "links")
         if place is None:
             place = moves.select(F.col("node").alias("rep"), "to")
         else:
             place = place.join(moves.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left")
             place = place.select("rep", F.coalesce("next", "to").alias("to"))
-        place = materialize(place, "places")
+        place = written(place, "places")
     else:
         raise RuntimeError("Components did not settle")
     if place is None:
         return edges.select(F.col("a").alias("rep"), F.col("b").alias("label"))
     names = place.groupBy("to").agg(F.min("rep").alias("label"))
-    return materialize(place.join(names, "to").select("rep", "label"), "labels")
+    return written(place.join(names, "to").select("rep", "label"), "labels")
 
 
 def links(classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -242,25 +241,25 @@ def links(classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # Postings with one member are the rarest and lead nowhere; the rest of the prefix is taken in order.
     order = Window.partitionBy("rep").orderBy("df", "place")
     held = held.withColumn("rank", F.row_number().over(order)).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("rep")))
-    prefix = materialize(held.filter(f"rank <= held - {MATCHES} + 1").select("place", "value", "rep"), "postings")
+    prefix = written(held.filter(f"rank <= held - {MATCHES} + 1").select("place", "value", "rep"), "postings")
 
     lead = prefix.groupBy("place", "value").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = prefix.join(lead, ["place", "value"])
     pairs = met.filter("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     signed = lambda c: classes.select(F.col("rep").alias(c), F.col("signature").alias(f"sig_{c}"))
     counted = pairs.join(signed("a"), "a").join(signed("b"), "b").mapInArrow(_matches, "a long, b long, matches int")
-    counted = materialize(counted.filter(F.col("matches") >= MATCHES), "pairs")
+    counted = written(counted.filter(F.col("matches") >= MATCHES), "pairs")
     best = counted.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
-    best = materialize(best, "best")
+    best = written(best, "best")
 
     used = met.select("rep").distinct()
     texts = text_rows(docs).join(used.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = texts.mapInArrow(_set_rows(width), "rep long, digest binary, codes binary")
     # The digest tells a representative from other rows with its id; copies of it are one set.
-    sets = materialize(sets.dropDuplicates(["rep", "digest"]).join(classes.select("rep", "digest"), ["rep", "digest"], "left_semi").select("rep", "codes"), "sets")
+    sets = written(sets.dropDuplicates(["rep", "digest"]).join(classes.select("rep", "digest"), ["rep", "digest"], "left_semi").select("rep", "codes"), "sets")
     of = lambda c: sets.select(F.col("rep").alias(c), F.col("codes").alias(f"set_{c}"))
     first = best.join(of("b"), "b").join(of("a"), "a").mapInArrow(_confirm, "a long, b long")
-    first = materialize(first, "first")
+    first = written(first, "first")
 
     labels = connected(first)
     named = met.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -268,12 +267,12 @@ def links(classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # A posting of two whose pair was confirmed or refuted above needs no second look.
     mixed = mixed.filter("low != high").join(best.select(F.col("a").alias("lead"), F.col("b").alias("last"), F.lit(True).alias("seen")), ["lead", "last"], "left")
     mixed = mixed.filter("not (size = 2 and seen is not null)").select("place", "value")
-    open_ends = materialize(met.join(mixed, ["place", "value"]).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "open")
+    open_ends = written(met.join(mixed, ["place", "value"]).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "open")
     members = connected(open_ends).withColumnRenamed("label", "group")
     members = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(classes.select("rep", "n"), "rep")
     keys = ["group", "label", "n", "rep"]
     chunked = members.select("rep", "group", "label", "n").repartitionByRange(*keys).sortWithinPartitions(*keys)
-    chunked = materialize(chunked.mapInArrow(_chunk, "rep long, group long, label long, n long, chunk long"), "chunks")
+    chunked = written(chunked.mapInArrow(_chunk, "rep long, group long, label long, n long, chunk long"), "chunks")
 
     parts = chunked.groupBy("group", "chunk").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     left, right = (parts.select("group", *(F.col(c).alias(f"{c}_{s}") for c in ("chunk", "low", "high", "least", "most"))) for s in ("l", "r"))
@@ -285,17 +284,17 @@ def links(classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     loaded = sides.join(chunked, "chunk").join(sets.select("rep", "codes"), "rep")
     loaded = loaded.select("chunk_l", "chunk_r", "side", "rep", "group", "label", "codes")
     second = loaded.groupBy("chunk_l", "chunk_r").applyInArrow(_meet, "a long, b long")
-    return first.union(materialize(second, "second"))
+    return first.union(written(second, "second"))
 
 
 def components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
     rows = text_rows(docs, id_col, text_col)
     signed = rows.mapInArrow(_sign(width), "doc_id long, n_shingles long, digest binary, signature binary")
-    signed = materialize(signed, "signed")
+    signed = written(signed, "signed")
     known = signed.filter("doc_id is not null and digest is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
-    classes = materialize(classes, "classes")
+    classes = written(classes, "classes")
     label = connected(links(classes, rows, width))
     named = classes.select("digest", "rep").join(label, "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     found = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")

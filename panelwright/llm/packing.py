@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.bpe import encoder
-from panelwright.llm.common import batch_of, bucket, text_rows, text_slices
-from panelwright.session import materialize
+from panelwright.llm.common import batch_of, bucket, text_rows, text_slices, written
 
 LENGTH = 4096
 #: Lengths are classed in steps of this many tokens.
@@ -194,17 +193,17 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = LENGTH
         raise ValueError("quantum must divide length")
     spark = docs.sparkSession
     rows = text_rows(docs, id_col, text_col).withColumn("fills", bucket("doc_id", FILL_SHARE) == 0)
-    coded = materialize(rows.mapInArrow(_code(vocabulary, end_id, length, quantum), _CODED_DDL), "coded")
+    coded = written(rows.mapInArrow(_code(vocabulary, end_id, length, quantum), _CODED_DDL), "coded")
 
     # Totals of each partition, and where its full sequences and its part of the filler stream begin.
     fill_size = F.when(F.col("fill_ids").isNotNull(), F.col("doc_tokens")).otherwise(F.lit(0))
     parts = coded.groupBy("part").agg(F.sum(F.size("full_crcs")).alias("n_full"), F.sum(fill_size).alias("n_fill"))
     parts = parts.select("part", _sum_before("n_full", _before("part")).alias("full_base"), _sum_before("n_fill", _before("part")).alias("fill_base"), "n_full", "n_fill")
-    parts = materialize(parts, "parts")
+    parts = written(parts, "parts")
     n_full = parts.agg(F.coalesce(F.sum("n_full"), F.lit(0))).first()[0]
 
     kinds = coded.filter("class > 0").groupBy("part", "class").agg(F.count(F.lit(1)).alias("n"))
-    kinds = materialize(kinds.select("part", "class", "n", _sum_before("n", _before("part", "class")).alias("class_base")), "kinds")
+    kinds = written(kinds.select("part", "class", "n", _sum_before("n", _before("part", "class")).alias("class_base")), "kinds")
     histogram = sorted((r["class"], r["n"]) for r in kinds.groupBy("class").agg(F.sum("n").alias("n")).collect())
     weights = np.array([k for k, _ in histogram], np.int64)
     patterns = cutting_patterns(weights, np.array([n for _, n in histogram], np.int64), length // quantum)
@@ -219,7 +218,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = LENGTH
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "part", "row")
     rests = rests.withColumn("offset", _sum_before("rest", inside.rowsBetween(Window.unboundedPreceding, -1)))
     rests = rests.withColumn("held", F.sum("rest").over(Window.partitionBy("sequence_id")))
-    rests = materialize(rests.select("doc_id", "doc_tokens", "rest", "rest_crc", "sequence_id", "offset", "held"), "rests")
+    rests = written(rests.select("doc_id", "doc_tokens", "rest", "rest_crc", "sequence_id", "offset", "held"), "rests")
 
     # Gaps side by side: the stream position of each is its block's total before it plus a running sum.
     gaps = rests.filter(f"offset = 0 and held < {length}").select("sequence_id", "held", (F.lit(length) - F.col("held")).alias("gap"), F.expr(f"sequence_id div {SEQUENCE_BLOCK}").alias("block"))

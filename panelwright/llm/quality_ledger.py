@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import batch_of, spaced_words, text_rows, text_slices, word_codes
+from panelwright.llm.common import prepare, spaced_words, text_rows, text_slices, word_codes
 
 #: Characters that count as symbols (fixed value).
 SYMBOLS = b"#*$%&|<>"
@@ -33,7 +33,7 @@ MEASURES = (
     "n_upper",
     "longest_word",
 )
-_SCHEMA = pa.schema([("doc_id", pa.int64()), *((m, pa.int64()) for m in MEASURES)])
+_DDL = ", ".join(f"{m} long" for m in MEASURES)
 _KEEP_SYMBOLS = bytes(x for x in range(256) if x not in SYMBOLS)
 _KEEP_UPPER = bytes(x for x in range(256) if not 65 <= x <= 90)
 
@@ -97,7 +97,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
                 for name, value in zip(MEASURES, values, strict=True):
                     out[name].append(value)
-        yield batch_of(_SCHEMA, {"doc_id": batch.column("doc_id"), **out})
+        rest = [n for n in batch.schema.names if n != "text"]
+        measured = [pa.array(out[m], pa.int64()) for m in MEASURES]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *measured], [*rest, *MEASURES])
 
 
 @dataclass(frozen=True)
@@ -138,8 +140,18 @@ def mask(names: tuple[str, ...] | str) -> int:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its measurements and ``failed_bits``."""
-    schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    measured = text_rows(docs, id_col, text_col).mapInArrow(_measure, schema)
+    return _with_bits(text_rows(docs, id_col, text_col).mapInArrow(_measure, f"doc_id long, {_DDL}"))
+
+
+def keep_good(docs: DataFrame, policy: tuple[str, ...] | str = "v1", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the policy keeps."""
+    prepare(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    book = _with_bits(rows.mapInArrow(_measure, f"row {docs.schema.simpleString()}, {_DDL}"))
+    return apply_policy(book, policy).filter("kept").select("row.*")
+
+
+def _with_bits(measured: DataFrame) -> DataFrame:
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(rules()):
         bits = bits.bitwiseOR(F.when(rule.fails, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import exact_dedup, license_scan, minhash_join, packing, quality_ledger, sentencepiece_spans, token_files, toxicity, url_filter
+from panelwright.llm import exact_dedup, katz, license_scan, minhash_join, packing, quality_ledger, sentencepiece_spans, token_files, toxicity, url_filter
 from panelwright.llm.bpe import public_file
 from panelwright.llm.common import table
 from panelwright.session import shared_folder
@@ -60,6 +60,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_file("word_bpe_49k.json"), end_id=2)
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return katz.score(docs, katz.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_license_scan,
         op8_quality_ledger,
         op9_packing,
+        op10_katz,
     )
 }
 

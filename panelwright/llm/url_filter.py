@@ -18,8 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import prepare
-from panelwright.session import materialize
+from panelwright.llm.common import prepare, written
 
 BUCKETS = 4096
 SIZES = (3, 4, 5)
@@ -97,7 +96,7 @@ def train(labelled: DataFrame, rounds: int = 25, rate: float = 0.6, decay: float
     """Logistic regression by full gradient steps with momentum; each step is one aggregation."""
     prepare(labelled.sparkSession)
     rows = parts(labelled.filter("url is not null and label is not null"), "url", F.col("label").cast("double").alias("label"))
-    rows = materialize(rows.select("label", features().alias("buckets")), "urls")
+    rows = written(rows.select("label", features().alias("buckets")), "urls")
     n = rows.count()
     model = UrlModel(np.zeros(BUCKETS), 0.0)
     if not n:
