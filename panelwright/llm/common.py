@@ -120,10 +120,11 @@ class PieceCache:
 
 
 def spaced_words(texts: pa.Array) -> Pieces:
-    """Words are runs of anything but the six ASCII spaces; no text gives an empty word."""
+    """Words are runs of anything but the six ASCII spaces; a blank text has none."""
     import pyarrow.compute as pc
 
-    return Pieces(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts)))
+    trimmed = pc.ascii_trim_whitespace(texts)
+    return Pieces(pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), None, trimmed)))
 
 
 def _word_hashes(words: list[str]) -> list[bytes]:
