@@ -3,7 +3,7 @@
 Confirmed toxic documents are the positives, ordinary documents whose labels nobody looks at the
 unlabelled ones. The class prior corrects the risk: the negative part is the unlabelled risk minus the
 prior's share of the positive one, and when it falls below zero the step goes back up (non-negative
-estimator). Several linear numpy classifiers, each with another part of the unlabelled documents, see
+estimator). Several linear numpy classifiers, each without another part of the unlabelled documents, see
 hashed words and word beginnings of whole texts; their mean log-odds give the score.
 
 Fitted on a bounded sample (``MAX_POSITIVE`` and ``MAX_UNLABELLED`` documents, chosen by a hash of the
@@ -90,7 +90,7 @@ def _rows(lists: list[np.ndarray], buckets: np.ndarray) -> tuple[np.ndarray, np.
     return row[held], at[held]
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 18.0) -> np.ndarray:
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 8.0) -> np.ndarray:
     """Buckets that positives hold more often, by a log-likelihood ratio of at least ``least``."""
     buckets, p = np.unique(np.concatenate(positive), return_counts=True)
     u = np.bincount(_rows(unlabelled, buckets)[1], minlength=len(buckets))
@@ -111,7 +111,7 @@ def one_of_each(rows: list[np.ndarray]) -> list[np.ndarray]:
     return list(found.values())
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Classifier:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 200, rate: float = 0.1, decay: float = 3e-4) -> Classifier:
     """One classifier by the non-negative risk estimator, full batches and Adam."""
     start = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not positive or not unlabelled:
@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return [fit([], [], prior)]
     only = np.unique(np.concatenate(positive))
     unlabelled = _collect(rows.filter(_share("doc_id", MAX_UNLABELLED, rows.count())), only)
-    return [fit(positive, unlabelled[i::CLASSIFIERS], prior) for i in range(CLASSIFIERS)]
+    parts = ([x for j, x in enumerate(unlabelled) if j % CLASSIFIERS != i] for i in range(CLASSIFIERS))
+    return [fit(positive, part, prior) for part in parts]
 
 
 def _scorer(models: list[Classifier]):
