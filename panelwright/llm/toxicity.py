@@ -151,7 +151,7 @@ def _extract(only: np.ndarray | None):
             for texts in text_slices(batch):
                 found = text_features(texts)
                 if only is not None:
-                    found = (x[np.isin(x, only)] for x in found)
+                    found = (x[only[np.minimum(np.searchsorted(only, x), len(only) - 1)] == x] for x in found)
                 yield batch_of(schema, {"features": [x.astype("<u4").tobytes() for x in found]})
 
     return run

@@ -89,7 +89,7 @@ def test_toxicity_finds_held_out_documents(spark):
         text = list(rng.choice(words, 30))
         toxic = int(i % 8 == 0)
         if toxic:
-            text[3:6] = rng.choice(["nastyword", "vileword", "nastyish"], 3)
+            text[3:6] = ["nastyword", *rng.choice(["vileword", "nastyish"], 2)]
         rows.append((i, " ".join(text)))
         labels.append((i, toxic))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
