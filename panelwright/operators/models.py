@@ -1,19 +1,21 @@
-"""Forecast models on Spark ML: elastic net and gradient-boosted trees."""
+"""Forecast models: elastic net from one pass of moments (or Spark's solver), gradient-boosted trees."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.functions.quantiles import long_form, summarize
+from panelwright.functions.quantiles import Summary, long_form, summarize
 from panelwright.operators.features import CONSTANT_SPREAD
 from panelwright.spec import ModelSpec
 
@@ -23,9 +25,32 @@ RAW, SCALED, PREDICTION = "_raw_features", "_features", "prediction"
 MAX_ITERATIONS = 5000
 
 
+@dataclass(frozen=True)
+class LinearFit:
+    """A linear model: weights per unit of the raw feature, and what each feature was divided by."""
+
+    features: tuple[str, ...]
+    weights: tuple[float, ...]
+    spreads: tuple[float, ...]
+    intercept: float
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Means, spreads and the covariances of the features, each divided by its spread, and the target.
+
+    The last row and column belong to the target, which is not divided.
+    """
+
+    features: tuple[str, ...]
+    means: np.ndarray
+    spreads: np.ndarray
+    covariances: np.ndarray
+
+
 @dataclass(frozen=True)
 class TrainedModel:
-    pipeline: PipelineModel
+    pipeline: PipelineModel | LinearFit
     features: tuple[str, ...]
     rmse: float
 
@@ -34,37 +59,142 @@ class TrainedModel:
         return predict(self.pipeline, df)
 
 
-def linear_weights(pipeline: PipelineModel) -> tuple[dict[str, float], float] | None:
+def linear_weights(fitted: PipelineModel | LinearFit) -> tuple[dict[str, float], float] | None:
     """Weights per raw feature and the intercept of a fitted elastic net; None for other models."""
-    fitted = pipeline.stages[-1]
-    if not isinstance(fitted, LinearRegressionModel):
+    if isinstance(fitted, LinearFit):
+        return dict(zip(fitted.features, fitted.weights)), fitted.intercept
+    last = fitted.stages[-1]
+    if not isinstance(last, LinearRegressionModel):
         return None
-    assembler, scaler = pipeline.stages[0], pipeline.stages[1]
-    scaled = [float(w * s) for w, s in zip(fitted.coefficients, scaler.getScalingVec())]
-    return dict(zip(assembler.getInputCols(), scaled)), float(fitted.intercept)
+    assembler, scaler = fitted.stages[0], fitted.stages[1]
+    scaled = [float(w * s) for w, s in zip(last.coefficients, scaler.getScalingVec())]
+    return dict(zip(assembler.getInputCols(), scaled)), float(last.intercept)
+
 
+def _total(terms: list[Column]) -> Column:
+    """A balanced sum: its depth grows with the logarithm of the number of terms."""
+    while len(terms) > 1:
+        pairs = [a + b for a, b in zip(terms[::2], terms[1::2])]
+        terms = pairs + (terms[-1:] if len(terms) % 2 else [])
+    return terms[0]
 
-def predict(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
+
+def predict(fitted: PipelineModel | LinearFit, df: DataFrame) -> DataFrame:
     """Add ``prediction``.
 
     A linear model is one expression over the features it uses: no vectors, and what feeds only
     features of weight zero is pruned from the plan, windows included.
     """
-    linear = linear_weights(pipeline)
+    linear = linear_weights(fitted)
     if linear is None:
-        return pipeline.transform(df).select(*df.columns, PREDICTION)
+        return fitted.transform(df).select(*df.columns, PREDICTION)
     weights, intercept = linear
-    value = F.lit(intercept)
-    for name, w in weights.items():
-        if w != 0.0:
-            value = value + F.lit(w) * F.col(name)
-    return df.select("*", value.alias(PREDICTION))
+    used = [F.lit(w) * F.col(name) for name, w in weights.items() if w != 0.0]
+    return df.select("*", _total([F.lit(intercept), *used]).alias(PREDICTION))
+
+
+def moments(df: DataFrame, features: Sequence[str], target: str) -> Moments:
+    """Two scans: means and spreads, then the products of the centred columns, summed per task.
+
+    What is shuffled and returned is bounded by the width: a row of products for each column and task,
+    then one for each column.
+    """
+    columns = [*features, target]
+    summaries = summarize(df, columns, moments=True)
+    if any(summaries[c].values < summaries[c].rows or summaries[c].below or summaries[c].above for c in columns):
+        bad = [c for c in columns if summaries[c].values < summaries[c].rows]
+        raise ValueError(f"Training columns hold NULL or infinite values: {bad}")
+    means = np.array([summaries[c].mean or 0.0 for c in columns])
+    spreads = np.array([_spread(summaries[c]) for c in features] + [1.0])
+    n = summaries[target].rows
+    width = len(columns)
+    schema = pa.schema([("place", pa.int32()), ("products", pa.list_(pa.float64()))])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = (x - means) / spreads
+            total += x.T @ x
+        rows = pa.array(total.tolist(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), rows], schema=schema)
+
+    def added(table: pa.Table) -> pa.Table:
+        rows = np.array(table.column("products").to_pylist())
+        return pa.table({"place": table.column("place")[:1], "products": [rows.sum(axis=0).tolist()]}, schema=schema)
+
+    ddl = "place int, products array<double>"
+    doubles = df.select(*(F.col(c).cast("double") for c in columns))
+    found = doubles.mapInArrow(products, ddl).groupBy("place").applyInArrow(added, ddl).collect()
+    covariances = np.zeros((width, width))
+    for row in found:
+        covariances[row["place"]] = row["products"]
+    return Moments(tuple(features), means, spreads, covariances / max(n, 1))
+
+
+def _spread(summary: Summary) -> float:
+    """The population deviation, 1 for a constant column."""
+    mean, std = summary.mean or 0.0, (summary.variance or 0.0) ** 0.5
+    return 1.0 if std <= CONSTANT_SPREAD * max(1.0, abs(mean)) else std
+
+
+def coordinate_descent(
+    m: Moments, alpha: float, l1_ratio: float, sweeps: int = MAX_ITERATIONS, tol: float = 1e-12
+) -> tuple[LinearFit, float]:
+    """The elastic net of the moments and its in-sample error.
+
+    Minimises ``|y - Xw|^2 / 2n + alpha l1 |w|_1 + alpha (1 - l1) / 2 |w|^2`` for columns divided by
+    their population deviation without centring, with a free intercept.
+    """
+    p = len(m.features)
+    g, c, spread = m.covariances[:p, :p], m.covariances[:p, p], m.covariances[p, p]
+    a1, a2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
+    w, slope = np.zeros(p), c.copy()  # slope = c - g w
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in range(p):
+            if g[j, j] == 0.0:
+                continue
+            rho = slope[j] + g[j, j] * w[j]
+            new = math.copysign(max(abs(rho) - a1, 0.0), rho) / (g[j, j] + a2)
+            step = new - w[j]
+            if step:
+                slope -= g[:, j] * step
+                w[j] = new
+                moved = max(moved, abs(step))
+        if moved <= tol * max(1.0, float(np.abs(w).max(initial=0.0))):
+            break
+    raw = w / m.spreads[:p]
+    fit = LinearFit(m.features, tuple(map(float, raw)), tuple(map(float, m.spreads[:p])), float(m.means[p] - raw @ m.means[:p]))
+    return fit, math.sqrt(max(0.0, float(spread - 2 * w @ c + w @ g @ w)))
+
+
+def train_models(
+    specs: Sequence[ModelSpec], df: DataFrame, features: Sequence[str], target: str
+) -> list[TrainedModel]:
+    """Fit several models on the same rows; all elastic nets share the passes over the data."""
+    shared: Moments | None = None
+    found = []
+    for spec in specs:
+        if spec.type.lower() == "elastic_net" and _solver(spec) == "moments":
+            shared = shared or moments(df, features, target)
+            p = spec.params
+            fit, rmse = coordinate_descent(
+                shared, float(p.get("alpha", 0.5)), float(p.get("l1_ratio", 0.5)),
+                int(p.get("max_iter", MAX_ITERATIONS)), float(p.get("tol", 1e-12)),
+            )
+            found.append(TrainedModel(fit, tuple(features), rmse))
+        else:
+            found.append(train_model(spec, df, features, target))
+    return found
 
 
 def train_model(
     spec: ModelSpec, df: DataFrame, features: Sequence[str], target: str
 ) -> TrainedModel:
     """Fit on the rows of ``df`` and report the in-sample error."""
+    if spec.type.lower() == "elastic_net" and _solver(spec) == "moments":
+        return train_models([spec], df, features, target)[0]
     features = list(features)
     rows = df.select(target, *features)
     pipeline = build_model(spec, rows, features, target).fit(rows)
@@ -85,6 +215,29 @@ def build_model(
     raise ValueError(f"Unsupported model type: {spec.type}")
 
 
+#: Elastic-net parameters; the solver is ``moments`` (covariances, then coordinate descent) or
+#: ``l-bfgs`` (Spark's, one pass over the data for each iteration, memory linear in the width).
+ELASTIC_NET_PARAMS = ("alpha", "l1_ratio", "max_iter", "tol", "solver")
+#: Boosting parameters that Spark's trees know, under their usual names.
+BOOSTING_PARAMS = (
+    "max_depth", "n_estimators", "learning_rate", "min_child_samples", "subsample", "colsample_bytree", "random_state",
+)
+
+
+def _known(spec: ModelSpec, names: Sequence[str]) -> None:
+    unknown = sorted(set(spec.params) - set(names))
+    if unknown:
+        raise ValueError(f"{spec.type} does not know the parameters {unknown}; it has {sorted(names)}")
+
+
+def _solver(spec: ModelSpec) -> str:
+    _known(spec, ELASTIC_NET_PARAMS)
+    solver = spec.params.get("solver", "moments")
+    if solver not in ("moments", "l-bfgs"):
+        raise ValueError(f"solver must be moments or l-bfgs, not {solver!r}")
+    return solver
+
+
 def _elastic_net(
     spec: ModelSpec, df: DataFrame, features: list[str], target: str
 ) -> Pipeline:
@@ -96,10 +249,7 @@ def _elastic_net(
     alpha = float(spec.params.get("alpha", 0.5))
     l1_ratio = float(spec.params.get("l1_ratio", 0.5))
     summaries = summarize(df, [*features, target], moments=True)
-    inverse = []
-    for c in features:
-        mean, std = summaries[c].mean or 0.0, (summaries[c].variance or 0.0) ** 0.5
-        inverse.append(1.0 if std <= CONSTANT_SPREAD * max(1.0, abs(mean)) else 1.0 / std)
+    inverse = [1.0 / _spread(summaries[c]) for c in features]
     y = summaries[target]
     spread = ((y.variance or 0.0) * y.values / max(1, y.values - 1)) ** 0.5
     l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio) * (spread or 1.0)
@@ -128,9 +278,15 @@ def _elastic_net(
 
 
 def _boosted_trees(spec: ModelSpec, features: list[str], target: str) -> Pipeline:
-    """Gradient-boosted trees; parameter names follow the usual boosting libraries."""
+    """Gradient-boosted trees; parameter names follow the usual boosting libraries.
+
+    Spark has no unlimited depth and no leaf limit, L1 or L2 term: such parameters are refused.
+    """
+    _known(spec, BOOSTING_PARAMS)
     p = spec.params
     depth = int(p.get("max_depth", 5))
+    if not 0 <= depth <= 30:
+        raise ValueError(f"max_depth must be between 0 and 30, not {depth}")
     share = float(p.get("colsample_bytree", 1.0))
     trees = GBTRegressor(
         featuresCol=RAW,
@@ -138,12 +294,11 @@ def _boosted_trees(spec: ModelSpec, features: list[str], target: str) -> Pipelin
         predictionCol=PREDICTION,
         maxIter=int(p.get("n_estimators", 100)),
         stepSize=float(p.get("learning_rate", 0.1)),
-        # -1 means no limit elsewhere; Spark's limit is 30 levels, its memory grows with 2^depth.
-        maxDepth=min(30, depth) if depth > 0 else 10,
+        maxDepth=depth,
         minInstancesPerNode=int(p.get("min_child_samples", 20)),
         subsamplingRate=float(p.get("subsample", 1.0)),
         featureSubsetStrategy="all" if share >= 1.0 else str(share),
-        seed=spec.seed,
+        seed=int(p.get("random_state", spec.seed)),
         checkpointInterval=10,
     )
     return Pipeline(
@@ -173,17 +328,22 @@ def optimality_gaps(
 
     For scaled column x: ``|x'r/n - a2 w| <= a1`` and equality with sign(w) where w is not 0.
     """
-    fitted, scaler = model.pipeline.stages[-1], model.pipeline.stages[-2]
+    if isinstance(model.pipeline, LinearFit):
+        scales = [1.0 / s for s in model.pipeline.spreads]
+    else:
+        scales = [float(s) for s in model.pipeline.stages[-2].getScalingVec()]
+    raw, _ = linear_weights(model.pipeline)
+    scaled = [raw[c] / s for c, s in zip(model.features, scales)]
     a1, a2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
     scored = model.predict(df.select(target, *model.features))
     residual = F.col(target) - F.col(PREDICTION)
     slopes = [
-        F.col(c) * F.lit(float(s)) * residual for c, s in zip(model.features, scaler.getScalingVec())
+        F.col(c) * F.lit(s) * residual for c, s in zip(model.features, scales)
     ]
     averaged = long_form(scored, slopes).groupBy("_id").agg(F.avg("_value").alias("slope"))
     found = {r["_id"]: r["slope"] for r in averaged.collect()}
     rows = []
-    for i, (name, w) in enumerate(zip(model.features, fitted.coefficients)):
+    for i, (name, w) in enumerate(zip(model.features, scaled)):
         slope = found[i] - a2 * w
         gap = max(0.0, abs(slope) - a1) if w == 0.0 else abs(slope - math.copysign(a1, w))
         rows.append((name, float(w), float(gap)))

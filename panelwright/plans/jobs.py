@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from panelwright.functions.scalars import position
 from panelwright.operators.evaluation import rmse, strategy_report
 from panelwright.operators.features import FeatureEstimator
-from panelwright.operators.models import PREDICTION, TrainedModel, train_model
+from panelwright.operators.models import PREDICTION, TrainedModel, train_model, train_models
 from panelwright.operators.splits import Fold, fold_filter, trailing_window, walk_forward_folds
 from panelwright.session import materialize
 from panelwright.sources.artifacts import Artifacts, load_artifacts, save_artifacts
-from panelwright.sources.writers import read_written, write_metrics, write_panel, write_values
+from panelwright.sources.writers import read_written, write_metrics, write_panel
 from panelwright.spec import (
     FeatureSpec,
     ModelSpec,
@@ -51,7 +51,8 @@ def train(
     matrix = read_written(spark, f"{out}/processed/feature_matrix")
     trained = train_model(model, matrix, fitted.fitted_columns, panel.target)
     save_artifacts(spark, f"{out}/artifacts", fitted, trained.pipeline)
-    write_values(spark, {"rmse": trained.rmse}, f"{out}/artifacts/metadata/training_statistics")
+    statistics = spark.createDataFrame([((trained.rmse,),)], "training struct<rmse: double>")
+    write_metrics(statistics, f"{out}/artifacts/metadata/training_statistics")
     names = spark.createDataFrame([(fitted.fitted_columns,)], "features array<string>")
     write_metrics(names, f"{out}/artifacts/metadata/feature_list")
     return trained
@@ -120,8 +121,7 @@ def walk_forward(
     reports = []
     for fold in walk_forward_folds(clean, panel, split):
         matrix, valid, names = _fold_matrices(clean, panel, fold, features)
-        for i, spec in enumerate(models):
-            trained = train_model(spec, matrix, names, panel.target)
+        for i, (spec, trained) in enumerate(zip(models, train_models(models, matrix, names, panel.target))):
             scored = materialize(
                 trained.predict(valid).select(
                     *panel.order,

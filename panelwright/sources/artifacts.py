@@ -9,28 +9,43 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.operators.features import FeatureModel
-from panelwright.operators.models import predict
+from panelwright.operators.models import LinearFit, predict
+
+#: Name of the row that holds the intercept; no column can be called so in a panel.
+INTERCEPT = "(intercept)"
 
 
 @dataclass(frozen=True)
 class Artifacts:
     features: FeatureModel
-    pipeline: PipelineModel
+    pipeline: PipelineModel | LinearFit
 
     def predict(self, df: DataFrame) -> DataFrame:
         return predict(self.pipeline, df)
 
 
 def save_artifacts(
-    spark: SparkSession, path: str, features: FeatureModel, pipeline: PipelineModel
+    spark: SparkSession, path: str, features: FeatureModel, pipeline: PipelineModel | LinearFit
 ) -> None:
-    pipeline.write().overwrite().save(f"{path}/model")
+    """Feature statistics and the model: a linear fit as a table of weights, others as Spark writes them."""
+    rows: list[tuple[int, str, float, float | None]] = []
+    if isinstance(pipeline, LinearFit):
+        fitted = zip(pipeline.features, pipeline.weights, pipeline.spreads)
+        rows = [(i, *f) for i, f in enumerate(fitted)] + [(-1, INTERCEPT, pipeline.intercept, None)]
+    else:
+        pipeline.write().overwrite().save(f"{path}/model")
+    weights = spark.createDataFrame(rows, "place long, feature string, weight double, spread double")
+    weights.coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
     features.save(spark, f"{path}/features")
 
 
 def load_artifacts(spark: SparkSession, path: str) -> Artifacts:
     try:
         features = FeatureModel.load(spark, f"{path}/features")
+        rows = spark.read.parquet(f"{path}/weights").orderBy("place").collect()
     except AnalysisException as missing:
         raise FileNotFoundError(f"No fitted model under {path}: train first") from missing
-    return Artifacts(features, PipelineModel.load(f"{path}/model"))
+    if not rows:
+        return Artifacts(features, PipelineModel.load(f"{path}/model"))
+    names, weights, spreads = zip(*((r.feature, r.weight, r.spread) for r in rows[1:])) if rows[1:] else ((), (), ())
+    return Artifacts(features, LinearFit(names, weights, spreads, rows[0].weight))

@@ -41,27 +41,51 @@ def coordinate_descent(x, y, alpha, l1_ratio, rounds=3000):
     return w
 
 
+@pytest.mark.parametrize("solver", ["moments", "l-bfgs"])
 @pytest.mark.parametrize("alpha, l1_ratio", [(0.5, 0.5), (0.05, 0.9), (0.0, 0.5)])
-def test_elastic_net_matches_coordinate_descent(spark, alpha, l1_ratio):
+def test_elastic_net_matches_coordinate_descent(spark, alpha, l1_ratio, solver):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 4)) * [1.0, 2.0, 0.5, 3.0] + 1.0
     y = x @ [1.0, -0.7, 0.0, 0.1] + rng.normal(scale=0.3, size=300)
     names = ["a", "b", "c", "d"]
     df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], [*names, "y"])
     trained = md.train_model(
-        ModelSpec("elastic_net", {"alpha": alpha, "l1_ratio": l1_ratio}), df, names, "y"
+        ModelSpec("elastic_net", {"alpha": alpha, "l1_ratio": l1_ratio, "solver": solver}), df, names, "y"
     )
     want = coordinate_descent(x, y, alpha, l1_ratio)
     weights, intercept = md.linear_weights(trained.pipeline)
     assert np.allclose([weights[n] for n in names] * x.std(axis=0), want, atol=1e-6)
     fitted = x @ [weights[n] for n in names] + intercept
     assert trained.rmse == pytest.approx(np.sqrt(((y - fitted) ** 2).mean()))
-    by_vector = trained.pipeline.transform(df).select("prediction").toPandas()["prediction"]
     by_column = trained.predict(df).select("prediction").toPandas()["prediction"]
-    assert np.allclose(by_vector, by_column)
+    assert np.allclose(fitted, by_column)
     assert md.optimality_gaps(df, trained, "y", alpha, l1_ratio).agg(F.max("gap")).first()[0] < 1e-6
 
 
+def test_parameters_are_not_ignored(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 3.0)], "x double, y double")
+    for kind, params in (
+        ("gbt", {"num_leaves": 31}), ("gbt", {"max_depth": -1}), ("gbt", {"max_depth": 31}), ("gbt", {"reg_alpha": 1.0}),
+        ("elastic_net", {"alhpa": 1.0}), ("elastic_net", {"solver": "magic"}),
+    ):
+        with pytest.raises(ValueError):
+            md.train_model(ModelSpec(kind, params), df, ["x"], "y")
+
+
+def test_wide_linear_model(spark):
+    names = [f"f{i}" for i in range(2000)]
+    df = spark.createDataFrame([tuple(float(i % 7) for i in range(2000))], ", ".join(f"{n} double" for n in names))
+    weights = tuple(0.5 + i for i in range(2000))
+    got = md.predict(md.LinearFit(tuple(names), weights, (1.0,) * 2000, 3.0), df).select("prediction").first()[0]
+    assert got == pytest.approx(3.0 + sum(w * (i % 7) for i, w in enumerate(weights)))
+
+
+def test_nulls_are_refused_in_training(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 3.0)], "x double, y double")
+    with pytest.raises(ValueError, match="NULL"):
+        md.train_model(ModelSpec(), df, ["x"], "y")
+
+
 def test_unknown_model(spark):
     with pytest.raises(ValueError, match="forest"):
         md.build_model(ModelSpec("forest"), spark.range(1), ["id"], "id")
@@ -93,7 +117,7 @@ def test_train_leaves_its_artifacts(spark, trained):
     assert read_written(spark, f"{out}/processed/feature_matrix").count() == history.count()
     assert read_written(spark, f"{out}/processed/cleaned_train").count() == history.count()
     metrics = spark.read.json(f"{out}/artifacts/metadata/training_statistics").first()
-    assert metrics["rmse"] == model.rmse
+    assert metrics["training"]["rmse"] == model.rmse
     names = spark.read.json(f"{out}/artifacts/metadata/feature_list").first()["features"]
     assert names == list(model.features)
     assert model.rmse < history.agg(F.stddev_pop("target")).first()[0]
