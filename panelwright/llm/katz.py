@@ -7,16 +7,22 @@ the other words in proportion to their unigram probability; the backoff weight i
 both rests, so that the probabilities after any history add up to 1. One class stands for all unknown
 words; its probability is what discounting takes from the known ones.
 
-The model is two tables, partitioned by a hash of their key: ``words`` (code, count, unigram log, backoff
-log) and ``pairs`` (code of the pair, gain). The recursion "the pair if seen, else backoff weight times
-the next lower order" is evaluated for every token; since logs add up, the lower order is summed for all
-tokens and the gain of a seen pair over its backoff is added where there is one.
+Documents are tokenized once into chunks of about ``SLICE_BYTES`` of text. A chunk keeps its distinct
+words and its tokens as places among them, so that the joins see each distinct word and each distinct
+pair of a chunk once, however often it occurs:
+
+1. Words are counted, numbered by falling frequency, and each chunk learns the numbers and counts of its
+   words; its documents then have their unigram sums.
+2. Pairs of numbers are counted. The ``model`` table has one row for each seen pair (history, word: the
+   gain of the pair over its backoff) and one for each history (history, -1: the log of its weight).
+3. Each chunk asks the model for its distinct pairs and histories and adds the answers up per document:
+   "the pair if seen, else the weight times the next lower order", for every token, in logs.
 
 Words are 64-bit hashes inside the tables. Logs are base 10.
 
 Defined results: a null or empty text is its end token alone. Rows without an id train and are not held
-out. Rows that share an id are scored each by its own text. Without training documents the counts are 0,
-and every token has the log of 1 (unknown words are certain). Other columns are ignored.
+out. Rows that repeat an id or a text are scored one by one. Without training documents the counts are
+0, and every token has the log of 1 (unknown words are certain). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,68 +32,218 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import batch_of, bucket, mix, spaced_words, text_rows, text_slices, word_codes, written
+from panelwright.llm.common import batch_of, bucket, spaced_words, text_rows, text_slices, word_codes, written
 
 FOLDS, HELD_OUT = 5, 1
 GOOD_TURING, CUTOFF, LEAST = 5, 2, 0.1
-#: Codes of the end token and of the start as a history; words have hashes of their bytes.
-END, BEGIN = np.uint64(0x9D3F1C55E2A7B601), np.uint64(0x3B8E90D1746FAC25)
-#: Tokens of training text that are counted together before the shuffle.
-COUNT_TOKENS = 4_000_000
-
-
-def _histories(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all tokens and of the history of each, and the bounds of the texts."""
+#: Code of the end token; words have hashes of their bytes.
+END = 0x1D3F1C55E2A7B601
+#: Number of the start as a history, and the word number that stands for "the weight of this history".
+BEGIN, WEIGHT = 0, -1
+
+_CHUNK = pa.schema(
+    [
+        ("chunk", pa.int64()),
+        ("doc_ids", pa.list_(pa.int64())),
+        ("held_out", pa.list_(pa.bool_())),
+        ("lengths", pa.list_(pa.int64())),
+        ("words", pa.binary()),
+        ("tokens", pa.binary()),
+    ]
+)
+_CHUNK_DDL = "chunk long, doc_ids array<long>, held_out array<boolean>, lengths array<long>, words binary, tokens binary"
+
+
+def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents; place 0 among the words is the end token."""
     import pyarrow.compute as pc
+    from pyspark import TaskContext
 
-    pieces = spaced_words(pc.ascii_lower(texts))
-    codes, n = word_codes(pieces), len(pieces)
-    bounds = pieces.bounds + np.arange(n + 1)
-    tokens = np.empty(bounds[-1], np.uint64)
-    ends = np.zeros(len(tokens), bool)
-    ends[bounds[1:] - 1] = True
-    tokens[ends], tokens[~ends] = END, codes
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[bounds[:-1]] = BEGIN
-    return tokens, before, bounds
-
+    chunk = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        at = 0
+        for texts in text_slices(batch):
+            pieces = spaced_words(pc.ascii_lower(texts))
+            n = len(texts)
+            bounds = pieces.bounds + np.arange(n + 1)
+            tokens = np.zeros(bounds[-1], np.uint32)
+            inner = np.ones(len(tokens), bool)
+            inner[bounds[1:] - 1] = False
+            distinct, places = np.unique(word_codes(pieces), return_inverse=True)
+            tokens[inner] = places + 1
+            words = np.append(np.uint64(END), distinct)
+            row = (
+                chunk, batch.column("doc_id").slice(at, n).to_pylist(), batch.column("held_out").slice(at, n).to_pylist(),
+                np.diff(bounds).tolist(), words.tobytes(), tokens.tobytes(),
+            )
+            yield batch_of(_CHUNK, {name: [x] for name, x in zip(_CHUNK.names, row, strict=True)})
+            chunk, at = chunk + 1, at + n
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(len(batch)):
+            yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
 
-def pair_codes(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens)
 
+_USES = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("code", pa.int64()), ("n", pa.int32())])
 
-_COUNTS = pa.schema([("pair", pa.bool_()), ("before", pa.int64()), ("token", pa.int64()), ("n", pa.int64())])
 
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's words and how often they occur in its training documents."""
+    for row in _rows(batches):
+        words, tokens = np.frombuffer(row["words"], np.int64), np.frombuffer(row["tokens"], np.uint32)
+        train = np.repeat(~np.array(row["held_out"], bool), row["lengths"])
+        n = np.bincount(tokens[train], minlength=len(words))
+        yield batch_of(_USES, {"chunk": np.full(len(words), row["chunk"]), "place": np.arange(len(words)), "code": words, "n": n})
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and pairs with their counts, added up over ``COUNT_TOKENS``."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
 
-    def close() -> Iterator[pa.RecordBatch]:
-        tokens, before = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        words, n = np.unique(tokens, return_counts=True)
-        none = np.zeros(len(words), np.int64)
-        yield batch_of(_COUNTS, {"pair": np.zeros(len(words), bool), "before": none, "token": words.view(np.int64), "n": n})
-        _, first, n = np.unique(pair_codes(before, tokens), return_index=True, return_counts=True)
-        for i in range(0, len(first), 200_000):
-            at = first[i : i + 200_000]
-            yield batch_of(_COUNTS, {"pair": np.ones(len(at), bool), "before": before[at].view(np.int64), "token": tokens[at].view(np.int64), "n": n[i : i + 200_000]})
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
 
+    part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for texts in text_slices(batch):
-            tokens, before, _ = _histories(texts)
-            held.append((tokens, before))
-            size += len(tokens)
-            if size >= COUNT_TOKENS:
-                yield from close()
-                held, size = [], 0
-    if held:
-        yield from close()
+        n = len(batch)
+        extra = [pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(at, at + n), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "part", "place"])
+        at += n
+
+
+_CODED = pa.schema(
+    [
+        ("chunk", pa.int64()),
+        ("doc_ids", pa.list_(pa.int64())),
+        ("held_out", pa.list_(pa.bool_())),
+        ("lengths", pa.list_(pa.int64())),
+        ("n_known", pa.list_(pa.int64())),
+        ("base", pa.list_(pa.float64())),
+        ("lower", pa.list_(pa.float64())),
+        ("numbers", pa.binary()),
+    ]
+)
+_CODED_DDL = (
+    "chunk long, doc_ids array<long>, held_out array<boolean>, lengths array<long>, n_known array<long>, "
+    "base array<double>, lower array<double>, numbers binary"
+)
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the documents' values; each has one token at least."""
+    return np.add.reduceat(values, bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
+
+
+def _code(n_tokens: int, n_words: int, log_unknown: float):
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        tokens = np.frombuffer(row["tokens"], np.uint32)
+        bounds = np.append(0, np.cumsum(row["lengths"]))
+        places = answers.column("place").to_numpy()
+        by_place = {}
+        for name, none in (("number", -1), ("n", 0), ("p_word", np.nan)):
+            values = np.full(len(row["words"]) // 8, none, np.float64 if name == "p_word" else np.int64)
+            found = answers.column(name).fill_null(none).to_numpy()
+            values[places] = found
+            by_place[name] = values
+        log_word = np.where(by_place["n"] > 0, np.log10(np.where(by_place["n"] > 0, by_place["p_word"], 1.0)), log_unknown)
+        base = np.log10((by_place["n"] + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
+        numbers = by_place["number"][tokens]
+        small = len(numbers) == 0 or numbers.max() < 1 << 31
+        out = row | {
+            "n_known": _sums((by_place["n"] > 0)[tokens].astype(np.int64), bounds).tolist(),
+            "base": _sums(base[tokens], bounds).tolist(),
+            "lower": _sums(log_word[tokens], bounds).tolist(),
+            "numbers": (b"4" if small else b"8") + numbers.astype(np.int32 if small else np.int64).tobytes(),
+        }
+        return pa.Table.from_pylist([{n: out[n] for n in _CODED.names}], _CODED)
+
+    return run
+
+
+def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """History and word number of every token (-1: unknown), and the bounds of the documents."""
+    packed = row["numbers"]
+    numbers = np.frombuffer(packed[1:], np.int32 if packed[:1] == b"4" else np.int64).astype(np.int64)
+    bounds = np.append(0, np.cumsum(row["lengths"])).astype(np.int64)
+    before = np.empty_like(numbers)
+    before[1:] = numbers[:-1]
+    before[bounds[:-1]] = BEGIN
+    return before, numbers, bounds
+
+
+def _distinct(before: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of one token of each distinct pair, the pair of each token, and the counts."""
+    order = np.lexsort((numbers, before))
+    a, b = before[order], numbers[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+    inverse = np.empty(len(a), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse, np.diff(np.append(np.flatnonzero(new), len(a)))
+
+
+_PAIRS = pa.schema([("before", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _rows(batches):
+        before, numbers, _ = _pairs_of(row)
+        train = np.repeat(~np.array(row["held_out"], bool), row["lengths"])
+        first, _, n = _distinct(before[train], numbers[train])
+        yield batch_of(_PAIRS, {"before": before[train][first], "word": numbers[train][first], "n": n})
+
+
+_ASKED = pa.schema([("chunk", pa.int64()), ("before", pa.int64()), ("word", pa.int64())])
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's distinct pairs of known words, and its distinct known histories."""
+    for row in _rows(batches):
+        before, numbers, _ = _pairs_of(row)
+        both = (before >= 0) & (numbers >= 0)
+        first, _, _ = _distinct(before[both], numbers[both])
+        histories = np.unique(before[before >= 0])
+        a = np.concatenate((before[both][first], histories))
+        b = np.concatenate((numbers[both][first], np.full(len(histories), WEIGHT)))
+        yield batch_of(_ASKED, {"chunk": np.full(len(a), row["chunk"]), "before": a, "word": b})
+
+
+_SCORED = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("held_out", pa.bool_()),
+        ("n_tokens", pa.int64()),
+        ("n_known", pa.int64()),
+        ("base_score", pa.float64()),
+        ("score", pa.float64()),
+    ]
+)
+_SCORED_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _answer(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    """Scores of a chunk's documents from the model's answers."""
+    row = chunk.to_pylist()[0]
+    before, numbers, bounds = _pairs_of(row)
+    history, word, value = (answers.column(n).to_numpy() for n in ("before", "word", "value"))
+    total = np.zeros(len(numbers))
+    for asked_word in (False, True):
+        mine = (word != WEIGHT) == asked_word
+        own = numbers if asked_word else np.full(len(numbers), WEIGHT)
+        first, inverse, _ = _distinct(np.concatenate((before, history[mine])), np.concatenate((own, word[mine])))
+        by_pair = np.zeros(len(first))
+        by_pair[inverse[len(numbers) :]] = value[mine]
+        total += by_pair[inverse[: len(numbers)]]
+    out = {
+        "doc_id": row["doc_ids"],
+        "held_out": row["held_out"],
+        "n_tokens": row["lengths"],
+        "n_known": row["n_known"],
+        "base_score": row["base"],
+        "score": np.array(row["lower"]) + _sums(total, bounds),
+    }
+    return pa.Table.from_batches([batch_of(_SCORED, out)])
 
 
 def discounts(counts_of_counts: dict[int, int], k: int = GOOD_TURING) -> dict[int, float]:
@@ -114,123 +270,81 @@ def _discounted(count: Column, shares: dict[int, float]) -> Column:
 
 
 @dataclass(frozen=True)
-class Model:
-    #: code, n (null for a mere history), log_word, log_backoff.
+class Corpus:
+    """Tokenized documents: ``chunks`` (places), ``words`` (code, number, n, p_word) and totals."""
+
+    chunks: DataFrame
     words: DataFrame
-    #: before, token, n, log_pair, gain.
-    pairs: DataFrame
     n_tokens: int
     n_words: int
+    shares: dict[int, float]
     log_unknown: float
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of all rows outside the held-out fold."""
-    rows = text_rows(docs, id_col, text_col).filter(bucket("doc_id", FOLDS) != HELD_OUT).select("text")
-    found = rows.mapInArrow(_count, "pair boolean, before long, token long, n long")
-    counts = written(found.groupBy("pair", "before", "token").agg(F.sum("n").alias("n")), "counts")
-    spectrum = counts.filter(f"n <= {GOOD_TURING + 1}").groupBy("pair", "n").count().collect()
-    of = lambda pair: {r["n"]: r["count"] for r in spectrum if r["pair"] == pair}
-    words = counts.filter("not pair").select(F.col("token").alias("code"), "n")
-    n_tokens, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    words = words.withColumn("p_word", _discounted(F.col("n"), discounts(of(False))) / F.lit(max(n_tokens, 1)))
+def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks of all documents, with the fold of each."""
+    rows = text_rows(docs, id_col, text_col).withColumn("held_out", bucket("doc_id", FOLDS) == HELD_OUT)
+    return written(rows.mapInArrow(_tokenize, _CHUNK_DDL), "chunks")
+
+
+def count_words(chunks: DataFrame) -> Corpus:
+    """Counts, numbers and unigram probabilities of the words of all training documents."""
+    uses = chunks.mapInArrow(_uses, "chunk long, place int, code long, n int")
+    counts = written(uses.groupBy("code").agg(F.sum("n").alias("n")).filter("n > 0"), "counts")
+    spectrum = {r["n"]: r["count"] for r in counts.filter(f"n <= {GOOD_TURING + 1}").groupBy("n").count().collect()}
+    n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    shares = discounts(spectrum)
+    order = [F.desc("n"), F.col("code")]
+    placed = written(counts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_number, "code long, n long, part int, place long"), "placed")
+    # One row for each partition.
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("ahead"))
+    p_word = _discounted(F.col("n"), shares) / F.lit(max(n_tokens, 1))
+    words = placed.join(sizes, "part").select("code", (F.col("ahead") + F.col("place") + BEGIN + 1).alias("number"), "n", p_word.alias("p_word"))
+    words = written(words, "words")
     known = words.agg(F.coalesce(F.sum("p_word"), F.lit(0.0))).first()[0]
-
-    pairs = counts.filter(f"pair and n >= {CUTOFF}").select("before", "token", "n")
-    pairs = pairs.withColumn("kept", _discounted(F.col("n"), discounts(of(True))))
-    pairs = pairs.join(words.select(F.col("code").alias("token"), "p_word"), "token")
+    log_unknown = float(np.log10(max(1 - known, 1e-300))) if n_words else 0.0
+    return Corpus(chunks, words, n_tokens, n_words, shares, log_unknown)
+
+
+def number_chunks(corpus: Corpus) -> DataFrame:
+    """Chunks with word numbers instead of places, and the unigram sums of their documents."""
+    uses = corpus.chunks.mapInArrow(_uses, "chunk long, place int, code long, n int").drop("n")
+    answers = uses.join(corpus.words, "code", "left").select("chunk", "place", "number", "n", "p_word")
+    chunks = corpus.chunks.groupBy("chunk")
+    coded = chunks.cogroup(answers.groupBy("chunk")).applyInArrow(_code(corpus.n_tokens, corpus.n_words, corpus.log_unknown), _CODED_DDL)
+    return written(coded, "coded")
+
+
+def train(corpus: Corpus, coded: DataFrame) -> DataFrame:
+    """The model: ``before, word, value``; word -1 is the weight of a history, others gains of pairs."""
+    counted = coded.mapInArrow(_count_pairs, "before long, word long, n long").groupBy("before", "word").agg(F.sum("n").alias("n"))
+    seen = Observation()
+    rare = [F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, GOOD_TURING + 2)]
+    pairs = written(counted.observe(seen, *rare).filter(f"n >= {CUTOFF}"), "counted")
+    spectrum = {r: seen.get.get(f"n{r}", 0) for r in range(1, GOOD_TURING + 2)}
+    pairs = pairs.withColumn("kept", _discounted(F.col("n"), discounts(spectrum)))
+    pairs = pairs.join(corpus.words.select(F.col("number").alias("word"), "p_word"), "word")
     # A history occurs as often as the word; the start as often as the end.
-    start = F.when(F.col("code") == int(END.view(np.int64)), F.lit(int(BEGIN.view(np.int64)))).otherwise(F.col("code"))
-    histories = words.select(start.alias("before"), F.col("n").alias("n_before"))
-    pairs = written(pairs.join(histories, "before").withColumn("p_pair", F.col("kept") / F.col("n_before")), "pairs")
-    backoff = pairs.groupBy("before").agg(F.sum("p_pair").alias("seen"), F.sum("p_word").alias("lower"))
-    backoff = backoff.select(F.col("before").alias("code"), F.log10((1 - F.col("seen")) / (1 - F.col("lower"))).alias("log_backoff"))
-    table = words.select("code", "n", F.log10("p_word").alias("log_word")).join(backoff, "code", "full")
-    table = written(table.select("code", "n", "log_word", F.coalesce("log_backoff", F.lit(0.0)).alias("log_backoff")), "words")
-    gains = pairs.join(table.select(F.col("code").alias("before"), "log_backoff"), "before")
-    log_pair = F.log10("p_pair")
-    gains = gains.select("before", "token", "n", log_pair.alias("log_pair"), (log_pair - F.col("log_backoff") - F.log10("p_word")).alias("gain"))
-    return Model(table, gains, n_tokens, n_words, float(np.log10(max(1 - known, 1e-300))) if n_words else 0.0)
-
-
-_PER_WORD = pa.schema([("key", pa.int64()), ("code", pa.int64()), ("n", pa.int32()), ("m", pa.int32())])
-_PER_PAIR = pa.schema([("key", pa.int64()), ("code", pa.int64()), ("n", pa.int32())])
-
-
-def _per_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's distinct words: how often as a token (n) and as a history (m)."""
-    for batch in batches:
-        keys, at = batch.column("key").to_numpy(), 0
-        for texts in text_slices(batch):
-            tokens, before, bounds = _histories(texts)
-            out = []
-            for i in range(len(texts)):
-                own = slice(bounds[i], bounds[i + 1])
-                codes, place = np.unique(np.concatenate((tokens[own], before[own])), return_inverse=True)
-                half = bounds[i + 1] - bounds[i]
-                out.append((np.full(len(codes), keys[at + i]), codes.view(np.int64), np.bincount(place[:half], minlength=len(codes)), np.bincount(place[half:], minlength=len(codes))))
-            at += len(texts)
-            yield batch_of(_PER_WORD, {f: np.concatenate([x[k] for x in out]) for k, f in enumerate(_PER_WORD.names)})
-
-
-def _per_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's distinct pairs and how often they occur."""
-    for batch in batches:
-        keys, at = batch.column("key").to_numpy(), 0
-        for texts in text_slices(batch):
-            tokens, before, bounds = _histories(texts)
-            pairs, out = pair_codes(before, tokens), []
-            for i in range(len(texts)):
-                codes, n = np.unique(pairs[bounds[i] : bounds[i + 1]], return_counts=True)
-                out.append((np.full(len(codes), keys[at + i]), codes.view(np.int64), n))
-            at += len(texts)
-            yield batch_of(_PER_PAIR, {f: np.concatenate([x[k] for x in out]) for k, f in enumerate(_PER_PAIR.names)})
-
-
-def _code_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("code", pa.int64()), ("gain", pa.float64())])
-    for batch in batches:
-        before, token = (batch.column(n).to_numpy().view(np.uint64) for n in ("before", "token"))
-        yield batch_of(schema, {"code": pair_codes(before, token).view(np.int64), "gain": batch.column("gain")})
-
-
-def _keyed(rows: DataFrame) -> DataFrame:
-    """A key for each document: the id where ids are unique, else a hash of id and text.
-
-    Rows with the same id and text share a key; their sums are divided by the number of copies.
-    """
-    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    unique = ids.filter("n > 1 or doc_id is null").isEmpty()
-    return rows.withColumn("key", F.col("doc_id") if unique else F.xxhash64("doc_id", "text"))
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    start = F.when(F.col("code") == END, F.lit(BEGIN)).otherwise(F.col("number"))
+    histories = corpus.words.select(start.cast("long").alias("before"), F.col("n").alias("n_before"))
+    pairs = pairs.join(histories, "before").select("before", "word", "p_word", (F.col("kept") / F.col("n_before")).alias("p_pair"))
+    pairs = written(pairs, "pairs")
+    weights = pairs.groupBy("before").agg(F.sum("p_pair").alias("seen"), F.sum("p_word").alias("lower"))
+    weights = written(weights.select("before", F.log10((1 - F.col("seen")) / (1 - F.col("lower"))).alias("weight")), "weights")
+    gain = F.log10("p_pair") - F.log10("p_word") - F.col("weight")
+    gains = pairs.join(weights, "before").select("before", "word", gain.alias("value"))
+    return gains.unionByName(weights.select("before", F.lit(WEIGHT).cast("long").alias("word"), F.col("weight").alias("value")))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
-    rows = _keyed(text_rows(docs, id_col, text_col))
-    width = F.lit(model.n_tokens + 0.5 * (model.n_words + 1))
-    per_word = rows.select("key", "text").mapInArrow(_per_word, "key long, code long, n int, m int").join(model.words.withColumnRenamed("n", "c"), "code", "left")
-    count = F.coalesce("c", F.lit(0))
-    lower = per_word.groupBy("key").agg(
-        F.sum("n").alias("n_tokens"),
-        F.sum(F.when(count > 0, F.col("n")).otherwise(F.lit(0))).alias("n_known"),
-        F.sum(F.col("n") * F.log10((count + 0.5) / width)).alias("base"),
-        F.sum(F.col("n") * F.coalesce("log_word", F.lit(model.log_unknown)) + F.col("m") * F.coalesce("log_backoff", F.lit(0.0))).alias("lower"),
-    )
-    lower = written(lower, "lower")
-    pairs = model.pairs.select("before", "token", "gain").mapInArrow(_code_pairs, "code long, gain double")
-    per_pair = rows.select("key", "text").mapInArrow(_per_pair, "key long, code long, n int").join(pairs, "code")
-    higher = written(per_pair.groupBy("key").agg(F.sum(F.col("n") * F.col("gain")).alias("higher")), "higher")
-    copies = rows.select("key", "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    sums = lower.join(higher, "key", "left").join(copies, "key")
-    per_copy = lambda c: (F.col(c) / F.col("copies")).cast("long")
-    one = sums.select(
-        "doc_id",
-        (bucket("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
-        per_copy("n_tokens").alias("n_tokens"),
-        per_copy("n_known").alias("n_known"),
-        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("copies")).alias("base_score"),
-        ((F.col("lower") + F.coalesce("higher", F.lit(0.0))) / F.col("copies")).alias("score"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    )
-    return one.drop("copy")
+    corpus = count_words(tokenize(docs, id_col, text_col))
+    coded = number_chunks(corpus)
+    model = train(corpus, coded)
+    asked = coded.mapInArrow(_ask, "chunk long, before long, word long")
+    answers = written(asked.join(model, ["before", "word"]), "answers")
+    found = coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_answer, _SCORED_DDL)
+    train_tokens = F.lit(corpus.n_tokens).cast("long").alias("train_tokens")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", train_tokens, "base_score", "score")

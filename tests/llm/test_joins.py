@@ -121,7 +121,7 @@ def test_katz(spark, awkward, empty):
     for df in (awkward, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), empty):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
         key = lambda r: (r[0] is not None, r[0] or 0, round(r[-1], 6))
-        got = sorted(map(tuple, katz.score(df, katz.train(df)).collect()), key=key)
+        got = sorted(map(tuple, katz.score(df).collect()), key=key)
         want = sorted(brute_katz(rows), key=key)
         assert [g[:5] for g in got] == [w[:5] for w in want]
         for g, w in zip(got, want, strict=True):
@@ -132,7 +132,7 @@ def test_katz_without_training(spark):
     docs = spark.createDataFrame([(4, "a b")], "doc_id long, text string")
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     docs = docs.selectExpr(f"cast({held} as long) doc_id", "text")
-    got = katz.score(docs, katz.train(docs)).first()
+    got = katz.score(docs).first()
     assert (got.n_tokens, got.n_known, got.train_tokens, got.score) == (3, 0, 0, 0.0)
 
 
