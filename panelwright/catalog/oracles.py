@@ -489,6 +489,17 @@ m AS (SELECT p.symbol, p.date, p.k, p.close, fast.e - slow.e AS macd FROM p
 SELECT m.symbol, m.date, {close3}, {r('macd', 3, '"MACD"')}, {r('sig.e', 3, '"MACD_signal"')},
   {r('macd - sig.e', 3, '"MACD_hist"')}
 FROM m JOIN sig ON sig.symbol = m.symbol AND sig.k = m.k"""
+    sql["macd_gaps"] = f"""WITH RECURSIVE {SUPPLIER},
+p AS (SELECT symbol, date, tax, row_number() OVER {KEYED} AS k FROM supplier WHERE tax IS NOT NULL),
+{ema_cte('fast', 'p', 'tax', 12)}, {ema_cte('slow', 'p', 'tax', 26)},
+m AS (SELECT p.symbol, p.k, fast.e - slow.e AS macd FROM p
+  JOIN fast ON fast.symbol = p.symbol AND fast.k = p.k
+  JOIN slow ON slow.symbol = p.symbol AND slow.k = p.k),
+{ema_cte('sig', 'm', 'macd', 9)},
+a AS (SELECT symbol, date, tax, count(tax) OVER {KEYED} AS k FROM supplier)
+SELECT a.symbol, a.date, {r('a.tax', 8, 'tax')}, {r('macd', 8, '"MACD"')}, {r('sig.e', 8, '"MACD_signal"')},
+  {r('macd - sig.e', 8, '"MACD_hist"')}
+FROM a LEFT JOIN m ON m.symbol = a.symbol AND m.k = a.k LEFT JOIN sig ON sig.symbol = a.symbol AND sig.k = a.k"""
     sql["time_features"] = (
         f"WITH {PRIORITY} SELECT symbol, date, CAST(isodow(date) - 1 AS BIGINT) AS day_of_week, "
         "CAST(day(date) AS BIGINT) AS day_of_month, CAST(month(date) AS BIGINT) AS month, "

@@ -367,6 +367,11 @@ def macd(spark, sf):
     return rounded(rec.macd(_prices(spark, sf), PRIORITY), 3)
 
 
+def macd_gaps(spark, sf):
+    """MACD of a column with NULLs: rows without a value repeat the row before."""
+    return rounded(rec.macd(_supplier(spark, sf).select("symbol", "date", "tax"), SUPPLIER, "tax"), 8)
+
+
 def time_features(spark, sf):
     return ind.time_features(priority_daily(spark, sf).select("symbol", "date"), PRIORITY)
 
@@ -634,6 +639,7 @@ def all_queries() -> dict[str, Query]:
         compound_return,
         rolling_sharpe,
         macd,
+        macd_gaps,
         time_features,
         dq_duplicates,
         dq_gaps,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,26 +10,33 @@ from panelwright.operators.segments import HALO, PART, KeyWindow, segment
 from panelwright.session import materialize
 from panelwright.spec import ROWS_PER_BLOCK, PanelSpec
 
-#: Rows per run of the blocked recurrence.
+#: Values per run of the blocked recurrence, and runs (or blocks of runs) that are scanned as one list.
 RUN = 128
-#: Runs of one key that are scanned in one task.
-RUNS_PER_BLOCK = 65_536
-#: Weight under which earlier runs no longer change a double.
-NEGLIGIBLE = 1e-25
 
 
 def number_rows(
-    df: DataFrame, spec: PanelSpec, name: str = "_row", *, rows_per_block: int = ROWS_PER_BLOCK
+    df: DataFrame,
+    spec: PanelSpec,
+    name: str = "_row",
+    *,
+    counting: str | None = None,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """0-based position of each row within its key; long keys are numbered block by block."""
+    """0-based position of each row within its key; long keys are numbered block by block.
+
+    With ``counting`` only rows with a value in that column count: other rows repeat the position
+    before them, -1 if there is none.
+    """
     segmented, cut = segment(df, spec, 0, rows_per_block)
     if cut:
         segmented = segmented.where(~F.col(HALO)).drop(HALO)
     inside = W.partitionBy(spec.key, PART).orderBy(*spec.order)
-    position = F.row_number().over(inside).cast("long") - 1
+    counted = F.lit(1) if counting is None else F.col(counting)
+    running = F.count(counted).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    position = running.cast("long") - 1
     if not cut:
         return segmented.select("*", position.alias(name)).drop(PART)
-    sizes = segmented.groupBy(spec.key, PART).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = segmented.groupBy(spec.key, PART).agg(F.count(counted).alias("_n"))
     before = W.partitionBy(spec.key).orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
         spec.key, PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
@@ -49,82 +54,88 @@ def exponential_averages(
     """Add ``name -> (column, span)`` averages: ``e[t] = a x[t] + (1-a) e[t-1]``, ``e[0] = x[0]``,
     ``a = 2 / (span + 1)``, without a Python function.
 
-    ``numbered`` carries the row position of each key (:func:`number_rows`). The recurrence is linear,
-    so runs of 128 rows are summed on their own with powers of ``1-a`` and then shifted by what the
-    previous runs left over; earlier runs are left out only once their weight is below 1e-25.
+    A row without a value repeats the average before it, and the first value starts it; rows without a
+    key get NULL. ``numbered`` carries the position among the values of each key
+    (:func:`number_rows` with ``counting``); all averaged columns have their values in the same rows.
+
+    The recurrence is linear: runs of 128 values are summed on their own with powers of ``1-a``, and
+    what the runs before left over is added. What they left follows the same recurrence, so it is found
+    by the same blocks of 128, level by level, whatever the length of the key. Nothing is cut off.
     """
-    spans = {name: span for name, (_, span) in averages.items()}
-    keep = {name: 1.0 - 2.0 / (span + 1.0) for name, span in spans.items()}
+    keep = {name: 1.0 - 2.0 / (span + 1.0) for name, (_, span) in averages.items()}
     at = F.pmod(F.col(row), F.lit(RUN)).cast("double")
-    upto = W.partitionBy(spec.key, "_run").orderBy(row).rowsBetween(W.unboundedPreceding, 0)
+    # Rows that share a position hold one value between them; the frame takes all of them.
+    upto = W.partitionBy(spec.key, "_run").orderBy(row).rangeBetween(W.unboundedPreceding, 0)
+    keyless = F.xxhash64(*spec.order)
+    run = F.when(F.col(spec.key).isNull(), keyless).otherwise(F.floor(F.col(row) / RUN).cast("long"))
 
     def own(name: str, column: str):
         k = F.lit(keep[name])
         if keep[name] == 0.0:
-            return F.col(column).alias(f"_own_{name}")
+            return F.last(column, ignorenulls=True).over(upto).alias(f"_own_{name}")
         weight = F.when(F.col(row) == 0, 1.0).otherwise(1.0 - k)
         scaled = F.sum(weight * F.col(column) / F.pow(k, at)).over(upto)
         return (scaled * F.pow(k, at)).alias(f"_own_{name}")
 
     local = materialize(
-        numbered.select("*", F.floor(F.col(row) / RUN).cast("long").alias("_run")).select(
+        numbered.select("*", run.alias("_run")).select(
             "*", *[own(name, column) for name, (column, _) in averages.items()]
         ),
         "averages",
     )
-    ends = local.where(F.col(spec.key).isNotNull()).groupBy(spec.key, "_run").agg(
-        *[F.max_by(f"_own_{name}", row).alias(f"_end_{name}") for name in averages]
+    valued = local.where(F.col(spec.key).isNotNull() & (F.col(row) >= 0))
+    ends = valued.groupBy(spec.key, F.col("_run").alias("_at")).agg(
+        *[F.max_by(f"_own_{name}", row).alias(name) for name in averages]
     )
-    depth = {
-        name: max(1, math.ceil(math.log(NEGLIGIBLE) / (RUN * math.log(k)))) if k > 0.0 else 1
-        for name, k in keep.items()
-    }
-    # Runs of one key are numbered without holes, so blocks and their halo are plain arithmetic.
-    size, reach = max(RUNS_PER_BLOCK, *depth.values()), max(depth.values())
-    block = F.floor(F.col("_run") / size).cast("long")
-    next_block = F.when(
-        F.pmod(F.col("_run"), F.lit(size)) >= size - reach,
-        F.struct((block + 1).alias("_block"), F.lit(True).alias(HALO)),
+    carried = _carries(ends, spec.key, {name: k**RUN for name, k in keep.items()})
+    carried = carried.select(
+        spec.key, F.col("_at").alias("_run"), *[F.col(n).alias(f"_carry_{n}") for n in averages]
     )
-    placed = ends.select(
-        "*",
-        F.inline(
-            F.filter(
-                F.array(
-                    F.struct(block.alias("_block"), F.lit(False).alias(HALO)), next_block
-                ),
-                lambda place: place.isNotNull(),
-            )
-        ),
-    )
-    by_run = W.partitionBy(spec.key, "_block").orderBy("_run")
-    carried = (
-        placed.select(
-            spec.key,
-            "_run",
-            HALO,
-            *[
-                F.aggregate(
-                    F.collect_list(f"_end_{name}").over(by_run.rowsBetween(-depth[name], -1)),
-                    F.lit(0.0),
-                    _decayed(keep[name] ** RUN),
-                ).alias(f"_carry_{name}")
-                for name in averages
-            ],
-        )
-        .where(~F.col(HALO))
-        .drop(HALO)
-    )
-    # The carry is the average at the end of the previous run.
+    known = F.col(spec.key).isNotNull() & (F.col(row) >= 0)
     return local.join(carried, [spec.key, "_run"], "left").select(
         *numbered.columns,
         *[
-            (F.col(f"_own_{n}") + F.col(f"_carry_{n}") * F.pow(F.lit(keep[n]), at + 1.0)).alias(n)
+            F.when(
+                known,
+                F.col(f"_own_{n}") + F.col(f"_carry_{n}") * F.pow(F.lit(keep[n]), at + 1.0),
+            ).alias(n)
             for n in averages
         ],
     )
 
 
+def _carries(ends: DataFrame, key: str, decays: dict[str, float]) -> DataFrame:
+    """What reaches each place ``_at`` (0, 1, 2, ... within a key) from the places before it:
+    ``carry[0] = 0``, ``carry[i+1] = end[i] + decay * carry[i]`` for each column of ``decays``."""
+    ends = materialize(ends, "run-ends")
+    longest = ends.agg(F.max("_at")).first()[0] or 0
+    block = F.floor(F.col("_at") / RUN).cast("long").alias("_block")
+    inside = W.partitionBy(key, "_block").orderBy("_at")
+
+    def scanned(name: str, last: int):
+        gathered = F.collect_list(name).over(inside.rowsBetween(W.unboundedPreceding, last))
+        return F.aggregate(gathered, F.lit(0.0), _decayed(decays[name]))
+
+    local = ends.select("*", block).select(
+        key, "_at", "_block", *[scanned(n, -1).alias(n) for n in decays],
+        *[scanned(n, 0).alias(f"_end_{n}") for n in decays],
+    )
+    if longest < RUN:
+        return local.select(key, "_at", *decays)
+    local = materialize(local, "carries")
+    blocks = local.groupBy(key, F.col("_block").alias("_at")).agg(
+        *[F.max_by(f"_end_{n}", "_at").alias(n) for n in decays]
+    )
+    above = _carries(blocks, key, {n: d**RUN for n, d in decays.items()})
+    above = above.select(key, F.col("_at").alias("_block"), *[F.col(n).alias(f"_above_{n}") for n in decays])
+    place = F.pmod(F.col("_at"), F.lit(RUN)).cast("double")
+    return local.join(above, [key, "_block"]).select(
+        key,
+        "_at",
+        *[(F.col(n) + F.col(f"_above_{n}") * F.pow(F.lit(d), place)).alias(n) for n, d in decays.items()],
+    )
+
+
 def _decayed(decay: float):
     return lambda total, end: total * F.lit(decay) + end
 
@@ -139,11 +150,16 @@ def macd(
     *,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Difference of two exponential averages, its own average and the gap between them."""
-    rows = number_rows(df, spec, rows_per_block=rows_per_block)
+    """Difference of two exponential averages, its own average and the gap between them.
+
+    A row without a value repeats all three of the row before; before the first value they are NULL.
+    """
+    rows = number_rows(df, spec, counting=column, rows_per_block=rows_per_block)
     rows = exponential_averages(rows, spec, {"_fast": (column, fast), "_slow": (column, slow)})
-    rows = rows.select(*df.columns, "_row", (F.col("_fast") - F.col("_slow")).alias("MACD"))
-    rows = exponential_averages(rows, spec, {"MACD_signal": ("MACD", signal)})
+    gap = F.col("_fast") - F.col("_slow")
+    valued = F.when(F.col(column).isNotNull(), gap)
+    rows = rows.select(*df.columns, "_row", gap.alias("MACD"), valued.alias("_valued"))
+    rows = exponential_averages(rows, spec, {"MACD_signal": ("_valued", signal)})
     return rows.select(
         *df.columns,
         "MACD",

@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -121,9 +122,48 @@ def test_full_windows_only(walk):
     assert np.allclose(got["BB_lower"], sma - 2 * std, equal_nan=True)
 
 
+def test_exponential_averages_carry_over_gaps(spark, monkeypatch):
+    """NULLs repeat the average before them, wherever they fall in a run; three levels of blocks."""
+    monkeypatch.setattr(rec, "RUN", 4)
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for key, n in (("a", 300), ("b", 5), ("c", 70)):
+        held = {1: None, 9: None}
+        for t in range(n):
+            empty = rng.random() < 0.3 or t < 2 or 20 <= t < 33
+            x = None if empty else float(rng.normal(100))
+            for span in held:
+                a = 2.0 / (span + 1.0)
+                if x is not None:
+                    held[span] = x if held[span] is None else a * x + (1 - a) * held[span]
+            rows.append((dt.datetime(2020, 1, 1) + dt.timedelta(days=t), key, x))
+            want[key, t] = dict(held)
+    rows += [(dt.datetime(2020, 1, 1), None, 5.0)] * 3
+    spec = PanelSpec(features=("x",))
+    df = spark.createDataFrame(rows, "date timestamp, symbol string, x double")
+    numbered = rec.number_rows(df, spec, counting="x")
+    got = rec.exponential_averages(numbered, spec, {"e1": ("x", 1), "e9": ("x", 9)}).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.symbol is None:
+            assert r.e1 is None and r.e9 is None
+            continue
+        t = (r.date - dt.datetime(2020, 1, 1)).days
+        for span, value in ((1, r.e1), (9, r.e9)):
+            assert (value is None) == (want[r.symbol, t][span] is None)
+            assert value is None or value == pytest.approx(want[r.symbol, t][span], rel=1e-12)
+
+
+def test_macd_of_a_constant_with_gaps(spark):
+    rows = [(dt.datetime(2020, 1, 1) + dt.timedelta(days=t), "a", None if t in (0, 7) or 100 < t < 400 else 100.0) for t in range(500)]
+    got = rec.macd(spark.createDataFrame(rows, "date timestamp, symbol string, close double"), PanelSpec(features=("close",))).collect()
+    assert all(r.MACD is None for r in got if r.date == rows[0][0])
+    assert all(abs(r.MACD) < 1e-9 and abs(r.MACD_signal) < 1e-9 for r in got if r.date != rows[0][0])
+
+
 @pytest.mark.parametrize("spec, block", [(PANEL, 10_000), (INSTANT, 30)])
 def test_macd_and_long_spans(walk, spec, block, monkeypatch):
-    monkeypatch.setattr(rec, "RUNS_PER_BLOCK", 2)
+    monkeypatch.setattr(rec, "RUN", 5)
     frame, df = walk
     got = rec.macd(df.select("date", "symbol", "close"), spec, rows_per_block=block).toPandas()
     got = got.sort_values(["symbol", "date"]).reset_index(drop=True)

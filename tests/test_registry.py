@@ -12,7 +12,7 @@ FAST = (
     "panel_project winsorize_bounds lag_features event_history_hot_keys impute_mode standard_scale "
     "trailing_window walk_forward_bounds_instants walk_forward_assign turnover_from_previous "
     "equity_curve_pooled equity_curve_hot_keys drawdown_curve strategy_report tail_risk rsi_many "
-    "event_indicators macd dq_gaps profile payload_explode csv_inferred parquet_roundtrip"
+    "event_indicators macd macd_gaps dq_gaps profile payload_explode csv_inferred parquet_roundtrip"
 ).split()
 
 
