@@ -123,6 +123,54 @@ def matrix(source: str, fitted: str, digits: int = 4) -> str:
     )
 
 
+# -- elastic net: coordinate descent on the moments, one coordinate for each step of the recursion -----
+
+LIGHT_ALPHA, LIGHT_L1 = 1e-4, 0.5
+
+
+def design(source: str, fitted: str, name: str) -> str:
+    """CTE of the scaled features and the target ``y``."""
+    columns = ", ".join(f"{scaled(c)} AS {c}" for c in FEATURES)
+    return (
+        f"{name} AS MATERIALIZED (SELECT date, symbol, excess_return AS y, {columns} "
+        f"FROM {source}, {fitted}_f, {fitted}_s)"
+    )
+
+
+def elastic_net(x: str, sweeps: int = 60, alpha: float = LIGHT_ALPHA, l1: float = LIGHT_L1) -> str:
+    """CTEs: moments ``{x}_m`` of the design, descent ``{x}_cd`` and weights ``{x}_w`` (list w, b)."""
+    p, a1, a2 = len(FEATURES), alpha * l1, alpha * (1 - l1)
+    pairs = ", ".join(
+        f"covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) AS g_{i}_{j}"
+        for i, a in enumerate(FEATURES)
+        for j, b in enumerate(FEATURES[: i + 1])
+    )
+    rows = ", ".join(
+        "[" + ", ".join(f"g_{max(i, j)}_{min(i, j)}" for j in range(p)) + "]" for i in range(p)
+    )
+    each = lambda expression: "[" + ", ".join(expression.format(c) for c in FEATURES) + "]"
+    rho = "c[j] - list_dot_product(g[j], w) + g[j][j] * w[j]"
+    return f"""{x}_v AS MATERIALIZED (SELECT {pairs},
+  {each('covar_pop({0}, y) / stddev_pop({0})')} AS c, {each('stddev_pop({0})')} AS s,
+  {each('avg({0})')} AS mu, avg(y) AS my, var_pop(y) AS vy FROM {x}),
+{x}_m AS MATERIALIZED (SELECT [{rows}] AS g, c, s, mu, my, vy FROM {x}_v),
+{x}_cd AS (
+  SELECT 0 AS k, list_transform(c, lambda e: 0.0::DOUBLE) AS w FROM {x}_m
+  UNION ALL
+  SELECT k + 1, list_concat(list_concat(w[1:j - 1],
+    [sign(rho) * greatest(abs(rho) - {a1!r}::DOUBLE, 0) / (g[j][j] + {a2!r}::DOUBLE)]), w[j + 1:])
+  FROM (SELECT k, w, g, j, {rho} AS rho FROM (SELECT *, k % {p} + 1 AS j FROM {x}_cd, {x}_m)
+    WHERE k < {p * sweeps})),
+{x}_w AS MATERIALIZED (SELECT list_transform(list_zip(w, s), lambda e: e[1] / e[2]) AS w, w AS scaled, g, c, mu, my, vy
+  FROM (SELECT w FROM {x}_cd ORDER BY k DESC LIMIT 1), {x}_m)"""
+
+
+def forecast_of(x: str, fitted: str) -> str:
+    """Forecast of each row of the design ``x`` by the weights of ``fitted``."""
+    row = "[" + ", ".join(FEATURES) + "]"
+    return f"SELECT date, symbol, y, my - list_dot_product(w, mu) + list_dot_product(w, {row}) AS forecast FROM {x}, {fitted}_w"
+
+
 # -- strategy -------------------------------------------------------------------------------------
 
 SIZED = f"""{SUPPLIER}, sized AS (
@@ -226,13 +274,7 @@ folds AS (
   JOIN dates c ON c.k = valid_start_rank JOIN dates d ON d.k = valid_end_rank)"""
 
 
-# -- jobs with the default penalty: every coefficient is 0, the forecast is the mean target --------
-
-MEAN_SPLIT = f"""{SUPPLIER},
-old AS (SELECT * FROM supplier WHERE date < TIMESTAMP '2000-01-01'),
-new AS (SELECT * FROM supplier WHERE date >= TIMESTAMP '2000-01-01'),
-{winsorized('old', WINSOR)}, {winsorized('new', WINSOR)},
-mean AS (SELECT avg(excess_return) AS forecast FROM old_w)"""
+# -- walk-forward evaluation with the default penalty: the forecast is the mean target ---------------
 
 
 def _fold_report(fold: int) -> str:
@@ -588,19 +630,34 @@ w AS (SELECT sign(c) * greatest(abs(c) - 0.5e-4, 0.0) / (1 + 0.5e-4) / s AS w, m
 SELECT 'tax' AS feature, {r('w', 6, 'weight')} FROM w
 UNION ALL SELECT '(intercept)' AS feature, {r('my - w * mx', 6, 'weight')} FROM w"""
 
+    light = f"{FITTED}, {design('supplier_h', 'supplier_h', 'x')}, {elastic_net('x')}"
+    weights = " UNION ALL ".join(
+        [f"SELECT '{c}' AS feature, {r(f'w[{i}]', 7, 'weight')} FROM x_w" for i, c in enumerate(FEATURES, 1)]
+        + [f"SELECT '(intercept)' AS feature, {r('my - list_dot_product(w, mu)', 7, 'weight')} FROM x_w"]
+    )
+    sql["elastic_net_coefficients"] = f"WITH RECURSIVE {light} {weights}"
+    inner = ", ".join(f"list_dot_product(g[{i}], scaled) * scaled[{i}]" for i in range(1, len(FEATURES) + 1))
+    rmse = f"sqrt(vy - 2 * list_dot_product(scaled, c) + list_sum([{inner}]))"
     sql["train_job"] = (
-        f"WITH {SUPPLIER}, {winsorized('supplier', ['excess_return'])} "
-        f"SELECT CAST({len(FEATURES)} AS BIGINT) AS n_features, "
-        f"{r('stddev_pop(excess_return)', 8, 'rmse')} FROM supplier_w"
+        f"WITH RECURSIVE {light} SELECT CAST({len(FEATURES)} AS BIGINT) AS n_features, "
+        f"{r(rmse, 8, 'rmse')} FROM x_w"
     )
+    fitted = f"{split_fit()}, {design('old_h', 'old_h', 'x')}, {elastic_net('x')}"
+    late = f"{winsorized('new', WINSOR)}, {history('new')}, {design('new_h', 'old_h', 'z')}, f AS ({forecast_of('z', 'x')})"
     sql["backtest_job"] = (
-        f"WITH {MEAN_SPLIT}, flows AS (SELECT symbol, date, "
-        "least(greatest(forecast, 0.0), 2.0) * excess_return AS pnl FROM new_w, mean), "
-        f"{curve('flows', None)} SELECT {report(5)} FROM dd"
+        f"WITH RECURSIVE {fitted}, {late}, flows AS (SELECT symbol, date, "
+        "least(greatest(forecast, 0.0), 2.0) * y AS pnl FROM f), "
+        f"{curve('flows', None)} SELECT {report(6)} FROM dd"
     )
+    window = "WHERE date >= (SELECT max(date) FROM {0}) - INTERVAL 21 DAY"
+    cut = f"cut AS (SELECT * FROM new {window.format('new')}), {winsorized('cut', WINSOR)}, {history('cut')}"
     sql["score_job"] = (
-        f"WITH {MEAN_SPLIT} SELECT date, symbol, {r('forecast', 8, 'prediction')} FROM new_w, mean "
-        "WHERE date >= (SELECT max(date) FROM new_w) - INTERVAL 21 DAY"
+        f"WITH RECURSIVE {fitted}, {cut}, {design('cut_h', 'old_h', 'z')}, f AS ({forecast_of('z', 'x')}) "
+        f"SELECT date, symbol, {r('forecast', 7, 'prediction')} FROM f"
+    )
+    sql["score_job_full_history"] = (
+        f"WITH RECURSIVE {fitted}, {late} SELECT date, symbol, {r('forecast', 7, 'prediction')} "
+        f"FROM f {window.format('f')}"
     )
     sql["walk_forward_job"] = (
         f"WITH {SUPPLIER}, {folds('supplier', 2, 300, 5)}, {_fold_report(0)}, {_fold_report(1)} "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
@@ -234,12 +235,24 @@ class FeatureModel:
     def fitted_columns(self) -> list[str]:
         return self.features.feature_names(self.base_features)
 
-    def transform(self, df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    def transform(
+        self, df: DataFrame, carry: Sequence[str] = (), features: Sequence[str] | None = None
+    ) -> DataFrame:
         """Scaled features of ``df`` with the stored fill values and scales.
 
+        ``features`` names base features to build instead of all fitted ones, in their order here.
+
         Winsor bounds come from ``df`` itself unless the spec says ``bounds="fitted"``. The target
         may be absent. Columns in ``carry`` pass through.
         """
+        if features is not None:
+            unknown = sorted(set(features) - set(self.base_features))
+            if unknown:
+                raise ValueError(f"Not among the fitted features: {unknown}")
+            names = self.features.feature_names(features)
+            kept = {c: s for c, s in self.statistics.items() if c in names}
+            part = dataclasses.replace(self, base_features=tuple(features), statistics=kept)
+            return part.transform(df, carry)
         panel, spec = self._project(df, carry)
         return self.scale(add_history(panel, spec, self.base_features, self.features))
 

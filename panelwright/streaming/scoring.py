@@ -5,16 +5,17 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from panelwright.operators.splits import date_literal
 from panelwright.plans.jobs import positions
 from panelwright.sources.artifacts import Artifacts
 from panelwright.spec import PanelSpec, StrategySpec
 
 BATCH, NEW, EVENT_TIME = "batch", "_new", "_event_time"
+_START, _RANK = "_start", "_rank"
 
 
 def deduplicated(stream: DataFrame, panel: PanelSpec, late_days: int) -> DataFrame:
@@ -33,44 +34,64 @@ def seed_history(history: DataFrame, path: str) -> None:
     history.write.mode("overwrite").parquet(f"{path}/{BATCH}=-1")
 
 
+def read_history(spark: SparkSession, path: str, like: DataFrame, before: int) -> DataFrame:
+    """Rows of the batches before ``before``, with the columns of ``like``; none if there is no table."""
+    try:
+        table = spark.read.option("basePath", path).parquet(f"{path}/{BATCH}=*")
+    except AnalysisException:
+        return like.limit(0)
+    return table.where(F.col(BATCH) < before).select(*like.columns)
+
+
+def recent_rows(history: DataFrame, batch: DataFrame, panel: PanelSpec, lookback: int) -> DataFrame:
+    """What the features of ``batch`` depend on: per key the rows from the batch's first one on, and the
+    last ``lookback`` rows before it."""
+    starts = batch.groupBy(panel.key).agg(F.min(panel.date).alias(_START))
+    early = F.col(panel.date) < F.col(_START)
+    last = Window.partitionBy(panel.key, early).orderBy(*[F.desc(c) for c in panel.order])
+    ranked = history.join(starts, panel.key).select("*", F.row_number().over(last).alias(_RANK))
+    return ranked.where(~early | (F.col(_RANK) <= lookback)).select(*history.columns)
+
+
+def compact_history(spark: SparkSession, path: str, panel: PanelSpec, lookback: int, out: str) -> None:
+    """Write a history of the last ``lookback`` rows of each key, for the next run of a stopped stream
+    whose batches only bring later dates."""
+    table = spark.read.option("basePath", path).parquet(f"{path}/{BATCH}=*").drop(BATCH)
+    last = Window.partitionBy(panel.key).orderBy(*[F.desc(c) for c in panel.order])
+    kept = table.select("*", F.row_number().over(last).alias(_RANK)).where(F.col(_RANK) <= lookback)
+    seed_history(kept.drop(_RANK), out)
+
+
 def score_batches(
     artifacts: Artifacts,
     history_path: str,
     out_path: str,
     *,
-    history_days: int,
     strategy: StrategySpec = StrategySpec(),
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function.
 
-    Row-based windows are not defined on a stream, so each batch is united with the last
-    ``history_days`` of its keys, read from a table with the cutoff as a pushed-down literal. Winsor
-    bounds are the fitted ones: bounds of a micro-batch would depend on how the stream was cut. Both
-    outputs go to a folder named after the batch and are overwritten when a batch is replayed.
+    Row-based windows are not defined on a stream, so each batch is united with those earlier rows of
+    its keys that its features depend on: everything since the key's first row in the batch and the
+    ``lookback`` rows before that, however long ago they were. Without a history table the batch stands
+    alone. Winsor bounds are the fitted ones: bounds of a micro-batch would depend on how the stream was
+    cut. Both outputs go to a folder named after the batch and are overwritten when a batch is replayed.
+    :func:`compact_history` bounds the table between runs.
     """
     fitted = dataclasses.replace(
         artifacts.features,
         features=dataclasses.replace(artifacts.features.features, bounds="fitted"),
     )
     artifacts = dataclasses.replace(artifacts, features=fitted)
-    panel = fitted.panel
+    panel, lookback = fitted.panel, fitted.features.lookback
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            earliest = F.min(panel.date) - F.make_dt_interval(days=F.lit(history_days))
-            cutoff = batch.agg(earliest.cast("string")).first()[0]
-            if cutoff is None:
+            if batch.isEmpty():
                 return
-            recent = F.col(panel.date) >= date_literal(batch, panel, cutoff)
-            history = (
-                spark.read.option("basePath", history_path)
-                .parquet(f"{history_path}/{BATCH}=*")
-                .where((F.col(BATCH) < batch_id) & recent)
-                .select(*batch.columns)
-                .join(batch.select(panel.key).distinct(), panel.key, "left_semi")
-            )
+            history = recent_rows(read_history(spark, history_path, batch, batch_id), batch, panel, lookback)
             united = history.select("*", F.lit(False).alias(NEW)).unionByName(
                 batch.select("*", F.lit(True).alias(NEW))
             )
@@ -90,15 +111,12 @@ def start_scoring(
     out_path: str,
     checkpoint: str,
     *,
-    history_days: int = 126,
     late_days: int = 21,
     strategy: StrategySpec = StrategySpec(),
     available_now: bool = False,
 ) -> StreamingQuery:
     """Start the query; its checkpoint belongs in the shared folder next to the tables."""
-    handle = score_batches(
-        artifacts, history_path, out_path, history_days=history_days, strategy=strategy
-    )
+    handle = score_batches(artifacts, history_path, out_path, strategy=strategy)
     writer = (
         deduplicated(stream, artifacts.features.panel, late_days)
         .writeStream.foreachBatch(handle)

@@ -212,6 +212,44 @@ def test_written_panel_prunes_by_bucket(spark, trained, tmp_path):
     assert "PartitionFilters: [isnotnull(date_bucket" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_streaming_with_sparse_keys_and_no_seed(spark, trained, tmp_path):
+    """Weeks lie between the rows of a key, and no history exists before the first batch."""
+    out, _, history, _ = trained
+    artifacts = load_artifacts(spark, f"{out}/artifacts")
+    base, source = str(tmp_path), str(tmp_path / "in")
+    weekly = history.where("dayofweek(date) = 2 or symbol = 'B'")
+    dates = [r[0] for r in weekly.select("date").distinct().orderBy("date").collect()]
+    for lo, hi in ((0, 20), (20, 25), (25, len(dates))):
+        part = weekly.where(F.col("date").isin(dates[lo:hi]))
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(weekly.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = scoring.start_scoring(
+        stream, artifacts, f"{base}/history", f"{base}/scores", f"{base}/checkpoint", available_now=True
+    )
+    query.awaitTermination()
+    fitted = dataclasses.replace(artifacts.features, features=dataclasses.replace(SMALL, bounds="fitted"))
+    whole = artifacts.predict(fitted.transform(weekly)).withColumnRenamed("prediction", "want")
+    joined = scoring.read_scores(spark, f"{base}/scores").join(whole, ["date", "symbol"])
+    assert joined.count() == weekly.count() > 100
+    assert joined.where(F.abs(F.col("prediction") - F.col("want")) > 1e-9).count() == 0
+    scoring.compact_history(spark, f"{base}/history", PANEL, SMALL.lookback, f"{base}/compact")
+    kept = spark.read.parquet(f"{base}/compact").groupBy("symbol").count().collect()
+    assert all(r["count"] <= SMALL.lookback for r in kept)
+
+
+def test_transform_of_a_feature_subset(spark, trained):
+    out, _, _, holdout = trained
+    model = load_artifacts(spark, f"{out}/artifacts").features
+    one = model.base_features[0]
+    got = model.transform(holdout, features=[one])
+    whole = model.transform(holdout)
+    names = [c for c in whole.columns if c in ("date", "symbol", "target") or c in model.features.feature_names([one])]
+    assert got.columns == names
+    assert got.exceptAll(whole.select(*names)).count() == 0
+    with pytest.raises(ValueError, match="absent"):
+        model.transform(holdout, features=["absent"])
+
+
 def test_streaming_scores_equal_batch_scores(spark, trained, tmp_path):
     out, _, history, holdout = trained
     artifacts = load_artifacts(spark, f"{out}/artifacts")
