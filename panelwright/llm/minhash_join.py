@@ -39,8 +39,8 @@ COORDINATES = 32
 MATCHES = 13
 #: Similarity of linked documents, in hundredths.
 PERCENT = 75
-#: A chunk is closed at this many members or shingles.
-CHUNK_MEMBERS, CHUNK_SHINGLES = 512, 400_000
+#: About how many members or shingles a chunk has at most.
+CHUNK_MEMBERS, CHUNK_SHINGLES = 1024, 600_000
 
 _FACTORS = np.random.default_rng(20240607).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -128,20 +128,17 @@ def _set_rows(width: int):
     return run
 
 
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the chunks of a sorted partition."""
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weight of the rows before each one in its sorted partition."""
     from pyspark import TaskContext
 
-    schema = pa.schema([("rep", pa.int64()), ("group", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("chunk", pa.int64())])
-    chunk, members, shingles = TaskContext.get().partitionId() << 32, 0, 0
+    part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
-        chunks = []
-        for n in batch.column("n").to_pylist():
-            if members >= CHUNK_MEMBERS or members and shingles + n > CHUNK_SHINGLES:
-                chunk, members, shingles = chunk + 1, 0, 0
-            members, shingles = members + 1, shingles + n
-            chunks.append(chunk)
-        yield batch_of(schema, {n: batch.column(n) for n in ("rep", "group", "label", "n")} | {"chunk": chunks})
+        weights = batch.column("weight").to_numpy()
+        ends = at + np.cumsum(weights)
+        extra = [pa.array(np.full(len(batch), part), pa.int32()), pa.array(ends - weights, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "part", "ahead"])
+        at = int(ends[-1]) if len(ends) else at
 
 
 def _overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
@@ -271,8 +268,15 @@ def links(classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     members = connected(open_ends).withColumnRenamed("label", "group")
     members = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(classes.select("rep", "n"), "rep")
     keys = ["group", "label", "n", "rep"]
-    chunked = members.select("rep", "group", "label", "n").repartitionByRange(*keys).sortWithinPartitions(*keys)
-    chunked = written(chunked.mapInArrow(_chunk, "rep long, group long, label long, n long, chunk long"), "chunks")
+    # A member weighs its shingles, or its share of a full chunk; chunks are cut by the running weight.
+    weight = F.greatest("n", F.lit(CHUNK_SHINGLES // CHUNK_MEMBERS)).cast("long")
+    ranged = members.select("rep", "group", "label", "n", weight.alias("weight")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = written(ranged.mapInArrow(_running, "rep long, group long, label long, n long, weight long, part int, ahead long"), "running")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("part").agg(F.sum("weight").alias("total"))  # one row for each partition
+    totals = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("start"))
+    chunk = F.floor((F.col("start") + F.col("ahead")) / CHUNK_SHINGLES).cast("long")
+    chunked = written(ranged.join(totals, "part").select("rep", "group", "label", "n", chunk.alias("chunk")), "chunks")
 
     parts = chunked.groupBy("group", "chunk").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     left, right = (parts.select("group", *(F.col(c).alias(f"{c}_{s}") for c in ("chunk", "low", "high", "least", "most"))) for s in ("l", "r"))
