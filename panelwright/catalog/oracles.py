@@ -659,6 +659,16 @@ UNION ALL SELECT '(intercept)' AS feature, {r('my - w * mx', 6, 'weight')} FROM
         f"WITH RECURSIVE {fitted}, {late} SELECT date, symbol, {r('forecast', 7, 'prediction')} "
         f"FROM f {window.format('f')}"
     )
+    sql["gbt_stump"] = f"""WITH {SUPPLIER},
+d AS (SELECT CAST(isodow(date) - 1 AS DOUBLE) AS day_of_week, count(*) AS n, sum(excess_return) AS s
+  FROM supplier GROUP BY 1),
+t AS (SELECT a.day_of_week AS upto,
+    sum(b.n) FILTER (b.day_of_week <= a.day_of_week) AS n1, sum(b.s) FILTER (b.day_of_week <= a.day_of_week) AS s1,
+    sum(b.n) FILTER (b.day_of_week > a.day_of_week) AS n2, sum(b.s) FILTER (b.day_of_week > a.day_of_week) AS s2
+  FROM d a, d b GROUP BY a.day_of_week),
+best AS (SELECT * FROM t WHERE n2 > 0 ORDER BY s1 * s1 / n1 + s2 * s2 / n2 DESC LIMIT 1)
+SELECT day_of_week, {r('CASE WHEN day_of_week <= upto THEN s1 / n1 ELSE s2 / n2 END', 10, 'prediction')}
+FROM d, best"""
     sql["walk_forward_job"] = (
         f"WITH {SUPPLIER}, {folds('supplier', 2, 300, 5)}, {_fold_report(0)}, {_fold_report(1)} "
         "SELECT * FROM f0 UNION ALL SELECT * FROM f1"

@@ -522,8 +522,7 @@ GBT = ModelSpec("gbt", {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.1}
 
 
 def gbt_predict(spark, sf):
-    matrix, _ = _training(spark, sf)
-    names = SUPPLIER.features
+    matrix, names = _training(spark, sf)
     trained = md.train_model(GBT, matrix, names, SUPPLIER.target)
     return trained.predict(matrix.select("symbol", "date", *names)).select(
         "symbol", "date", "prediction"
@@ -531,11 +530,20 @@ def gbt_predict(spark, sf):
 
 
 def gbt_importance(spark, sf):
-    matrix, _ = _training(spark, sf)
-    trained = md.train_model(GBT, matrix, SUPPLIER.features, SUPPLIER.target)
+    matrix, names = _training(spark, sf)
+    trained = md.train_model(GBT, matrix, names, SUPPLIER.target)
     return md.feature_weights(spark, trained)
 
 
+def gbt_stump(spark, sf):
+    """One tree with one split on the day of the week, where the best split is a plain search."""
+    day = (F.weekday("date") * F.lit(1.0)).alias("day_of_week")
+    rows = materialize(_supplier(spark, sf).select(day, SUPPLIER.target), "days")
+    stump = ModelSpec("gbt", {"n_estimators": 1, "max_depth": 1})
+    trained = md.train_model(stump, rows, ["day_of_week"], SUPPLIER.target)
+    return rounded(trained.predict(rows.select("day_of_week").distinct()), 10)
+
+
 def train_job(spark, sf):
     """A light penalty, under which most features have a weight."""
     trained = jobs.train(supplier_daily(spark, sf), SUPPLIER, _scratch(spark, "train"), model=LIGHT)
@@ -659,6 +667,7 @@ def all_queries() -> dict[str, Query]:
         elastic_net_kkt,
         gbt_predict,
         gbt_importance,
+        gbt_stump,
         train_job,
         backtest_job,
         score_job,

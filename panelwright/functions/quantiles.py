@@ -2,7 +2,9 @@
 
 ``percentile`` keeps every distinct value of a column in one reducer. Here a column is narrowed down
 instead: values are counted in equal-width bins, the bin that holds the wanted rank is cut into bins
-again, and so on until the value is known. Every round is one scan with map-side counting; what moves
+again, and so on until the value is known. A bracket that equal widths hardly narrow down (a heavy tail)
+is cut into bins of equal width of the logarithm once, after which its values are of one magnitude: the
+number of rounds does not grow with the spread. Every round is one scan with map-side counting; what moves
 is bins times columns, never values. All columns go through a round together, in long form, which also
 keeps the generated code small however wide the table is.
 """
@@ -48,6 +50,9 @@ class _Bracket:
     start: int
     count: int
     ranks: set[int] = field(default_factory=set)
+    #: Whether the next bins are of equal width of the logarithm, and whether such bins came before.
+    by_magnitude: bool = False
+    of_one_magnitude: bool = False
 
 
 def long_form(df: DataFrame, values: Sequence[Column | str]) -> DataFrame:
@@ -169,18 +174,44 @@ def _bracketed(df: DataFrame, brackets: list[_Bracket]) -> DataFrame:
     return long_form(df, inside).where(F.col(_VALUE).isNotNull())
 
 
+#: Magnitudes below this count as zero in bins of the logarithm.
+_LEAST = 1e-300
+#: A round that leaves more than this share of a bracket is followed by bins of the logarithm.
+_SLOW = 0.125
+
+
+def _magnitude(v: Column) -> Column:
+    """A number that grows with ``v`` and with the logarithm of its distance from 0."""
+    size = F.log(F.abs(v)) - F.lit(math.log(_LEAST))
+    return F.when(F.abs(v) <= _LEAST, F.lit(0.0)).otherwise(F.signum(v) * size)
+
+
+def _magnitude_of(x: float) -> float:
+    return 0.0 if abs(x) <= _LEAST else math.copysign(math.log(abs(x)) - math.log(_LEAST), x)
+
+
 def _refine(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
     """One counting round: the bins of each bracket that hold a wanted rank."""
 
     def of_bracket(values: list[float]) -> Column:
         return F.element_at(F.array(*[F.lit(x) for x in values]), F.col(_ID) + 1)
 
+    for b in brackets:
+        b.by_magnitude = b.by_magnitude and _magnitude_of(b.low) < _magnitude_of(b.high)
     # Halved where the span itself would overflow.
-    halves = [0.5 if math.isinf(b.high - b.low) else 1.0 for b in brackets]
-    low = of_bracket([b.low * h for b, h in zip(brackets, halves)])
-    span = of_bracket([b.high * h - b.low * h for b, h in zip(brackets, halves)])
+    halves = [0.5 if math.isinf(b.high - b.low) and not b.by_magnitude else 1.0 for b in brackets]
+    ends = [
+        (_magnitude_of(b.low), _magnitude_of(b.high)) if b.by_magnitude else (b.low * h, b.high * h)
+        for b, h in zip(brackets, halves)
+    ]
+    low = of_bracket([a for a, _ in ends])
+    span = of_bracket([z - a for a, z in ends])
     value = F.col(_VALUE) if set(halves) == {1.0} else F.col(_VALUE) * of_bracket(halves)
-    bin_ = F.least(F.lit(BINS - 1), F.floor((value - low) / span * F.lit(BINS)).cast("int"))
+    if any(b.by_magnitude for b in brackets):
+        marked = of_bracket([float(b.by_magnitude) for b in brackets]) == 1.0
+        value = F.when(marked, _magnitude(F.col(_VALUE))).otherwise(value)
+    place = F.floor((value - low) / span * F.lit(BINS)).cast("int")
+    bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), place))
     counted = (
         _bracketed(df, brackets)
         .select((F.col(_ID) * F.lit(BINS) + bin_).alias("_bin"), _VALUE)
@@ -199,7 +230,9 @@ def _refine(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
         for r in sorted(bins, key=lambda r: r["_bin"]):
             inside = {x for x in b.ranks if start <= x < start + r["count"]}
             if inside:
-                found.append(_Bracket(b.column, r["low"], r["high"], start, r["count"], inside))
+                slow = r["count"] > _SLOW * b.count and not (b.by_magnitude or b.of_one_magnitude)
+                seen = b.by_magnitude or b.of_one_magnitude
+                found.append(_Bracket(b.column, r["low"], r["high"], start, r["count"], inside, slow, seen))
             start += r["count"]
     return found
 

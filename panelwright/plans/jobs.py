@@ -12,6 +12,7 @@ from panelwright.functions.scalars import position
 from panelwright.operators.evaluation import rmse, strategy_report
 from panelwright.operators.features import FeatureEstimator
 from panelwright.operators.models import PREDICTION, TrainedModel, train_model, train_models
+from panelwright.operators.quality import assert_daily
 from panelwright.operators.splits import Fold, fold_filter, trailing_window, walk_forward_folds
 from panelwright.session import materialize
 from panelwright.sources.artifacts import Artifacts, load_artifacts, save_artifacts
@@ -44,6 +45,8 @@ def train(
     """
     spark = df.sparkSession
     require_columns(df, panel.roles)
+    if panel.grain == "day":
+        assert_daily(df, panel)
     write_panel(df, f"{out}/processed/cleaned_train", panel, bucket=bucket)
     cleaned = read_written(spark, f"{out}/processed/cleaned_train")
     matrix, fitted = FeatureEstimator(panel, features).fit_transform(cleaned)
@@ -118,6 +121,8 @@ def walk_forward(
     """
     panel = dataclasses.replace(panel, features=tuple(panel.feature_columns(df)))
     clean = materialize(as_panel(df, panel), "panel")
+    if panel.grain == "day":
+        assert_daily(clean, panel)
     reports = []
     for fold in walk_forward_folds(clean, panel, split):
         matrix, valid, names = _fold_matrices(clean, panel, fold, features)

@@ -77,3 +77,16 @@ def test_any_values(spark, values, p):
 def test_moments_in_the_same_pass(spark):
     s = q.summarize(frame(spark, [1, 2, 3, 4, None]), ["x"], moments=True)["x"]
     assert (s.rows, s.values, s.low, s.high, s.mean, s.variance) == (5, 4, 1.0, 4.0, 2.5, 1.25)
+
+
+def test_heavy_tail_takes_few_rounds(spark, monkeypatch):
+    """Values over hundreds of orders of magnitude; equal widths alone take dozens of rounds."""
+    monkeypatch.setattr(q, "FETCH_LIMIT", 3)
+    rounds = []
+    refine = q._refine
+    monkeypatch.setattr(q, "_refine", lambda df, brackets: rounds.append(1) or refine(df, brackets))
+    rng = np.random.default_rng(4)
+    values = np.exp(rng.standard_cauchy(2000).clip(-300, 300)) * rng.choice([-1, 1], 2000)
+    found = q.exact_quantiles(frame(spark, values.tolist()), {"x": (0.01, 0.3, 0.5, 0.99)})["x"]
+    assert np.allclose(found, np.quantile(values, (0.01, 0.3, 0.5, 0.99)), rtol=1e-12)
+    assert len(rounds) <= 7
