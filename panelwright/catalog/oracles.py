@@ -36,7 +36,13 @@ EVENT_TYPE = """priority AS (
 KEYED = "(PARTITION BY symbol ORDER BY date)"
 
 
+#: Columns of rates, far below 1, which are compared with eight digits.
+SMALL_COLUMNS = ("tax", "excess_return")
+
+
 def r(expression: str, digits: int, name: str) -> str:
+    if name.startswith(SMALL_COLUMNS):
+        digits = max(digits, 8)
     return f"round({expression} + 1e-{digits + 4}::DOUBLE, {digits}) + 0.0 AS {name}"
 
 
@@ -653,12 +659,21 @@ UNION ALL SELECT '(intercept)' AS feature, {r('my - w * mx', 6, 'weight')} FROM
     cut = f"cut AS (SELECT * FROM new {window.format('new')}), {winsorized('cut', WINSOR)}, {history('cut')}"
     sql["score_job"] = (
         f"WITH RECURSIVE {fitted}, {cut}, {design('cut_h', 'old_h', 'z')}, f AS ({forecast_of('z', 'x')}) "
-        f"SELECT date, symbol, {r('forecast', 7, 'prediction')} FROM f"
+        f"SELECT date, symbol, {r('forecast', 6, 'prediction')} FROM f"
     )
     sql["score_job_full_history"] = (
-        f"WITH RECURSIVE {fitted}, {late} SELECT date, symbol, {r('forecast', 7, 'prediction')} "
+        f"WITH RECURSIVE {fitted}, {late} SELECT date, symbol, {r('forecast', 6, 'prediction')} "
         f"FROM f {window.format('f')}"
     )
+    sql["payload_forecast"] = sql["score_job"]
+    whole = (
+        f"{winsorized('supplier', WINSOR, 'old_b')}, {history('supplier')}, "
+        f"{design('supplier_h', 'old_h', 'z')}, f AS ({forecast_of('z', 'x')})"
+    )
+    sql["streaming_scores"] = (
+        f"WITH RECURSIVE {fitted}, {whole} SELECT date, symbol, {r('forecast', 5, 'prediction')} "
+        "FROM f WHERE date >= TIMESTAMP '2000-01-01'"
+    )
     sql["gbt_stump"] = f"""WITH {SUPPLIER},
 d AS (SELECT CAST(isodow(date) - 1 AS DOUBLE) AS day_of_week, count(*) AS n, sum(excess_return) AS s
   FROM supplier GROUP BY 1),

@@ -34,9 +34,11 @@ from panelwright.operators import recurrences as rec
 from panelwright.operators import splits as sp
 from panelwright.plans import jobs
 from panelwright.session import materialize, shared_folder
+from panelwright.sources.artifacts import load_artifacts
 from panelwright.sources.readers import explode_payloads, load_panel
 from panelwright.sources.writers import read_written, write_metrics, write_panel
 from panelwright.spec import FeatureSpec, ModelSpec, ServingSpec, SplitSpec, StrategySpec, as_panel
+from panelwright.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +50,10 @@ STRATEGY = StrategySpec()
 SMALL_BLOCK = 100
 
 
+#: Columns of rates, far below 1, which are compared with eight digits.
+SMALL_COLUMNS = ("tax", "excess_return")
+
+
 def rounded(df: DataFrame, digits: int = 4, **per_column: int) -> DataFrame:
     """Round every DOUBLE column.
 
@@ -56,7 +62,7 @@ def rounded(df: DataFrame, digits: int = 4, **per_column: int) -> DataFrame:
     """
 
     def to(name: str):
-        d = per_column.get(name, digits)
+        d = per_column.get(name, max(digits, 8) if name.startswith(SMALL_COLUMNS) else digits)
         return (F.round(F.col(name) + F.lit(10.0 ** -(d + 4)), d) + F.lit(0.0)).alias(name)
 
     return df.select(
@@ -562,7 +568,7 @@ def score_job(spark, sf):
     history, holdout = _history_and_holdout(spark, sf)
     out = _scratch(spark, "train")
     jobs.train(history, SUPPLIER, out, model=LIGHT)
-    return rounded(jobs.score(holdout, f"{out}/artifacts"), 7)
+    return rounded(jobs.score(holdout, f"{out}/artifacts"), 6)
 
 
 def score_job_full_history(spark, sf):
@@ -570,7 +576,48 @@ def score_job_full_history(spark, sf):
     history, holdout = _history_and_holdout(spark, sf)
     out = _scratch(spark, "train")
     jobs.train(history, SUPPLIER, out, model=LIGHT)
-    return rounded(jobs.score(holdout, f"{out}/artifacts", ServingSpec(history="full")), 7)
+    return rounded(jobs.score(holdout, f"{out}/artifacts", ServingSpec(history="full")), 6)
+
+
+def payload_forecast(spark, sf):
+    """The holdout as one JSON record for each symbol, through to the forecasts of the trailing window."""
+    history, holdout = _history_and_holdout(spark, sf)
+    out = _scratch(spark, "train")
+    jobs.train(history, SUPPLIER, out, model=LIGHT)
+    packed = (
+        holdout.groupBy(F.col("symbol").alias("record"))
+        .agg(F.sort_array(F.collect_list(F.struct("date", "symbol", *BASE))).alias("rows"))
+        .select(
+            F.to_json(
+                F.struct(
+                    F.transform("rows.date", lambda t: t.cast("string")).alias("date"),
+                    *[F.col(f"rows.{c}").alias(c) for c in ("symbol", *BASE)],
+                )
+            ).alias("payload")
+        )
+    )
+    fields = {"date": "string", "symbol": "bigint", **{c: "double" for c in BASE}}
+    return rounded(jobs.score_payloads(packed, "payload", f"{out}/artifacts", fields), 6)
+
+
+def streaming_scores(spark, sf):
+    """The holdout as a stream that runs until it has read all, after a seed of the history."""
+    history, holdout = _history_and_holdout(spark, sf)
+    out, base = _scratch(spark, "train"), _scratch(spark, "stream")
+    jobs.train(history, SUPPLIER, out, model=LIGHT)
+    scoring.seed_history(history, f"{base}/history")
+    holdout.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(holdout.schema).parquet(f"{base}/in")
+    query = scoring.start_scoring(
+        stream,
+        load_artifacts(spark, f"{out}/artifacts"),
+        f"{base}/history",
+        f"{base}/scores",
+        f"{base}/checkpoint",
+        available_now=True,
+    )
+    query.awaitTermination()
+    return rounded(scoring.read_scores(spark, f"{base}/scores").select("date", "symbol", "prediction"), 5)
 
 
 SMALL_FEATURES = FeatureSpec(lags=(1,), rolling_windows=(5,))
@@ -672,6 +719,8 @@ def all_queries() -> dict[str, Query]:
         backtest_job,
         score_job,
         score_job_full_history,
+        payload_forecast,
+        streaming_scores,
         walk_forward_job,
         parameter_search,
     )

@@ -212,7 +212,7 @@ def build_model(
         return _elastic_net(spec, df, list(features), target)
     if kind in ("gbt", "lightgbm"):
         return _boosted_trees(spec, list(features), target)
-    raise ValueError(f"Unsupported model type: {spec.type}")
+    raise ValueError(f"No model is called {spec.type!r}; there are elastic_net and gbt")
 
 
 #: Elastic-net parameters; the solver is ``moments`` (covariances, then coordinate descent) or

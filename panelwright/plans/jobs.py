@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from panelwright.operators.quality import assert_daily
 from panelwright.operators.splits import Fold, fold_filter, trailing_window, walk_forward_folds
 from panelwright.session import materialize
 from panelwright.sources.artifacts import Artifacts, load_artifacts, save_artifacts
+from panelwright.sources.readers import explode_payloads
 from panelwright.sources.writers import read_written, write_metrics, write_panel
 from panelwright.spec import (
     FeatureSpec,
@@ -106,6 +107,27 @@ def score(
     return artifacts.predict(processed).select(*panel.order, panel.key, PREDICTION)
 
 
+def score_payloads(
+    df: DataFrame,
+    column: str,
+    artifacts: Artifacts | str,
+    fields: Mapping[str, str] | None = None,
+    serving: ServingSpec = ServingSpec(),
+) -> DataFrame:
+    """Forecasts for JSON records of arrays: rows, dates, trailing window, features, prediction.
+
+    ``fields`` are the element types of the arrays; by default date, key (text) and all base features.
+    """
+    if isinstance(artifacts, str):
+        artifacts = load_artifacts(df.sparkSession, artifacts)
+    panel = artifacts.features.panel
+    if fields is None:
+        measures = {c: "double" for c in artifacts.features.base_features}
+        fields = {panel.date: "string", panel.key: "string", **measures}
+    rows = explode_payloads(df.select(column), column, fields, dates=[panel.date])
+    return score(rows, artifacts, serving)
+
+
 def walk_forward(
     df: DataFrame,
     panel: PanelSpec,

@@ -56,7 +56,7 @@ class PanelSpec:
 
 @dataclass(frozen=True)
 class FeatureSpec:
-    """Feature engineering parameters."""
+    """Feature engineering parameters; the defaults are fixed values."""
 
     lags: tuple[int, ...] = (1, 5, 21)
     rolling_windows: tuple[int, ...] = (5, 21, 63)
@@ -94,7 +94,7 @@ class FeatureSpec:
 
 @dataclass(frozen=True)
 class SplitSpec:
-    """Walk-forward split: ``n_splits`` validation blocks of ``test_size`` dates after a gap."""
+    """Walk-forward split: ``n_splits`` validation blocks of ``test_size`` dates after a gap (fixed values)."""
 
     n_splits: int = 5
     test_size: int = 20
@@ -104,6 +104,8 @@ class SplitSpec:
 
 @dataclass(frozen=True)
 class ModelSpec:
+    """Model kind and parameters; the default penalty is a fixed value."""
+
     type: str = "elastic_net"
     params: dict[str, Any] = field(default_factory=lambda: {"alpha": 0.5, "l1_ratio": 0.5})
     seed: int = 42
@@ -111,6 +113,8 @@ class ModelSpec:
 
 @dataclass(frozen=True)
 class StrategySpec:
+    """Position limits, turnover penalty and volatility cap (fixed values)."""
+
     leverage_min: float = 0.0
     leverage_max: float = 2.0
     turnover_penalty: float = 0.05
@@ -119,6 +123,8 @@ class StrategySpec:
 
 @dataclass(frozen=True)
 class ServingSpec:
+    """Days of the inference window (fixed value) and what is cut to it."""
+
     feature_window_days: int = 21
     #: "trimmed" cuts history before building features, "full" builds features first.
     history: str = "trimmed"
