@@ -17,12 +17,18 @@ from pyspark.sql import functions as F
 from panelwright.session import materialize
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-#: Texts handled at once in a Python worker.
-SLICE_BYTES = 8_000_000
+#: Rows of an Arrow batch, instead of Spark's 10,000: texts are long.
+BATCH_ROWS, _SPARK_BATCH_ROWS = 2000, "10000"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of text handled at once in a Python worker.
+SLICE_BYTES = 4_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when the driver found it by ``sys.path`` alone."""
+    """Let Python workers import this package when the driver found it by ``sys.path`` alone, and give
+    them smaller batches unless the session sets its own size."""
+    if spark.conf.get(_BATCH_ROWS, _SPARK_BATCH_ROWS) == _SPARK_BATCH_ROWS:
+        spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, ROOT) if x)
@@ -88,14 +94,21 @@ class Pieces:
 class PieceCache:
     """Encoded pieces by their text, filled in batches and emptied above ``limit`` pieces.
 
-    Only speed depends on the limit: a piece that is not there is encoded again.
+    Only speed depends on the limit: a piece that is not there is encoded again. A worker process keeps
+    the pieces of one cache at a time, the one in use.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], dtype, limit: int = 700_000):
+    in_use: PieceCache | None = None
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], dtype, limit: int = 500_000):
         self.encode, self.dtype, self.limit = encode, np.dtype(dtype), limit
         self.known: dict[str, bytes] = {}
 
     def packed(self, keys: list[str]) -> list[bytes]:
+        if PieceCache.in_use is not self:
+            if PieceCache.in_use is not None:
+                PieceCache.in_use.known.clear()
+            PieceCache.in_use = self
         found = [*map(self.known.get, keys)]
         missing = [k for k, v in zip(keys, found, strict=True) if v is None]
         if not missing:
@@ -142,13 +155,10 @@ def word_codes(pieces: Pieces) -> np.ndarray:
     return np.frombuffer(b"".join(packed), ">u8").astype(np.uint64)[pieces.codes]
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.Array]:
+def text_slices(texts: pa.Array) -> Iterator[pa.Array]:
     """Runs of texts of about ``SLICE_BYTES`` (one text at least), so that work arrays stay small."""
     import pyarrow.compute as pc
 
-    texts = batch.column(column)
-    if len(texts) == 0:
-        return
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
@@ -156,6 +166,21 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.Arra
         stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
         yield texts.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` as the one column ``row``, to pass through Python unchanged."""
+    prepare(docs.sparkSession)
+    return docs.select(F.struct("*").alias("row"))
+
+
+def texts_of(batch: pa.RecordBatch, text_col: str = "text") -> pa.Array:
+    """The texts of a batch of :func:`whole_rows` (null: empty), or of rows with a column ``text``."""
+    if "row" not in batch.schema.names:
+        return batch.column("text")
+    rows = batch.column("row")
+    return rows.field(rows.type.get_field_index(text_col)).cast(pa.string()).fill_null("")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

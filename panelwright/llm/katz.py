@@ -65,7 +65,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk = TaskContext.get().partitionId() << 32
     for batch in batches:
         at = 0
-        for texts in text_slices(batch):
+        for texts in text_slices(batch.column("text")):
             pieces = spaced_words(pc.ascii_lower(texts))
             n = len(texts)
             bounds = pieces.bounds + np.arange(n + 1)

@@ -70,7 +70,7 @@ def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, signatures = [], [], []
-            for texts in text_slices(batch):
+            for texts in text_slices(batch.column("text")):
                 for codes in shingle_sets(texts, width):
                     sizes.append(len(codes))
                     digests.append(_digest(codes.tobytes()))
@@ -119,7 +119,7 @@ def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in text_slices(batch):
+            for texts in text_slices(batch.column("text")):
                 codes = [x.tobytes() for x in shingle_sets(texts, width)]
                 digests = [_digest(x) for x in codes]
                 yield batch_of(schema, {"rep": batch.column("doc_id").slice(at, len(texts)), "digest": digests, "codes": codes})

@@ -70,7 +70,7 @@ def _code(vocabulary: str, end_id: int, length: int, quantum: int):
         ranks = np.zeros(length // quantum + 2, np.int64)
         for batch in batches:
             at = 0
-            for texts in text_slices(batch):
+            for texts in text_slices(batch.column("text")):
                 out: dict[str, list] = {n: [] for n in _CODED.names}
                 ids, bounds = tool.encode(texts)
                 for i in range(len(texts)):

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelwright.llm.common import prepare, spaced_words, text_rows, text_slices, word_codes
+from panelwright.llm.common import spaced_words, text_rows, text_slices, texts_of, whole_rows, word_codes
 
 #: Characters that count as symbols (fixed value).
 SYMBOLS = b"#*$%&|<>"
@@ -33,7 +34,7 @@ MEASURES = (
     "n_upper",
     "longest_word",
 )
-_DDL = ", ".join(f"{m} long" for m in MEASURES)
+_MEASURED = [T.StructField(m, T.LongType()) for m in MEASURES]
 _KEEP_SYMBOLS = bytes(x for x in range(256) if x not in SYMBOLS)
 _KEEP_UPPER = bytes(x for x in range(256) if not 65 <= x <= 90)
 
@@ -74,32 +75,36 @@ def _line_measures(raw: bytes) -> tuple[int, int]:
     return len(lines), len(lines) - len(set(lines))
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: dict[str, list] = {m: [] for m in MEASURES}
-        for texts in text_slices(batch):
-            words = spaced_words(texts)
-            sizes = np.fromiter(map(len, words.distinct), np.int64, len(words.distinct))
-            codes = word_codes(words)
-            for i, text in enumerate(texts.to_pylist()):
-                own = slice(*words.bounds[i : i + 2])
-                raw, chars = text.encode(), sizes[words.codes[own]]
-                n_lines, dup = _line_measures(raw)
-                values = (
-                    len(chars),
-                    int(chars.sum()),
-                    len(raw.translate(None, _KEEP_SYMBOLS)),
-                    dup,
-                    repeated_words(codes[own]),
-                    n_lines,
-                    len(raw.translate(None, _KEEP_UPPER)),
-                    int(chars.max(initial=0)),
-                )
-                for name, value in zip(MEASURES, values, strict=True):
-                    out[name].append(value)
-        rest = [n for n in batch.schema.names if n != "text"]
-        measured = [pa.array(out[m], pa.int64()) for m in MEASURES]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *measured], [*rest, *MEASURES])
+def _measure_texts(texts: pa.Array) -> Iterator[tuple[int, ...]]:
+    """The measurements of each text, in the order of ``MEASURES``."""
+    words = spaced_words(texts)
+    sizes = np.fromiter(map(len, words.distinct), np.int64, len(words.distinct))
+    codes = word_codes(words)
+    for i, text in enumerate(texts.to_pylist()):
+        own = slice(*words.bounds[i : i + 2])
+        raw, chars = text.encode(), sizes[words.codes[own]]
+        n_lines, dup = _line_measures(raw)
+        yield (
+            len(chars),
+            int(chars.sum()),
+            len(raw.translate(None, _KEEP_SYMBOLS)),
+            dup,
+            repeated_words(codes[own]),
+            n_lines,
+            len(raw.translate(None, _KEEP_UPPER)),
+            int(chars.max(initial=0)),
+        )
+
+
+def _measure(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [m for texts in text_slices(texts_of(batch, text_col)) for m in _measure_texts(texts)]
+            table = np.array(found, np.int64).reshape(-1, len(MEASURES))
+            kept = batch.schema.names[0]  # the row or the id
+            yield pa.RecordBatch.from_arrays([batch.column(kept), *map(pa.array, table.T)], [kept, *MEASURES])
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -140,14 +145,12 @@ def mask(names: tuple[str, ...] | str) -> int:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its measurements and ``failed_bits``."""
-    return _with_bits(text_rows(docs, id_col, text_col).mapInArrow(_measure, f"doc_id long, {_DDL}"))
+    return _with_bits(text_rows(docs, id_col, text_col).mapInArrow(_measure("text"), T.StructType([T.StructField("doc_id", T.LongType()), *_MEASURED])))
 
 
 def keep_good(docs: DataFrame, policy: tuple[str, ...] | str = "v1", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that the policy keeps."""
-    prepare(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    book = _with_bits(rows.mapInArrow(_measure, f"row {docs.schema.simpleString()}, {_DDL}"))
+    book = _with_bits(whole_rows(docs).mapInArrow(_measure(text_col), T.StructType([T.StructField("row", docs.schema), *_MEASURED])))
     return apply_policy(book, policy).filter("kept").select("row.*")
 
 

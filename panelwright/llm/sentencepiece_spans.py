@@ -174,7 +174,7 @@ def encode_documents(docs: DataFrame, model: str, spans: bool = True, id_col: st
         tool = span_encoder(model)
         for batch in batches:
             doc_ids, at = batch.column("doc_id"), 0
-            for texts in text_slices(batch):
+            for texts in text_slices(batch.column("text")):
                 rows: dict[str, list] = {n: [] for n in schema.names[1:]}
                 for ids, first, last in tool.encode(texts):
                     whole = tool.with_ends(ids)

@@ -153,7 +153,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
         for batch in batches:
             at = 0
-            for texts in text_slices(batch):
+            for texts in text_slices(batch.column("text")):
                 ids, bounds = tool.encode(texts)
                 for i in range(len(texts)):
                     own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint16(end_id))

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelwright.llm.common import PieceCache, Pieces, batch_of, bucket, mix, prepare, text_rows, text_slices
+from panelwright.llm.common import PieceCache, Pieces, batch_of, bucket, mix, text_rows, text_slices, texts_of, whole_rows
 
 BUCKETS = 1 << 20
 #: Word beginnings of these lengths are features beside the whole word.
@@ -148,7 +149,7 @@ def _extract(only: np.ndarray | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in text_slices(batch):
+            for texts in text_slices(batch.column("text")):
                 found = text_features(texts)
                 if only is not None:
                     found = (x[only[np.minimum(np.searchsorted(only, x), len(only) - 1)] == x] for x in found)
@@ -187,28 +188,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return [fit(positive, part, prior) for part in parts]
 
 
-def _scorer(models: list[Classifier]):
+def _scorer(models: list[Classifier], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odds = [sum(m.log_odds(x) for m in models) / len(models) for t in text_slices(batch) for x in text_features(t)]
+            found = (x for texts in text_slices(texts_of(batch, text_col)) for x in text_features(texts))
+            odds = [sum(m.log_odds(x) for m in models) / len(models) for x in found]
             scores = 1 / (1 + np.exp(-np.clip(np.array(odds, float), -30, 30)))
-            rest = [batch.column(n) for n in batch.schema.names if n != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64())], [*names, "score"])
+            kept = batch.schema.names[0]  # the row or the id
+            yield pa.RecordBatch.from_arrays([batch.column(kept), pa.array(scores, pa.float64())], [kept, "score"])
 
     return run
 
 
 def score(docs: DataFrame, models: list[Classifier], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
-    found = text_rows(docs, id_col, text_col).mapInArrow(_scorer(models), "doc_id long, score double")
+    found = text_rows(docs, id_col, text_col).mapInArrow(_scorer(models, "text"), "doc_id long, score double")
     held = bucket("doc_id", FOLDS) == HELD_OUT
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, models: list[Classifier], text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is below the threshold."""
-    prepare(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    row = f"row {docs.schema.simpleString()}"
-    return rows.mapInArrow(_scorer(models), f"{row}, score double").filter(F.col("score") < THRESHOLD).select("row.*")
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())])
+    return whole_rows(docs).mapInArrow(_scorer(models, text_col), schema).filter(F.col("score") < THRESHOLD).select("row.*")
