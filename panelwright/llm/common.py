@@ -63,6 +63,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
         conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
+def release(df: DataFrame) -> None:
+    """Give back the space of a table that ``written`` returned and nobody reads any more."""
+    files = df.inputFiles()
+    if files:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(os.path.dirname(files[0]))
+
+
 def bucket(id_col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids count as -1 (never a held-out row)."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus)), F.lit(-1))
@@ -155,15 +162,15 @@ def word_codes(pieces: Pieces) -> np.ndarray:
     return np.frombuffer(b"".join(packed), ">u8").astype(np.uint64)[pieces.codes]
 
 
-def text_slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Runs of texts of about ``SLICE_BYTES`` (one text at least), so that work arrays stay small."""
+def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Runs of texts of about ``limit`` bytes (one text at least), so that work arrays stay small."""
     import pyarrow.compute as pc
 
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield texts.slice(start, stop - start)
         start = stop
     pa.default_memory_pool().release_unused()

@@ -7,14 +7,14 @@ the other words in proportion to their unigram probability; the backoff weight i
 both rests, so that the probabilities after any history add up to 1. One class stands for all unknown
 words; its probability is what discounting takes from the known ones.
 
-Documents are tokenized once into chunks of about ``SLICE_BYTES`` of text. A chunk keeps its distinct
+Documents are tokenized once into chunks of at most about ``CHUNK_BYTES`` of text. A chunk keeps its distinct
 words and its tokens as places among them, so that the joins see each distinct word and each distinct
 pair of a chunk once, however often it occurs:
 
 1. Words are counted, numbered by falling frequency, and each chunk learns the numbers and counts of its
    words; its documents then have their unigram sums.
-2. Pairs of numbers are counted. The ``model`` table has one row for each seen pair (history, word: the
-   gain of the pair over its backoff) and one for each history (history, -1: the log of its weight).
+2. Pairs of numbers are counted. The ``model`` table has one row for each seen pair (history, word: its
+   count) and one for each history (history, -1: the log of its backoff weight).
 3. Each chunk asks the model for its distinct pairs and histories and adds the answers up per document:
    "the pair if seen, else the weight times the next lower order", for every token, in logs.
 
@@ -35,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import batch_of, bucket, spaced_words, text_rows, text_slices, word_codes, written
+from panelwright.llm.common import batch_of, bucket, release, spaced_words, text_rows, text_slices, word_codes, written
 
 FOLDS, HELD_OUT = 5, 1
 GOOD_TURING, CUTOFF, LEAST = 5, 2, 0.1
 #: Code of the end token; words have hashes of their bytes.
 END = 0x1D3F1C55E2A7B601
+#: Bytes of text in a chunk, where a batch has as many.
+CHUNK_BYTES = 8_000_000
 #: Number of the start as a history, and the word number that stands for "the weight of this history".
 BEGIN, WEIGHT = 0, -1
 
@@ -65,7 +67,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk = TaskContext.get().partitionId() << 32
     for batch in batches:
         at = 0
-        for texts in text_slices(batch.column("text")):
+        for texts in text_slices(batch.column("text"), CHUNK_BYTES):
             pieces = spaced_words(pc.ascii_lower(texts))
             n = len(texts)
             bounds = pieces.bounds + np.arange(n + 1)
@@ -77,12 +79,23 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.append(np.uint64(END), distinct)
             row = (
                 chunk, batch.column("doc_id").slice(at, n).to_pylist(), batch.column("held_out").slice(at, n).to_pylist(),
-                np.diff(bounds).tolist(), words.tobytes(), tokens.tobytes(),
+                np.diff(bounds).tolist(), words.tobytes(), _pack(tokens),
             )
             yield batch_of(_CHUNK, {name: [x] for name, x in zip(_CHUNK.names, row, strict=True)})
             chunk, at = chunk + 1, at + n
 
 
+def _pack(places: np.ndarray) -> bytes:
+    """Three bytes for each place within a chunk."""
+    return places.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(packed, np.uint8).reshape(-1, 3)
+    return wide.view("<u4").ravel().astype(np.int64)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(len(batch)):
@@ -95,7 +108,7 @@ _USES = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("code", pa.int
 def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each chunk's words and how often they occur in its training documents."""
     for row in _rows(batches):
-        words, tokens = np.frombuffer(row["words"], np.int64), np.frombuffer(row["tokens"], np.uint32)
+        words, tokens = np.frombuffer(row["words"], np.int64), _unpack(row["tokens"])
         train = np.repeat(~np.array(row["held_out"], bool), row["lengths"])
         n = np.bincount(tokens[train], minlength=len(words))
         yield batch_of(_USES, {"chunk": np.full(len(words), row["chunk"]), "place": np.arange(len(words)), "code": words, "n": n})
@@ -118,15 +131,14 @@ _CODED = pa.schema(
         ("doc_ids", pa.list_(pa.int64())),
         ("held_out", pa.list_(pa.bool_())),
         ("lengths", pa.list_(pa.int64())),
-        ("n_known", pa.list_(pa.int64())),
-        ("base", pa.list_(pa.float64())),
-        ("lower", pa.list_(pa.float64())),
+        ("tokens", pa.binary()),
         ("numbers", pa.binary()),
+        ("counts", pa.binary()),
     ]
 )
 _CODED_DDL = (
-    "chunk long, doc_ids array<long>, held_out array<boolean>, lengths array<long>, n_known array<long>, "
-    "base array<double>, lower array<double>, numbers binary"
+    "chunk long, doc_ids array<long>, held_out array<boolean>, lengths array<long>, tokens binary, "
+    "numbers binary, counts binary"
 )
 
 
@@ -135,42 +147,27 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
 
 
-def _code(n_tokens: int, n_words: int, log_unknown: float):
-    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        row = chunk.to_pylist()[0]
-        tokens = np.frombuffer(row["tokens"], np.uint32)
-        bounds = np.append(0, np.cumsum(row["lengths"]))
-        places = answers.column("place").to_numpy()
-        by_place = {}
-        for name, none in (("number", -1), ("n", 0), ("p_word", np.nan)):
-            values = np.full(len(row["words"]) // 8, none, np.float64 if name == "p_word" else np.int64)
-            found = answers.column(name).fill_null(none).to_numpy()
-            values[places] = found
-            by_place[name] = values
-        log_word = np.where(by_place["n"] > 0, np.log10(np.where(by_place["n"] > 0, by_place["p_word"], 1.0)), log_unknown)
-        base = np.log10((by_place["n"] + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
-        numbers = by_place["number"][tokens]
-        small = len(numbers) == 0 or numbers.max() < 1 << 31
-        out = row | {
-            "n_known": _sums((by_place["n"] > 0)[tokens].astype(np.int64), bounds).tolist(),
-            "base": _sums(base[tokens], bounds).tolist(),
-            "lower": _sums(log_word[tokens], bounds).tolist(),
-            "numbers": (b"4" if small else b"8") + numbers.astype(np.int32 if small else np.int64).tobytes(),
-        }
-        return pa.Table.from_pylist([{n: out[n] for n in _CODED.names}], _CODED)
-
-    return run
-
-
-def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """History and word number of every token (-1: unknown), and the bounds of the documents."""
-    packed = row["numbers"]
-    numbers = np.frombuffer(packed[1:], np.int32 if packed[:1] == b"4" else np.int64).astype(np.int64)
+def _code(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    """A chunk with the numbers (-1: unknown) and counts of its words."""
+    row = chunk.to_pylist()[0]
+    places = answers.column("place").to_numpy()
+    for column, name, none in (("number", "numbers", -1), ("n", "counts", 0)):
+        values = np.full(len(row["words"]) // 8, none, np.int64)
+        values[places] = answers.column(column).fill_null(none).to_numpy()
+        row[name] = values.tobytes()
+    return pa.Table.from_pylist([{n: row[n] for n in _CODED.names}], _CODED)
+
+
+def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """History and word number of every token (-1: unknown), the bounds of the documents, and the count
+    of every token's word."""
+    tokens = _unpack(row["tokens"])
+    numbers, counts = (np.frombuffer(row[n], np.int64)[tokens] for n in ("numbers", "counts"))
     bounds = np.append(0, np.cumsum(row["lengths"])).astype(np.int64)
     before = np.empty_like(numbers)
     before[1:] = numbers[:-1]
     before[bounds[:-1]] = BEGIN
-    return before, numbers, bounds
+    return before, numbers, bounds, counts
 
 
 def _distinct(before: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +185,7 @@ _PAIRS = pa.schema([("before", pa.int64()), ("word", pa.int64()), ("n", pa.int64
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        before, numbers, _ = _pairs_of(row)
+        before, numbers, _, _ = _pairs_of(row)
         train = np.repeat(~np.array(row["held_out"], bool), row["lengths"])
         first, _, n = _distinct(before[train], numbers[train])
         yield batch_of(_PAIRS, {"before": before[train][first], "word": numbers[train][first], "n": n})
@@ -198,10 +195,13 @@ _ASKED = pa.schema([("chunk", pa.int64()), ("before", pa.int64()), ("word", pa.i
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk's distinct pairs of known words, and its distinct known histories."""
+    """Each chunk's distinct pairs of words that are frequent enough to be a pair of the model, and its
+    distinct known histories."""
     for row in _rows(batches):
-        before, numbers, _ = _pairs_of(row)
-        both = (before >= 0) & (numbers >= 0)
+        before, numbers, bounds, counts = _pairs_of(row)
+        often = np.append(True, counts[:-1] >= CUTOFF) if len(counts) else counts > 0
+        often[bounds[:-1]] = True
+        both = (before >= 0) & (numbers >= 0) & (counts >= CUTOFF) & often
         first, _, _ = _distinct(before[both], numbers[both])
         histories = np.unique(before[before >= 0])
         a = np.concatenate((before[both][first], histories))
@@ -222,28 +222,43 @@ _SCORED = pa.schema(
 _SCORED_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _answer(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+def _answer(corpus: Corpus, shares: dict[int, float]):
     """Scores of a chunk's documents from the model's answers."""
-    row = chunk.to_pylist()[0]
-    before, numbers, bounds = _pairs_of(row)
-    history, word, value = (answers.column(n).to_numpy() for n in ("before", "word", "value"))
-    total = np.zeros(len(numbers))
-    for asked_word in (False, True):
-        mine = (word != WEIGHT) == asked_word
-        own = numbers if asked_word else np.full(len(numbers), WEIGHT)
-        first, inverse, _ = _distinct(np.concatenate((before, history[mine])), np.concatenate((own, word[mine])))
-        by_pair = np.zeros(len(first))
-        by_pair[inverse[len(numbers) :]] = value[mine]
-        total += by_pair[inverse[: len(numbers)]]
-    out = {
-        "doc_id": row["doc_ids"],
-        "held_out": row["held_out"],
-        "n_tokens": row["lengths"],
-        "n_known": row["n_known"],
-        "base_score": row["base"],
-        "score": np.array(row["lower"]) + _sums(total, bounds),
-    }
-    return pa.Table.from_batches([batch_of(_SCORED, out)])
+    n_tokens, n_words, word_shares, log_unknown = corpus.n_tokens, corpus.n_words, corpus.shares, corpus.log_unknown
+    n_starts = corpus.n_starts
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        before, numbers, bounds, counts = _pairs_of(row)
+        history, word, value = (answers.column(n).to_numpy() for n in ("before", "word", "value"))
+
+        def looked_up(words: np.ndarray, mine: np.ndarray) -> np.ndarray:
+            first, inverse, _ = _distinct(np.concatenate((before, history[mine])), np.concatenate((words, word[mine])))
+            by_pair = np.zeros(len(first))
+            by_pair[inverse[len(words) :]] = value[mine]
+            return by_pair[inverse[: len(words)]]
+
+        log_word = np.full(len(counts), log_unknown)
+        known = counts > 0
+        log_word[known] = np.log10(discounted(counts[known], word_shares) / max(n_tokens, 1))
+        weight = looked_up(np.full(len(numbers), WEIGHT), word == WEIGHT)
+        pair = looked_up(numbers, word != WEIGHT)
+        n_before = np.append(0, counts[:-1]) if len(counts) else counts
+        n_before[bounds[:-1]] = n_starts
+        score, seen = weight + log_word, pair > 0
+        score[seen] = np.log10(discounted(pair[seen], shares) / n_before[seen])
+        base = np.log10((counts + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
+        out = {
+            "doc_id": row["doc_ids"],
+            "held_out": row["held_out"],
+            "n_tokens": row["lengths"],
+            "n_known": _sums(known.astype(np.int64), bounds),
+            "base_score": _sums(base, bounds),
+            "score": _sums(score, bounds),
+        }
+        return pa.Table.from_batches([batch_of(_SCORED, out)])
+
+    return run
 
 
 def discounts(counts_of_counts: dict[int, int], k: int = GOOD_TURING) -> dict[int, float]:
@@ -262,6 +277,14 @@ def discounts(counts_of_counts: dict[int, int], k: int = GOOD_TURING) -> dict[in
     return found
 
 
+def discounted(counts: np.ndarray, shares: dict[int, float]) -> np.ndarray:
+    """What remains of counts; ``_discounted`` is the same as an expression."""
+    share = np.ones(max([0, *shares]) + 2)
+    share[list(shares)] = list(shares.values())
+    n = np.asarray(counts, float)
+    return np.minimum(share[np.minimum(n, len(share) - 1).astype(np.int64)] * n, n - LEAST)
+
+
 def _discounted(count: Column, shares: dict[int, float]) -> Column:
     share = F.lit(1.0)
     for r, s in shares.items():
@@ -277,6 +300,8 @@ class Corpus:
     words: DataFrame
     n_tokens: int
     n_words: int
+    #: Training documents, which is how often the start is a history.
+    n_starts: int
     shares: dict[int, float]
     log_unknown: float
 
@@ -305,46 +330,49 @@ def count_words(chunks: DataFrame) -> Corpus:
     words = written(words, "words")
     known = words.agg(F.coalesce(F.sum("p_word"), F.lit(0.0))).first()[0]
     log_unknown = float(np.log10(max(1 - known, 1e-300))) if n_words else 0.0
-    return Corpus(chunks, words, n_tokens, n_words, shares, log_unknown)
+    n_starts = words.filter(F.col("code") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    release(counts)
+    release(placed)
+    return Corpus(chunks, words, n_tokens, n_words, n_starts, shares, log_unknown)
 
 
 def number_chunks(corpus: Corpus) -> DataFrame:
-    """Chunks with word numbers instead of places, and the unigram sums of their documents."""
+    """Chunks with the numbers and counts of their words; takes the place of ``corpus.chunks``."""
     uses = corpus.chunks.mapInArrow(_uses, "chunk long, place int, code long, n int").drop("n")
-    answers = uses.join(corpus.words, "code", "left").select("chunk", "place", "number", "n", "p_word")
-    chunks = corpus.chunks.groupBy("chunk")
-    coded = chunks.cogroup(answers.groupBy("chunk")).applyInArrow(_code(corpus.n_tokens, corpus.n_words, corpus.log_unknown), _CODED_DDL)
-    return written(coded, "coded")
+    answers = uses.join(corpus.words.select("code", "number", "n"), "code").select("chunk", "place", "number", "n")
+    coded = corpus.chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_code, _CODED_DDL)
+    coded = written(coded, "coded")
+    release(corpus.chunks)
+    return coded
 
 
-def train(corpus: Corpus, coded: DataFrame) -> DataFrame:
-    """The model: ``before, word, value``; word -1 is the weight of a history, others gains of pairs."""
+def train(corpus: Corpus, coded: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """The model (``before, word, value``: counts of pairs, and weights of histories with word -1) and the
+    discounts of pairs."""
     counted = coded.mapInArrow(_count_pairs, "before long, word long, n long").groupBy("before", "word").agg(F.sum("n").alias("n"))
     seen = Observation()
     rare = [F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, GOOD_TURING + 2)]
-    pairs = written(counted.observe(seen, *rare).filter(f"n >= {CUTOFF}"), "counted")
-    spectrum = {r: seen.get.get(f"n{r}", 0) for r in range(1, GOOD_TURING + 2)}
-    pairs = pairs.withColumn("kept", _discounted(F.col("n"), discounts(spectrum)))
-    pairs = pairs.join(corpus.words.select(F.col("number").alias("word"), "p_word"), "word")
+    counted = written(counted.observe(seen, *rare).filter(f"n >= {CUTOFF}"), "counted")
+    found = seen.get
+    shares = discounts({r: found.get(f"n{r}") or 0 for r in range(1, GOOD_TURING + 2)})
+    pairs = counted.join(corpus.words.select(F.col("number").alias("word"), "p_word"), "word")
     # A history occurs as often as the word; the start as often as the end.
     start = F.when(F.col("code") == END, F.lit(BEGIN)).otherwise(F.col("number"))
     histories = corpus.words.select(start.cast("long").alias("before"), F.col("n").alias("n_before"))
-    pairs = pairs.join(histories, "before").select("before", "word", "p_word", (F.col("kept") / F.col("n_before")).alias("p_pair"))
-    pairs = written(pairs, "pairs")
-    weights = pairs.groupBy("before").agg(F.sum("p_pair").alias("seen"), F.sum("p_word").alias("lower"))
-    weights = written(weights.select("before", F.log10((1 - F.col("seen")) / (1 - F.col("lower"))).alias("weight")), "weights")
-    gain = F.log10("p_pair") - F.log10("p_word") - F.col("weight")
-    gains = pairs.join(weights, "before").select("before", "word", gain.alias("value"))
-    return gains.unionByName(weights.select("before", F.lit(WEIGHT).cast("long").alias("word"), F.col("weight").alias("value")))
+    p_pair = _discounted(F.col("n"), shares) / F.col("n_before")
+    weights = pairs.join(histories, "before").groupBy("before").agg(F.sum(p_pair).alias("seen"), F.sum("p_word").alias("lower"))
+    weights = written(weights.select("before", F.log10((1 - F.col("seen")) / (1 - F.col("lower"))).alias("value")), "weights")
+    pairs = counted.select("before", "word", F.col("n").cast("double").alias("value"))
+    return pairs.unionByName(weights.select("before", F.lit(WEIGHT).cast("long").alias("word"), "value")), shares
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
     corpus = count_words(tokenize(docs, id_col, text_col))
     coded = number_chunks(corpus)
-    model = train(corpus, coded)
+    model, shares = train(corpus, coded)
     asked = coded.mapInArrow(_ask, "chunk long, before long, word long")
     answers = written(asked.join(model, ["before", "word"]), "answers")
-    found = coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_answer, _SCORED_DDL)
+    found = coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_answer(corpus, shares), _SCORED_DDL)
     train_tokens = F.lit(corpus.n_tokens).cast("long").alias("train_tokens")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", train_tokens, "base_score", "score")
