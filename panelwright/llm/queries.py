@@ -80,14 +80,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_SPACE, _LOWER = r"\x20\x09-\x0D", "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TEXT = "coalesce(text, '')"
+
 ORACLES: dict[str, str] = {
-    "op1_exact_dedup": """
-        WITH n AS (
-            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS normal
-            FROM documents
-        )
+    "op1_exact_dedup": f"""
+        WITH n AS (SELECT doc_id, {_LOWER.format(_TEXT)} AS normal FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(normal) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY normal)
     """,
+    "op6_minhash_join": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all({_LOWER.format(_TEXT)}, '[^{_SPACE}]+') AS ws FROM documents),
+        sh AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws) + 1, 2)))) AS i FROM d)),
+        size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+            FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (
+            SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+            WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(doc_id, r) AS (
+            SELECT a, a FROM edge UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.r),
+        root AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(r, d.doc_id) AS component_id,
+               d.doc_id = coalesce(r, d.doc_id) AS kept
+        FROM d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN root ON root.doc_id = d.doc_id
+    """,
+    "op8_quality_ledger": f"""
+        WITH d AS (
+            SELECT doc_id, {_TEXT} AS t, regexp_extract_all({_TEXT}, '[^{_SPACE}]+') AS ws,
+                   list_filter(string_split({_TEXT}, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS ls
+            FROM documents),
+        win AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 7], ' ')) AS n
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
+        rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win, range(8) r(k) WHERE n > 1 GROUP BY doc_id),
+        m AS (
+            SELECT d.doc_id, len(ws) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+                   len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
+            FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
+        f AS (
+            SELECT *, CAST(n_words < 20 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 30 * n_words AS BIGINT)
+                + 4 * CAST(100 * n_symbols > 20 * n_words AS BIGINT) + 8 * CAST(100 * n_dup_lines > 50 * n_lines AS BIGINT)
+                + 16 * CAST(100 * n_upper > 50 * word_chars AS BIGINT) + 32 * CAST(word_chars > 40 * n_words AS BIGINT)
+                + 64 * CAST(word_chars < 2 * n_words AS BIGINT) AS failed_bits FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               failed_bits % 4 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f
+    """,
 }
