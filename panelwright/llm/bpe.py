@@ -34,6 +34,10 @@ def _byte_characters() -> dict[int, str]:
 _BYTE_CHARACTERS = _byte_characters()
 
 
+#: Bytes of text encoded at once, and pieces kept: a word met again costs a lookup, a new one the library.
+ENCODE_BYTES, KEPT_PIECES = 8_000_000, 700_000
+
+
 class ChunkEncoder:
     """16-bit ids of whole texts (vocabularies below 65,536 ids)."""
 
@@ -44,7 +48,7 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() >= 1 << 16:
             raise ValueError("The vocabulary needs more than 16 bits an id")
-        self.cache = PieceCache(self._encode, np.uint16)
+        self.cache = PieceCache(self._encode, np.uint16, KEPT_PIECES)
         #: Ids of the punctuation seen after words.
         self.tails: dict[str, bytes] = {}
         #: Whether white space is dropped between words, or belongs to the word after it.

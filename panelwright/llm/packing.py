@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.bpe import encoder
+from panelwright.llm.bpe import ENCODE_BYTES, encoder
 from panelwright.llm.common import batch_of, bucket, text_rows, text_slices, written
 
 LENGTH = 4096
@@ -70,7 +70,7 @@ def _code(vocabulary: str, end_id: int, length: int, quantum: int):
         ranks = np.zeros(length // quantum + 2, np.int64)
         for batch in batches:
             at = 0
-            for texts in text_slices(batch.column("text")):
+            for texts in text_slices(batch.column("text"), ENCODE_BYTES):
                 out: dict[str, list] = {n: [] for n in _CODED.names}
                 ids, bounds = tool.encode(texts)
                 for i in range(len(texts)):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.bpe import encoder
+from panelwright.llm.bpe import ENCODE_BYTES, encoder
 from panelwright.llm.common import batch_of, text_rows, text_slices
 
 #: Ids after which a shard is closed; one document is never split.
@@ -153,7 +153,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
         for batch in batches:
             at = 0
-            for texts in text_slices(batch.column("text")):
+            for texts in text_slices(batch.column("text"), ENCODE_BYTES):
                 ids, bounds = tool.encode(texts)
                 for i in range(len(texts)):
                     own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint16(end_id))
