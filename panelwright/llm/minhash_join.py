@@ -14,7 +14,7 @@
 5. Links are contracted to components; a component is named by its smallest id.
 
 The one approximation is the signature: a pair of similarity 0.75 stays below ``MATCHES`` with a
-probability of about 1e-5, a pair of 0.8 below 1e-7.
+probability of 8e-6, a pair of 0.8 with 2e-7 (binomial).
 
 Defined results: a null, empty or blank text has no shingles, is its own component and is kept. A row
 without an id is left alone: component null, kept. Rows that share an id and a set are one class; rows
