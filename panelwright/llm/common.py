@@ -153,7 +153,7 @@ def _word_hashes(words: list[str]) -> list[bytes]:
     return [xxhash.xxh3_64_digest(w.encode()) for w in words]
 
 
-WORD_HASHES = PieceCache(_word_hashes, ">u8")
+WORD_HASHES = PieceCache(_word_hashes, ">u8", 300_000)
 
 
 def word_codes(pieces: Pieces) -> np.ndarray:

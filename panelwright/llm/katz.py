@@ -11,8 +11,8 @@ Documents are tokenized once into chunks of at most about ``CHUNK_BYTES`` of tex
 words and its tokens as places among them, so that the joins see each distinct word and each distinct
 pair of a chunk once, however often it occurs:
 
-1. Words are counted, numbered by falling frequency, and each chunk learns the numbers and counts of its
-   words; its documents then have their unigram sums.
+1. Words are counted in groups by a hash, numbered by falling frequency within their group, and each
+   chunk learns the numbers and counts of its words.
 2. Pairs of numbers are counted. The ``model`` table has one row for each seen pair (history, word: its
    count) and one for each history (history, -1: the log of its backoff weight).
 3. Each chunk asks the model for its distinct pairs and histories and adds the answers up per document:
@@ -29,10 +29,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import batch_of, bucket, release, spaced_words, text_rows, text_slices, word_codes, written
@@ -42,7 +43,9 @@ GOOD_TURING, CUTOFF, LEAST = 5, 2, 0.1
 #: Code of the end token; words have hashes of their bytes.
 END = 0x1D3F1C55E2A7B601
 #: Bytes of text in a chunk, where a batch has as many.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
+#: Distinct words of chunks that are counted in one group, and parts in which the model is asked.
+GROUP_USES, PARTS = 400_000, 2
 #: Number of the start as a history, and the word number that stands for "the weight of this history".
 BEGIN, WEIGHT = 0, -1
 
@@ -114,15 +117,44 @@ def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(_USES, {"chunk": np.full(len(words), row["chunk"]), "place": np.arange(len(words)), "code": words, "n": n})
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+_COUNTED = pa.schema([("chunk", pa.int64()), ("code", pa.int64()), ("number", pa.int64()), ("n", pa.int64()), ("answer", pa.binary())])
+_COUNTED_DDL = "chunk long, code long, number long, n long, answer binary"
+
+
+def _count_group(groups: int):
+    """All uses of the words of one group: a row for each word of the training documents, and for each
+    chunk the places, numbers and counts of its words in one binary."""
+
+    def run(key: tuple, uses: pa.Table) -> pa.Table:
+        group = key[0].as_py()
+        chunk, place, code, n = (uses.column(c).to_numpy() for c in ("chunk", "place", "code", "n"))
+        words, inverse = np.unique(code, return_inverse=True)
+        total = np.bincount(inverse, weights=n, minlength=len(words)).astype(np.int64)
+        order = np.lexsort((words, -total))
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(len(words)) * groups + group + BEGIN + 1
+        known = total > 0
+        order = np.lexsort((place, chunk))
+        order = order[known[inverse[order]]]
+        chunk, place, inverse = chunk[order], place[order], inverse[order]
+        starts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else np.zeros(0, int)
+        answers = [
+            place[a:b].astype("<u4").tobytes() + number[inverse[a:b]].tobytes() + total[inverse[a:b]].tobytes()
+            for a, b in zip(starts, np.append(starts[1:], len(chunk)), strict=True)
+        ]
+        none, own = int(known.sum()), len(answers)
+        return pa.table(
+            {
+                "chunk": pa.array([None] * none + chunk[starts].tolist(), pa.int64()),
+                "code": pa.array(words[known].tolist() + [None] * own, pa.int64()),
+                "number": pa.array(number[known].tolist() + [None] * own, pa.int64()),
+                "n": pa.array(total[known].tolist() + [None] * own, pa.int64()),
+                "answer": pa.array([None] * none + answers, pa.binary()),
+            },
+            schema=_COUNTED,
+        )
 
-    part, at = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = len(batch)
-        extra = [pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(at, at + n), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "part", "place"])
-        at += n
+    return run
 
 
 _CODED = pa.schema(
@@ -150,11 +182,14 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _code(chunk: pa.Table, answers: pa.Table) -> pa.Table:
     """A chunk with the numbers (-1: unknown) and counts of its words."""
     row = chunk.to_pylist()[0]
-    places = answers.column("place").to_numpy()
-    for column, name, none in (("number", "numbers", -1), ("n", "counts", 0)):
-        values = np.full(len(row["words"]) // 8, none, np.int64)
-        values[places] = answers.column(column).fill_null(none).to_numpy()
-        row[name] = values.tobytes()
+    numbers = np.full(len(row["words"]) // 8, -1, np.int64)
+    counts = np.zeros(len(numbers), np.int64)
+    for packed in answers.column("answer").to_pylist():
+        n = len(packed) // 20
+        places = np.frombuffer(packed, "<u4", n)
+        numbers[places] = np.frombuffer(packed, np.int64, n, 4 * n)
+        counts[places] = np.frombuffer(packed, np.int64, n, 12 * n)
+    row |= {"numbers": numbers.tobytes(), "counts": counts.tobytes()}
     return pa.Table.from_pylist([{n: row[n] for n in _CODED.names}], _CODED)
 
 
@@ -312,34 +347,29 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return written(rows.mapInArrow(_tokenize, _CHUNK_DDL), "chunks")
 
 
-def count_words(chunks: DataFrame) -> Corpus:
-    """Counts, numbers and unigram probabilities of the words of all training documents."""
+def count_words(chunks: DataFrame) -> tuple[Corpus, DataFrame]:
+    """Counts, numbers and unigram probabilities of the words of all training documents, and what the
+    chunks need to know of them (``chunk, answer``)."""
+    n_uses = chunks.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0))).first()[0]
+    groups = int(n_uses // GROUP_USES) + 1
     uses = chunks.mapInArrow(_uses, "chunk long, place int, code long, n int")
-    counts = written(uses.groupBy("code").agg(F.sum("n").alias("n")).filter("n > 0"), "counts")
-    spectrum = {r["n"]: r["count"] for r in counts.filter(f"n <= {GOOD_TURING + 1}").groupBy("n").count().collect()}
-    n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    grouped = uses.groupBy(F.pmod(F.xxhash64("code"), F.lit(groups)).alias("group"))
+    counted = written(grouped.applyInArrow(_count_group(groups), _COUNTED_DDL), "words")
+    words = counted.filter("chunk is null").select("code", "number", "n")
+    spectrum = {r["n"]: r["count"] for r in words.filter(f"n <= {GOOD_TURING + 1}").groupBy("n").count().collect()}
+    n_tokens, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     shares = discounts(spectrum)
-    order = [F.desc("n"), F.col("code")]
-    placed = written(counts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_number, "code long, n long, part int, place long"), "placed")
-    # One row for each partition.
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("ahead"))
     p_word = _discounted(F.col("n"), shares) / F.lit(max(n_tokens, 1))
-    words = placed.join(sizes, "part").select("code", (F.col("ahead") + F.col("place") + BEGIN + 1).alias("number"), "n", p_word.alias("p_word"))
-    words = written(words, "words")
+    words = words.withColumn("p_word", p_word)
     known = words.agg(F.coalesce(F.sum("p_word"), F.lit(0.0))).first()[0]
     log_unknown = float(np.log10(max(1 - known, 1e-300))) if n_words else 0.0
     n_starts = words.filter(F.col("code") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    release(counts)
-    release(placed)
-    return Corpus(chunks, words, n_tokens, n_words, n_starts, shares, log_unknown)
+    corpus = Corpus(chunks, words, n_tokens, n_words, n_starts, shares, log_unknown)
+    return corpus, counted.filter("chunk is not null").select("chunk", "answer")
 
 
-def number_chunks(corpus: Corpus) -> DataFrame:
+def number_chunks(corpus: Corpus, answers: DataFrame) -> DataFrame:
     """Chunks with the numbers and counts of their words; takes the place of ``corpus.chunks``."""
-    uses = corpus.chunks.mapInArrow(_uses, "chunk long, place int, code long, n int").drop("n")
-    answers = uses.join(corpus.words.select("code", "number", "n"), "code").select("chunk", "place", "number", "n")
     coded = corpus.chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_code, _CODED_DDL)
     coded = written(coded, "coded")
     release(corpus.chunks)
@@ -368,11 +398,14 @@ def train(corpus: Corpus, coded: DataFrame) -> tuple[DataFrame, dict[int, float]
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
-    corpus = count_words(tokenize(docs, id_col, text_col))
-    coded = number_chunks(corpus)
+    corpus, answers = count_words(tokenize(docs, id_col, text_col))
+    coded = number_chunks(corpus, answers)
     model, shares = train(corpus, coded)
     asked = coded.mapInArrow(_ask, "chunk long, before long, word long")
-    answers = written(asked.join(model, ["before", "word"]), "answers")
-    found = coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_answer(corpus, shares), _SCORED_DDL)
+    # Part by part, so that only one part of the questions is on disk at a time.
+    part = F.pmod(F.xxhash64("before", "word"), F.lit(PARTS))
+    told = [written(asked.filter(part == i).join(model.filter(part == i), ["before", "word"]), "answers") for i in range(PARTS)]
+    found = coded.groupBy("chunk").cogroup(reduce(DataFrame.unionByName, told).groupBy("chunk"))
+    scored = found.applyInArrow(_answer(corpus, shares), _SCORED_DDL)
     train_tokens = F.lit(corpus.n_tokens).cast("long").alias("train_tokens")
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", train_tokens, "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", train_tokens, "base_score", "score")
