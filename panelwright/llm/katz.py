@@ -137,15 +137,16 @@ def _count_group(groups: int):
         order = np.lexsort((place, chunk))
         order = order[known[inverse[order]]]
         chunk, place, inverse = chunk[order], place[order], inverse[order]
-        starts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else np.zeros(0, int)
+        bounds = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else np.zeros(0, np.int64)
+        bounds = np.append(bounds, len(chunk))
         answers = [
             place[a:b].astype("<u4").tobytes() + number[inverse[a:b]].tobytes() + total[inverse[a:b]].tobytes()
-            for a, b in zip(starts, np.append(starts[1:], len(chunk)), strict=True)
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True)
         ]
         none, own = int(known.sum()), len(answers)
         return pa.table(
             {
-                "chunk": pa.array([None] * none + chunk[starts].tolist(), pa.int64()),
+                "chunk": pa.array([None] * none + chunk[bounds[:-1]].tolist(), pa.int64()),
                 "code": pa.array(words[known].tolist() + [None] * own, pa.int64()),
                 "number": pa.array(number[known].tolist() + [None] * own, pa.int64()),
                 "n": pa.array(total[known].tolist() + [None] * own, pa.int64()),
