@@ -2,7 +2,8 @@
 
 Neither vocabulary merges across the white space between two words, so a text can be cut there, and
 each distinct chunk needs the library only once. Chunks are cut only where that is certain to change
-nothing; what is left in one chunk the library sees whole.
+nothing; what is left in one chunk the library sees whole. A special token that is written out in a text
+is one id, as by the library's defaults; it holds no white space, so that no cut divides it.
 """
 
 from __future__ import annotations
@@ -45,7 +46,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() >= 1 << 16:
             raise ValueError("The vocabulary needs more than 16 bits an id")
         self.cache = PieceCache(self._encode, np.uint16, KEPT_PIECES)

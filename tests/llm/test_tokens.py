@@ -37,6 +37,27 @@ def test_chunked_encoding_is_the_library_s(path, texts):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == library(path, texts)
 
 
+PARTS = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "endoftext|>", "one", "It's", " ", "  ", "\n", "\t", "\x1c", ".", "<", "|>", "é", "\u0338"])
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@given(texts=st.lists(st.lists(PARTS, max_size=9).map("".join), min_size=1, max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_special_tokens_are_the_library_s(path, texts):
+    texts = [*texts, "one <|endoftext|> two"]
+    ids, bounds = encoder(path).encode(pa.array(texts, pa.string()))
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+    assert len(want[-1]) == (4 if path == BYTES else 3)
+
+
+def test_token_files_hold_special_tokens(spark, tmp_path):
+    texts = ["one <|endoftext|> two", "three"]
+    token_files.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "t"), BYTES)
+    got = sorted(map(tuple, token_files.read_digests(spark.read.parquet(str(tmp_path / "t"))).collect()))
+    assert [r[:3] for r in got] == [(0, 0, 5), (1, 5, 2)]
+
+
 @given(texts=st.lists(st.text(ALPHABET, max_size=30), min_size=1, max_size=30))
 @settings(max_examples=60, deadline=None)
 def test_spans_cover_the_source(texts):
