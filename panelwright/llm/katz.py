@@ -1,8 +1,8 @@
 """Katz backoff language model over words, trained and evaluated with joins.
 
-Training counts words and word pairs of all training documents. Counts up to ``GOOD_TURING`` are
-discounted by Good-Turing, every count loses ``LEAST`` at least, and pairs below ``CUTOFF`` count as
-unseen, so that their mass goes to the backoff. What the seen words of a history leave is spread over
+Training counts words and word pairs of all training documents. Counts up to ``GOOD_TURING``, 1 among
+them, are discounted by Good-Turing, and every count loses ``LEAST`` at least. Pairs below ``CUTOFF`` would
+count as unseen; at 1 there are none, and every pair of the training documents is in the model. What the seen words of a history leave is spread over
 the other words in proportion to their unigram probability; the backoff weight is the exact quotient of
 both rests, so that the probabilities after any history add up to 1. One class stands for all unknown
 words; its probability is what discounting takes from the known ones.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.common import batch_of, bucket, release, spaced_words, text_rows, text_slices, word_codes, written
 
 FOLDS, HELD_OUT = 5, 1
-GOOD_TURING, CUTOFF, LEAST = 5, 2, 0.1
+GOOD_TURING, CUTOFF, LEAST = 5, 1, 0.1
 #: Code of the end token; words have hashes of their bytes.
 END = 0x1D3F1C55E2A7B601
 #: Bytes of text in a chunk, where a batch has as many.
@@ -231,8 +231,8 @@ _ASKED = pa.schema([("chunk", pa.int64()), ("before", pa.int64()), ("word", pa.i
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk's distinct pairs of words that are frequent enough to be a pair of the model, and its
-    distinct known histories."""
+    """Each chunk's distinct pairs of words that are frequent enough to be a pair of the model (at a
+    ``CUTOFF`` of 1 all known words), and its distinct known histories."""
     for row in _rows(batches):
         before, numbers, bounds, counts = _pairs_of(row)
         often = np.append(True, counts[:-1] >= CUTOFF) if len(counts) else counts > 0

@@ -128,6 +128,22 @@ def test_katz(spark, awkward, empty):
             assert g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
 
 
+def test_katz_keeps_pairs_seen_once(spark):
+    """"b a" occurs once in training; a held-out text with it is scored by its discounted count."""
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1][:6]
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    texts = ["a b", "a b", "b a", "c d", "a c", "d d"]
+    rows = [*zip(train, texts, strict=True), (held, "b a")]
+    got = {r.doc_id: r.score for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = collections.Counter(w for t in texts for w in (*t.split(), "</s>"))
+    pairs = collections.Counter(p for t in texts for p in zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True))
+    assert words["b"] == 3 and pairs["b", "a"] == 1 and pairs["a", "</s>"] == 1 and pairs["<s>", "b"] == 1
+    shares = katz.discounts(collections.Counter(pairs.values()))
+    once = min(shares[1], 1 - katz.LEAST)
+    want = np.log10([once / len(texts), once / words["b"], once / words["a"]]).sum()
+    assert got[held] == pytest.approx(want, rel=1e-9)
+
+
 def test_katz_without_training(spark):
     docs = spark.createDataFrame([(4, "a b")], "doc_id long, text string")
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
