@@ -1,10 +1,14 @@
 """License scan by ordered signature rules.
 
-A rule is a regular expression with a keyword, a label and a priority. The rules are made from a table
-of licenses and a table of the phrases in which their names occur. A text's lines are searched only if
-they hold a keyword, and by the rules of that keyword only. Of overlapping detections the one that
-contains the other wins if its priority is not lower; of equal intervals the earlier rule wins. Besides
-the rules three base phrases are found as consecutive words anywhere in the text.
+A rule is a regular expression with a keyword, a hint (a literal part of its matches), a label and a
+priority. The rules are made from a table of licenses and a table of the phrases in which their names
+occur; a whole name is also a rule alone, as in a heading, and the bodies of common licenses have rules
+of their own. White space, line ends and the comment marks after them count as one space. The text is
+searched in tiles of ``TILE`` characters with ``REACH`` more behind them, only if they hold a keyword, and
+by the rules whose keyword and hint they hold only. Of overlapping detections the one that contains the
+other wins if its priority is not lower; of equal intervals the earlier rule wins. Places are characters
+of the text with its white space collapsed. Besides the rules three base phrases are found as consecutive
+words anywhere in the text.
 
 Everything is one projection of DataFrame expressions, without shuffle.
 
@@ -14,6 +18,7 @@ and score 0. Null and repeated ids are rows like others; other columns are ignor
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,11 +32,11 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Label, then the names of a license as regular expressions; a name is a rule in each phrase below.
 LICENSES = (
-    ("agpl", r"gnu affero general public licen[sc]e", r"agpl"),
+    ("agpl", r"(?:gnu )?affero general public licen[sc]e", r"gnu agpl", r"agpl"),
     ("apache", r"apache licen[sc]e", r"apache software licen[sc]e", r"apache"),
     ("artistic", r"artistic licen[sc]e", r"perl artistic licen[sc]e"),
     ("boost", r"boost software licen[sc]e", r"bsl"),
-    ("bsd", r"bsd licen[sc]e", r"(?:new|modified|simplified|revised) bsd licen[sc]e", r"bsd"),
+    ("bsd", r"bsd licen[sc]e", r"(?:new|modified|simplified|revised) bsd licen[sc]e", r"bsd \d[ -]clause(?: \W?\w+\W?)?(?: or \W?\w+\W?)? licen[sc]e", r"bsd"),
     ("cc-by", r"creative commons attribution", r"cc[ -]by"),
     ("cc-by-nc", r"creative commons attribution[ -]non-?commercial", r"cc[ -]by-nc"),
     ("cc-by-nc-nd", r"creative commons attribution[ -]non-?commercial[ -]no ?deriv\w*", r"cc[ -]by-nc-nd"),
@@ -46,7 +51,7 @@ LICENSES = (
     ("fdl", r"gnu free documentation licen[sc]e", r"gfdl"),
     ("gpl", r"(?:gnu )?general public licen[sc]e", r"gnu gpl", r"gpl"),
     ("isc", r"isc licen[sc]e", r"isc"),
-    ("lgpl", r"gnu (?:lesser|library) general public licen[sc]e", r"lgpl"),
+    ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", r"gnu lgpl", r"lgpl"),
     ("mit", r"mit licen[sc]e", r"expat licen[sc]e", r"mit"),
     ("mpl", r"mozilla public licen[sc]e", r"mpl"),
     ("ofl", r"sil open font licen[sc]e", r"ofl"),
@@ -70,43 +75,89 @@ STATEMENTS = (
     ("reserved", r"all rights reserved", "reserved", 0.8),
     ("reserved", r"(?:some|no) rights reserved", "partly-reserved", 0.6),
     ("copyright", r"copyright (?:\(c\)|©)? ?\d{4}", "copyright", 0.6),
-    ("public domain", r"(?:released|dedicated|placed|is) (?:in|into|to) the public domain", "public-domain", 0.8),
+    ("domain", r"(?:released|dedicated|placed|is) (?:in|into|to) the public domain", "public-domain", 0.8),
 )
+#: Weight of a whole name alone, as in a heading.
+NAMED = 0.6
+#: Sentences of license bodies and of the notices that go with them: keyword, hint, pattern, label, weight.
+BODIES = (
+    ("permission", "permission is hereby granted", r"permission is hereby granted,? free of charge(?:,? to any person obtaining a copy(?: of this software and associated documentation files)?)?", "mit", 0.9),
+    ("permission", "person or organization", r"permission is hereby granted,? free of charge,? to any person or organization obtaining a copy of the software", "boost", 0.9),
+    ("permission", "with or without fee", r"permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted", "isc", 0.9),
+    ("distribut", "in source and binary forms", r"redistributions? and use in source and binary forms(?:,? with or without modification,? are permitted)?", "bsd", 0.9),
+    ("licen", "you may not use this file", r"you may not use this file except in compliance with the licen[sc]e", "apache", 0.9),
+    ("licen", "no-charge, royalty-free", r"perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright licen[sc]e to reproduce, prepare derivative works of", "apache", 0.9),
+    ("licen", "general public license is a free", r"the gnu general public license is a free, copyleft license for software", "gpl", 0.9),
+    ("licen", "general public license is a free", r"the gnu affero general public license is a free, copyleft license for software", "agpl", 0.9),
+    ("licen", "incorporates the terms", r"this version of the gnu lesser general public license incorporates the terms", "lgpl", 0.9),
+    ("licen", "this source code form", r"this source code form is subject to the terms of the mozilla public licen[sc]e", "mpl", 0.9),
+    ("licen", "eclipse public licen", r"accompanying program is provided under the terms of this eclipse public licen[sc]e", "epl", 0.9),
+    ("licen", "result of discussions", r"this agreement is a free software licen[sc]e agreement that is the result of discussions between its authors", "cecill", 0.9),
+    ("domain", "free and unencumbered", r"this is free and unencumbered software released into the public domain", "unlicense", 0.9),
+    ("domain", "with this deed", r"the person who associated a work with this deed has dedicated the work to the public domain", "cc0", 0.9),
+    ("copyright", "affirmer", r"affirmer\W?s copyright and related rights", "cc0", 0.9),
+    ("permission", "to anyone to use this software", r"permission is granted to anyone to use this software for any purpose,? including commercial applications", "zlib", 0.9),
+    ("distribut", "verbatim copies of the", r"make and give away verbatim copies of the (?:source|standard)[^.]{0,80} without restriction", "artistic", 0.8),
+    ("available", "psf is making python", r"psf is making python available to licensee", "python", 0.9),
+)
+#: White space, with the comment marks that follow a line end.
+_BLANK = r"[\s\x85\xa0\u2000-\u200a\u2028\u2029\u202f\u3000]"
+BLANKS = rf"{_BLANK}++(?:(?<=[\n\r\x85\u2028\u2029]{_BLANK}{{0,40}})[*#/;%>|!-](?:{_BLANK}|[*#/;%>|!-])*+)?"
+#: Characters of a tile, and how many more a match that begins in it may reach.
+TILE, REACH = 500, 400
+
+
+def _hint(name: str) -> str:
+    """The longest literal part of a name, which each of its matches holds."""
+    parts = re.split(r"\(\?:.*\)\??|\[[^]]*\]\??|\\\w[*+]?|.\?", name)
+    return max(parts, key=len)
+
 
+def _headings() -> list[tuple[str, str, str, str]]:
+    """Keyword, hint, name and label of the names that say "license", and of those of Creative Commons."""
+    keywords = {"licen": "licen[sc]e", "commons": "creative commons"}
+    found = [(k, _hint(n), n, label) for label, *names in LICENSES for n in names for k, sign in keywords.items() if sign in n]
+    return [*found, ("universal", "cc0", r"cc0 1\.0 universal", "cc0")]
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """Keyword, pattern, label, priority and weight of every rule, by descending priority."""
+
+def rules() -> list[tuple[str, str, str, str, int, float]]:
+    """Keyword, hint, pattern, label, priority and weight of every rule, by descending priority."""
     made = [
-        (keyword, rf"\b{phrase.format(name)}\b{VERSION}", label, len(PHRASES) + 1 - place, weight)
+        (keyword, _hint(name), rf"\b{phrase.format(name)}\b{VERSION}", label, len(PHRASES) + 1 - place, weight)
         for place, (keyword, phrase, weight) in enumerate(PHRASES)
         for label, *names in LICENSES
         for name in names
     ]
-    return made + [(keyword, pattern, label, 1, weight) for keyword, pattern, label, weight in STATEMENTS]
+    made += [(keyword, keyword, pattern, label, 1, weight) for keyword, pattern, label, weight in STATEMENTS]
+    made += [(keyword, hint, rf"\b{pattern}\b", label, 1, weight) for keyword, hint, pattern, label, weight in BODIES]
+    return made + [(keyword, hint, rf"\b{name}\b{VERSION}", label, 1, NAMED) for keyword, hint, name, label in _headings()]
 
 
 def _rule_array() -> Column:
-    names = ("keyword", "pattern", "label", "priority", "weight")
+    names = ("keyword", "hint", "pattern", "label", "priority", "weight")
     return F.array(*(F.struct(F.lit(i).alias("place"), *(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for i, r in enumerate(rules())))
 
 
-def _detections(line: Column, number: Column, rule: Column) -> Column:
-    """All matches of a rule in a line, with the characters they start and end at."""
-    matches = F.regexp_extract_all(line, rule["pattern"], F.lit(0))
+def _detections(tile: Column, rule: Column) -> Column:
+    """All matches of a rule that begin in a tile, with the characters of the text they start and end at."""
+    text, before = tile["text"], tile["before"]
+    matches = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
     kind = "struct<at:int,found:array<struct<begin:int,end:int>>>"
     empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("found")).cast(kind)
 
     def step(state: Column, match: Column) -> Column:
-        begin = F.position(match, line, state["at"])
+        begin = F.position(match, text, state["at"])
         end = begin + F.length(match)
         place = F.struct(begin.alias("begin"), end.alias("end"))
         return F.struct(end.alias("at"), F.array_append(state["found"], place).alias("found")).cast(kind)
 
     found = F.aggregate(matches, empty, step)["found"]
+    found = F.filter(found, lambda f: (f["begin"] > before) & (f["begin"] <= before + F.lit(TILE)))
+    shift = tile["place"] * F.lit(TILE) - before
     return F.transform(
         found,
         lambda f: F.struct(
-            number.alias("line"), f["begin"].alias("begin"), f["end"].alias("end"), rule["place"].alias("place"),
+            (f["begin"] + shift).alias("begin"), (f["end"] + shift).alias("end"), rule["place"].alias("place"),
             rule["priority"].alias("priority"), rule["label"].alias("label"), rule["weight"].alias("weight"),
         ),
     )
@@ -116,7 +167,7 @@ def _kept(detections: Column) -> Column:
     """Detections that no other one contains with a priority as high; earlier rules win equal places."""
 
     def beaten(d: Column, o: Column) -> Column:
-        contains = (o["line"] == d["line"]) & (o["begin"] <= d["begin"]) & (o["end"] >= d["end"])
+        contains = (o["begin"] <= d["begin"]) & (o["end"] >= d["end"])
         same = (o["begin"] == d["begin"]) & (o["end"] == d["end"])
         return contains & ((same & (o["place"] < d["place"])) | (~same & (o["priority"] >= d["priority"])))
 
@@ -146,15 +197,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     keywords = sorted({r[0] for r in rules()})
     gate = "|".join(keywords)
-    lines = F.filter(F.split("low", "\n"), lambda x: x.rlike(gate))
+    # Null without a keyword, so that white space is collapsed and tiles are cut only where one is.
+    flat = F.when(F.col("low").rlike(gate), F.regexp_replace("low", BLANKS, " "))
+    rows = rows.withColumn("pieces", F.regexp_extract_all(flat, F.lit(f"(?s).{{1,{TILE}}}"), F.lit(0)))
+
+    def tile(piece: Column, i: Column) -> Column:
+        # One character before the tile tells whether a word begins there.
+        before = F.when(i > 0, F.right(F.get("pieces", i - 1), F.lit(1))).otherwise("")
+        after = F.coalesce(F.left(F.get("pieces", i + 1), F.lit(REACH)), F.lit(""))
+        return F.struct(F.concat(before, piece, after).alias("text"), F.length(before).alias("before"), i.alias("place"))
+
+    rows = rows.withColumn("tiles", F.filter(F.transform("pieces", tile), lambda t: t["text"].rlike(gate)))
     rule_array = _rule_array()
 
-    def of_line(line: Column, number: Column) -> Column:
-        due = F.filter(rule_array, lambda r: F.contains(line, r["keyword"]))
-        return F.flatten(F.transform(due, lambda r: _detections(line, number, r)))
+    def of_tile(t: Column) -> Column:
+        due = F.filter(rule_array, lambda r: F.contains(t["text"], r["keyword"]) & F.contains(t["text"], r["hint"]))
+        return F.flatten(F.transform(due, lambda r: _detections(t, r)))
 
-    kind = "array<struct<line:int,begin:int,end:int,place:int,priority:int,label:string,weight:double>>"
-    found = F.when(F.col("low").rlike(gate), F.flatten(F.transform(lines, of_line))).otherwise(F.array()).cast(kind)
+    kind = "array<struct<begin:int,end:int,place:int,priority:int,label:string,weight:double>>"
+    found = F.coalesce(F.flatten(F.transform("tiles", of_tile)), F.array().cast(kind)).cast(kind)
     judged = rows.select(
         "doc_id",
         n_words.alias("n_words"),

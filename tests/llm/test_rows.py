@@ -224,6 +224,42 @@ def test_license_rules(spark, text, labels):
     assert got.labels == labels
 
 
+def test_license_layouts(spark):
+    """Wrapped, tabbed and commented statements, headings and bodies; places far from the start."""
+    far = "word " * 98  # a statement across the edge of a tile
+    cases = {
+        "licensed under the\nApache License, Version 2.0": "apache",
+        " * Licensed under the Apache\n * License, Version 2.0": "apache",
+        "// Released  under\tthe\r\n//\n// MIT license": "mit",
+        "MIT License\n\nCopyright (c) 2020 X": "copyright,mit",
+        "Apache License, Version 2.0": "apache",
+        "GNU Affero General Public License": "agpl,gpl",
+        'BSD 2-Clause "Simplified" License': "bsd",
+        "Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa",
+        "CC0 1.0 Universal": "cc0",
+        "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software": "mit",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software": "boost",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted": "isc",
+        "# Redistribution and use in source and binary\n# forms, with or without modification, are permitted": "bsd",
+        "You may not use this file except in compliance with the License": "apache",
+        far + "licensed under the apache license, version 2.0": "apache",
+        far + "xx licensed under the\n\nmit license " + far + "all rights\nreserved": "mit,reserved",
+        far + "wordadmit license": "",
+        "is available at the permission of the domain, licensed and released": "",
+    }
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    assert {t: r.labels for t, r in zip(cases, sorted(got, key=lambda r: r.doc_id), strict=True)} == cases
+
+
+def test_license_hints_are_in_the_names():
+    for label, *names in license_scan.LICENSES:
+        for name in names:
+            least = re.sub(r"\(\?:([^|()]*)[^()]*\)(\?)?", lambda m: "" if m[2] else m[1], name)
+            least = re.sub(r".\?", "", re.sub(r"\[(.)[^]]*\](\?)?", lambda m: "" if m[2] else m[1], least))
+            least = re.sub(r"\\w[*+]?", "x", least).replace("\\d", "3").replace("\\W", "")
+            assert re.search(name, least) and license_scan._hint(name) in least, (label, name)
+
+
 def test_license_containment(spark):
     text = "licensed under the creative commons attribution non-commercial license"
     found = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
