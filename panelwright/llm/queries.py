@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import exact_dedup, katz, license_scan, minhash_join, packing, quality_ledger, sentencepiece_spans, token_files, toxicity, url_filter
+from panelwright.llm import exact_dedup, filter_audit, katz, license_scan, minhash_join, packing, quality_ledger, sentencepiece_spans, token_files, toxicity, url_filter
 from panelwright.llm.bpe import public_file
 from panelwright.llm.common import table
 from panelwright.session import shared_folder
@@ -64,6 +64,10 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_ledger,
         op9_packing,
         op10_katz,
+        op13_filter_audit,
     )
 }
 
@@ -134,4 +139,41 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                failed_bits % 4 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f
     """,
+    "op13_filter_audit": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(source, '') AS part, {_TEXT} AS t, regexp_extract_all({_TEXT}, '[^{_SPACE}]+') AS ws FROM documents),
+        f AS (
+            SELECT d.doc_id, part, CAST(len(ws) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(ws)) < 65 * len(ws) AS INTEGER)
+                + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS INTEGER)
+                + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+                + 16 * CAST(EXISTS (SELECT 1 FROM d o WHERE o.t = d.t AND o.doc_id < d.doc_id) AS INTEGER) AS bits
+            FROM d),
+        l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        c AS (
+            SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+            FROM f LEFT JOIN l USING (doc_id) GROUP BY part, bits),
+        o(filter_order, used, step) AS (
+            SELECT '', 0, 0 UNION ALL
+            SELECT filter_order || chr(65 + i), used + (1 << i), step + 1
+            FROM o, (SELECT CAST(unnest(range(5)) AS INTEGER) AS i) x WHERE used & (1 << i) = 0),
+        whole AS (SELECT filter_order FROM o WHERE step = 5),
+        s AS (
+            SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+                   list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(filter_order[k]) - 65))) AS used
+            FROM whole, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step) x),
+        per AS (
+            SELECT part, filter_order, s.step, bit,
+                   sum(n) FILTER (bits & (coalesce(used, 0) | bit) = 0) AS kept,
+                   sum(n) FILTER (bits & coalesce(used, 0) = 0 AND bits & bit <> 0) AS removed,
+                   sum(n) FILTER (bits & coalesce(used, 0) <> 0 AND bits & bit <> 0) AS redundant,
+                   sum(n) FILTER (bits = bit) AS unique_fails,
+                   sum(n_good) FILTER (bits & coalesce(used, 0) = 0 AND bits & bit <> 0) AS good_lost,
+                   sum(n_toxic) FILTER (bits & coalesce(used, 0) = 0 AND bits & bit <> 0) AS toxic_lost
+            FROM c, s GROUP BY ALL)
+        SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+               CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+        FROM per
+    """,
 }
