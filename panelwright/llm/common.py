@@ -215,3 +215,20 @@ def shingle_codes(codes: np.ndarray, width: int) -> np.ndarray:
         factor = factor * 0x9E3779B97F4A7C15 % 2**64
         total += codes[i : n - width + 1 + i] * np.uint64(factor)
     return mix(total)
+
+
+#: A key with more than one in so many rows is joined by broadcast.
+HOT_SHARE = 1000
+
+
+def joined_by_key(rows: DataFrame, values: DataFrame, key: str, n_col: str) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has one row for each key and its number of rows.
+
+    Keys with more than one in ``HOT_SHARE`` rows, of which there are fewer than ``HOT_SHARE``, are
+    broadcast; rows of all others are shuffled, of which no key has many. ``rows`` is read three times.
+    """
+    values = written(values, "values")
+    hot = values.filter(F.col(n_col) * HOT_SHARE > rows.count()).drop(n_col)
+    found = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    rest = found.filter("__hot is null").select(*rows.columns).join(values.drop(n_col), key)
+    return found.filter("__hot").select(*rest.columns).unionByName(rest)

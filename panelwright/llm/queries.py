@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import exact_dedup, filter_audit, katz, license_scan, minhash_join, packing, quality_ledger, sentencepiece_spans, token_files, toxicity, url_filter
+from panelwright.llm import exact_dedup, filter_audit, katz, license_scan, minhash_join, packing, quality_ledger, sentencepiece_spans, token_files, toxicity, url_filter, vector_codes
 from panelwright.llm.bpe import public_file
 from panelwright.llm.common import table
 from panelwright.session import shared_folder
@@ -64,6 +64,10 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_ledger,
         op9_packing,
         op10_katz,
+        op12_vector_codes,
         op13_filter_audit,
     )
 }
@@ -88,6 +93,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPACE, _LOWER = r"\x20\x09-\x0D", "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEXT = "coalesce(text, '')"
 
+def _codebook_rounds(rounds: int = 2) -> str:
+    """Common table expressions a0, b1, a1, ...: assignments and the codebooks that follow from them."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""
+        d{i} AS (
+            SELECT p.vec_id, p.part, b.entry,
+                   list_sum(list_transform(range(1, len(p.xs) + 1), lambda k: (p.xs[k] - b.xs[k]) * (p.xs[k] - b.xs[k]))) AS square
+            FROM p JOIN b{i} b USING (part)),
+        a{i} AS (SELECT vec_id, part, min(square) AS square, arg_min(entry, (square, entry)) AS entry FROM d{i} GROUP BY ALL)""")
+        if i < rounds:
+            out.append(f"""
+        m{i} AS (
+            SELECT part, entry, k, CAST(floor(sum(p.xs[k]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS x
+            FROM a{i} JOIN p USING (vec_id, part), range(1, 257) r(k) WHERE k <= len(p.xs) GROUP BY ALL),
+        b{i + 1} AS (
+            SELECT part, entry, coalesce(n.xs, b.xs) AS xs
+            FROM b{i} b LEFT JOIN (SELECT part, entry, list(x ORDER BY k) AS xs FROM m{i} GROUP BY ALL) n USING (part, entry))""")
+    return ",".join(out)
+
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_LOWER.format(_TEXT)} AS normal FROM documents)
@@ -139,6 +165,24 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                failed_bits % 4 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f
     """,
+    "op12_vector_codes": f"""
+        WITH v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS xs FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (
+            SELECT vec_id, part, xs[part * (len(xs) // 16) + 1:(part + 1) * (len(xs) // 16)] AS xs
+            FROM v, (SELECT CAST(unnest(range(16)) AS INTEGER) AS part) y),
+        b0 AS (
+            SELECT part, entry, xs FROM p
+            JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v) o USING (vec_id) WHERE entry < 64),
+        {_codebook_rounds()},
+        e AS (
+            SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(square) AS BIGINT) AS error
+            FROM a2 GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(xs, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+        FROM e JOIN v USING (vec_id)
+    """,
     "op13_filter_audit": f"""
         WITH RECURSIVE d AS (
             SELECT doc_id, coalesce(source, '') AS part, {_TEXT} AS t, regexp_extract_all({_TEXT}, '[^{_SPACE}]+') AS ws FROM documents),
