@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import exact_dedup, filter_audit, katz, license_scan, minhash_join, packing, quality_ledger, sentencepiece_spans, token_files, toxicity, url_filter, vector_codes
+from panelwright.llm import exact_dedup, filter_audit, jaccard_join, katz, license_scan, minhash_join, packing, quality_ledger, sentencepiece_spans, token_files, toxicity, url_filter, vector_codes
 from panelwright.llm.bpe import public_file
 from panelwright.llm.common import table
 from panelwright.session import shared_folder
@@ -64,6 +64,10 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_ledger,
         op9_packing,
         op10_katz,
+        op11_jaccard_join,
         op12_vector_codes,
         op13_filter_audit,
     )
@@ -165,6 +170,26 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                failed_bits % 4 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f
     """,
+    "op11_jaccard_join": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all({_LOWER.format(_TEXT)}, '[^{_SPACE}]+') AS ws FROM documents),
+        sh AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, least(len(ws) + 1, 2)))) AS i FROM d)),
+        size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+            FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (
+            SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+            WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(doc_id, r) AS (
+            SELECT a, a FROM edge UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.r),
+        root AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(r, d.doc_id) AS component_id
+        FROM d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN root ON root.doc_id = d.doc_id
+    """,
     "op12_vector_codes": f"""
         WITH v AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS xs FROM embeddings
