@@ -2,10 +2,13 @@
 
 import collections
 import hashlib
+import math
 import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelwright.llm import exact_dedup, license_scan, quality_ledger, toxicity, url_filter
@@ -131,6 +134,64 @@ def test_non_negative_risk_does_not_fit_noise():
     assert model.log_odds(np.array([1, 2])) > 1 and model.log_odds(np.array([50])) < -1
 
 
+def brute_risk(theta, positive, unlabelled, prior):
+    """The risk of the estimator in plain loops over rows and buckets."""
+    odds = lambda row: theta[-1] + sum(theta[c] for c in row)
+    loss = lambda z: math.log1p(math.exp(z))
+    gained = prior * sum(loss(-odds(r)) for r in positive) / len(positive)
+    return gained, sum(loss(odds(r)) for r in unlabelled) / len(unlabelled) - prior * sum(loss(odds(r)) for r in positive) / len(positive)
+
+
+def test_non_negative_risk_and_its_gradient():
+    rng = np.random.default_rng(3)
+    signs = set()
+    for trial in range(30):
+        rows = [[np.flatnonzero(rng.random(6) < 0.4) for _ in range(n)] for n in (7, 19)]
+        sides = [(np.repeat(np.arange(len(x)), [len(r) for r in x]), np.concatenate(x), len(x)) for x in rows]
+        theta, prior = rng.normal(size=7) * (1 + trial % 3 * 2), rng.uniform(0.05, 0.95)
+        gained, negative, gradient = toxicity.risk(theta, *sides, prior)
+        assert (gained, negative) == pytest.approx(brute_risk(theta, *rows, prior))
+        signs.add(negative >= 0)
+        for k in range(7):
+            up, down = theta.copy(), theta.copy()
+            up[k], down[k] = up[k] + 1e-6, down[k] - 1e-6
+            value = lambda t: (lambda g, n: g + n if negative >= 0 else -n)(*brute_risk(t, *rows, prior))  # noqa: B023, E731
+            assert gradient[k] == pytest.approx((value(up) - value(down)) / 2e-6, abs=1e-5)
+    assert signs == {True, False}
+
+
+def test_scores_are_the_mean_of_the_classifiers():
+    rng = np.random.default_rng(6)
+    models = [toxicity.Classifier(np.unique(rng.integers(0, 50, 12)).astype(np.uint32), np.zeros(0), b) for b in (-3.0, -1.0)]
+    models = [toxicity.Classifier(m.buckets, rng.normal(size=len(m.buckets)), m.bias) for m in models]
+    mean = toxicity.mean_of([*models, toxicity.Classifier(np.zeros(0, np.uint32), np.zeros(0), 9.0)])
+    for _ in range(20):
+        own = np.unique(rng.integers(0, 60, 15)).astype(np.uint32)
+        assert mean.log_odds(own) == pytest.approx(np.mean([m.log_odds(own) for m in models]))
+
+
+@given(st.integers(0, 2**32 - 1), st.integers(10, 2000), st.floats(0.001, 0.299))
+@settings(max_examples=60, deadline=None)
+def test_a_text_without_features_is_not_toxic(seed, n, prior):
+    rng = np.random.default_rng(seed)
+    row = lambda own: np.unique(np.append(rng.integers(10, 4000, 20), own)).astype(np.uint32)
+    marks = lambda: rng.integers(0, 5, rng.integers(0, 3))
+    positive = [row(marks()) for _ in range(max(1, int(n * prior)))]
+    unlabelled = [row(marks() if rng.random() < prior else []) for _ in range(n)]
+    models = [toxicity.fit(positive, [x for j, x in enumerate(unlabelled) if j % 3 != i], prior, rounds=60) for i in range(3)]
+    floor = 1 / (1 + np.exp(-toxicity.mean_of(models).log_odds(np.zeros(0, np.uint32))))
+    assert floor <= prior + 1e-9 < toxicity.THRESHOLD
+
+
+def test_held_out_toxicity_of_the_tables(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").filter("held_out").toPandas()
+    bad, good = (got[got.toxic == x].score.to_numpy() for x in (1, 0))
+    assert np.mean([(x > good).mean() + (x == good).mean() / 2 for x in bad]) > 0.975
+    assert (bad >= 0.3).mean() > 0.9 and (good >= 0.3).mean() < 0.02
+
+
 URLS = [
     (1, "http://Example.COM/en/5?x#y"),
     (2, "https://www.example.com/en/"),
