@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.quantiles import exact_quantiles, long_form, summarize
 from panelwright.functions.scalars import clip
+from panelwright.functions.sketches import approximate_quantiles
 from panelwright.operators.segments import KeyWindow, over_keys
 from panelwright.session import materialize
 from panelwright.spec import FeatureSpec, PanelSpec, as_panel
@@ -30,10 +31,17 @@ STATISTICS_SCHEMA = (
 
 
 def winsor_bounds(
-    df: DataFrame, columns: Sequence[str], lower: float = 0.01, upper: float = 0.99
+    df: DataFrame, columns: Sequence[str], lower: float = 0.01, upper: float = 0.99, method: str = "exact"
 ) -> Bounds:
-    """Two interpolated quantiles per column over the whole frame (all keys together)."""
-    quantiles = exact_quantiles(df, {c: (lower, upper) for c in columns})
+    """Two quantiles per column over the whole frame (all keys together).
+
+    ``exact`` ones are interpolated and take a scan for each counting round, ``approx`` ones are values of
+    the column from a sketch of one scan, whose rank error is bounded.
+    """
+    if method not in ("exact", "approx"):
+        raise ValueError(f"Unsupported quantile method: {method}")
+    wanted = {c: (lower, upper) for c in columns}
+    quantiles = exact_quantiles(df, wanted) if method == "exact" else approximate_quantiles(df, wanted)
     return {c: (low, high) for c, (low, high) in quantiles.items()}
 
 
@@ -145,7 +153,11 @@ def fit_columns(
     columns = list(columns)
     summaries = summarize(df, columns, moments=True)
     if features.imputation == "median":
-        quantiles = exact_quantiles(df, {c: (0.5,) for c in columns}, summaries)
+        halves = {c: (0.5,) for c in columns}
+        if features.quantiles == "approx":
+            quantiles = approximate_quantiles(df, halves)
+        else:
+            quantiles = exact_quantiles(df, halves, summaries)
         fills = {c: q[0] for c, q in quantiles.items()}
     elif features.imputation == "mean":
         fills = {c: s.mean for c, s in summaries.items()}
@@ -218,7 +230,7 @@ def batch_bounds(panel: DataFrame, spec: PanelSpec, base, features: FeatureSpec)
     columns = list(base)
     if spec.target and features.winsorize_target and spec.target in panel.columns:
         columns.append(spec.target)
-    return winsor_bounds(panel, columns, features.winsor_lower, features.winsor_upper)
+    return winsor_bounds(panel, columns, features.winsor_lower, features.winsor_upper, features.quantiles)
 
 
 @dataclass(frozen=True)

@@ -1,10 +1,10 @@
-"""Forecast models: elastic net from one pass of moments (or Spark's solver), gradient-boosted trees."""
+"""Forecast models: elastic net from one scan of moments (or Spark's solver), gradient-boosted trees."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +15,13 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressi
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.functions.partials import PARTIALS_DDL, merged, per_task
 from panelwright.functions.quantiles import Summary, long_form, summarize
+from panelwright.operators.boosting import PREDICTION, BoostedFit, BoostingSpec, boost, predict_boosted
 from panelwright.operators.features import CONSTANT_SPREAD
 from panelwright.spec import ModelSpec
 
-RAW, SCALED, PREDICTION = "_raw_features", "_features", "prediction"
+RAW, SCALED = "_raw_features", "_features"
 
 #: Iteration cap of the elastic net (fixed value).
 MAX_ITERATIONS = 5000
@@ -50,7 +52,7 @@ class Moments:
 
 @dataclass(frozen=True)
 class TrainedModel:
-    pipeline: PipelineModel | LinearFit
+    pipeline: PipelineModel | LinearFit | BoostedFit
     features: tuple[str, ...]
     rmse: float
 
@@ -59,10 +61,12 @@ class TrainedModel:
         return predict(self.pipeline, df)
 
 
-def linear_weights(fitted: PipelineModel | LinearFit) -> tuple[dict[str, float], float] | None:
+def linear_weights(fitted: PipelineModel | LinearFit | BoostedFit) -> tuple[dict[str, float], float] | None:
     """Weights per raw feature and the intercept of a fitted elastic net; None for other models."""
     if isinstance(fitted, LinearFit):
         return dict(zip(fitted.features, fitted.weights)), fitted.intercept
+    if isinstance(fitted, BoostedFit):
+        return None
     last = fitted.stages[-1]
     if not isinstance(last, LinearRegressionModel):
         return None
@@ -79,12 +83,14 @@ def _total(terms: list[Column]) -> Column:
     return terms[0]
 
 
-def predict(fitted: PipelineModel | LinearFit, df: DataFrame) -> DataFrame:
+def predict(fitted: PipelineModel | LinearFit | BoostedFit, df: DataFrame) -> DataFrame:
     """Add ``prediction``.
 
     A linear model is one expression over the features it uses: no vectors, and what feeds only
     features of weight zero is pruned from the plan, windows included.
     """
+    if isinstance(fitted, BoostedFit):
+        return predict_boosted(fitted, df)
     linear = linear_weights(fitted)
     if linear is None:
         return fitted.transform(df).select(*df.columns, PREDICTION)
@@ -93,43 +99,96 @@ def predict(fitted: PipelineModel | LinearFit, df: DataFrame) -> DataFrame:
     return df.select("*", _total([F.lit(intercept), *used]).alias(PREDICTION))
 
 
-def moments(df: DataFrame, features: Sequence[str], target: str) -> Moments:
-    """Two scans: means and spreads, then the products of the centred columns, summed per task.
+@dataclass(frozen=True)
+class MomentSums:
+    """Number of rows, means and centred products of columns: sums that merge, over tasks or over folds."""
 
-    What is shuffled and returned is bounded by the width: a row of products for each column and task,
-    then one for each column.
-    """
-    columns = [*features, target]
-    summaries = summarize(df, columns, moments=True)
-    if any(summaries[c].values < summaries[c].rows or summaries[c].below or summaries[c].above for c in columns):
-        bad = [c for c in columns if summaries[c].values < summaries[c].rows]
-        raise ValueError(f"Training columns hold NULL or infinite values: {bad}")
-    means = np.array([summaries[c].mean or 0.0 for c in columns])
-    spreads = np.array([_spread(summaries[c]) for c in features] + [1.0])
-    n = summaries[target].rows
+    n: int
+    means: np.ndarray
+    #: Some rows of the matrix of centred products, from ``first`` on.
+    products: np.ndarray
+    first: int
+    #: Values of each column that are NULL, NaN or infinite.
+    bad: np.ndarray
+
+    def merge(self, other: MomentSums) -> MomentSums:
+        """Both together, by the pairwise update of centred products."""
+        n = self.n + other.n
+        if not self.n or not other.n:
+            kept = self if self.n else other
+            return MomentSums(n, kept.means, kept.products, self.first, self.bad + other.bad)
+        gap = other.means - self.means
+        own = gap[self.first : self.first + len(self.products)]
+        products = self.products + other.products + np.outer(own, gap) * (self.n / n * other.n)
+        return MomentSums(n, self.means + gap * (other.n / n), products, self.first, self.bad + other.bad)
+
+    def to_bytes(self) -> bytes:
+        head = np.array([self.n, self.first, len(self.means), *self.bad], np.int64)
+        return head.tobytes() + self.means.tobytes() + self.products.tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> MomentSums:
+        n, first, width = np.frombuffer(data, np.int64, 3).tolist()
+        bad = np.frombuffer(data, np.int64, width, 24)
+        floats = np.frombuffer(data, np.float64, offset=24 + 8 * width)
+        return cls(n, floats[:width], floats[width:].reshape(-1, width), first, bad)
+
+
+def _merge_moments(payloads: list[bytes]) -> bytes:
+    """Neighbours two by two, so that rounding grows with the logarithm of their number."""
+    sums = [MomentSums.from_bytes(x) for x in payloads]
+    while len(sums) > 1:
+        pairs = [a.merge(b) for a, b in zip(sums[::2], sums[1::2])]
+        sums = pairs + (sums[-1:] if len(sums) % 2 else [])
+    return sums[0].to_bytes()
+
+
+#: Bytes of the matrix in one payload; wider matrices are merged in blocks of rows.
+BLOCK_BYTES = 1 << 20
+
+
+def moment_sums(df: DataFrame, columns: Sequence[str]) -> MomentSums:
+    """One scan. What is shuffled and returned is bounded by the width, and no task merges more than
+    ``FAN_IN`` partial sums."""
     width = len(columns)
-    schema = pa.schema([("place", pa.int32()), ("products", pa.list_(pa.float64()))])
+    height = max(1, min(width, BLOCK_BYTES // (8 * width)))
 
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        total = MomentSums(0, np.zeros(width), np.zeros((width, width)), 0, np.zeros(width, np.int64))
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            x = (x - means) / spreads
-            total += x.T @ x
-        rows = pa.array(total.tolist(), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), rows], schema=schema)
-
-    def added(table: pa.Table) -> pa.Table:
-        rows = np.array(table.column("products").to_pylist())
-        return pa.table({"place": table.column("place")[:1], "products": [rows.sum(axis=0).tolist()]}, schema=schema)
+            bad = ~np.isfinite(x)
+            x = x[~bad.any(axis=1)]
+            means = x.mean(axis=0) if len(x) else np.zeros(width)
+            centred = x - means
+            total = total.merge(MomentSums(len(x), means, centred.T @ centred, 0, bad.sum(axis=0)))
+        for first in range(0, width, height):
+            part = MomentSums(total.n, total.means, total.products[first : first + height], first, total.bad)
+            yield first, part.to_bytes()
 
-    ddl = "place int, products array<double>"
     doubles = df.select(*(F.col(c).cast("double") for c in columns))
-    found = doubles.mapInArrow(products, ddl).groupBy("place").applyInArrow(added, ddl).collect()
-    covariances = np.zeros((width, width))
-    for row in found:
-        covariances[row["place"]] = row["products"]
-    return Moments(tuple(features), means, spreads, covariances / max(n, 1))
+    found = merged(doubles.mapInArrow(per_task(build), PARTIALS_DDL), _merge_moments).collect()
+    if not found:
+        return MomentSums(0, np.zeros(width), np.zeros((width, width)), 0, np.zeros(width, np.int64))
+    parts = [MomentSums.from_bytes(r["payload"]) for r in sorted(found, key=lambda r: r["place"])]
+    return MomentSums(parts[0].n, parts[0].means, np.concatenate([p.products for p in parts]), 0, parts[0].bad)
+
+
+def moments_of(sums: MomentSums, features: Sequence[str], target: str) -> Moments:
+    columns = [*features, target]
+    if sums.bad.any():
+        bad = [c for c, n in zip(columns, sums.bad) if n]
+        raise ValueError(f"Training columns hold NULL or infinite values: {bad}")
+    n = max(sums.n, 1)
+    deviations = np.sqrt(np.diag(sums.products) / n)
+    constant = deviations <= CONSTANT_SPREAD * np.maximum(1.0, np.abs(sums.means))
+    spreads = np.where(constant, 1.0, deviations)
+    spreads[-1] = 1.0
+    return Moments(tuple(features), sums.means, spreads, sums.products / n / np.outer(spreads, spreads))
+
+
+def moments(df: DataFrame, features: Sequence[str], target: str) -> Moments:
+    return moments_of(moment_sums(df, [*features, target]), features, target)
 
 
 def _spread(summary: Summary) -> float:
@@ -195,6 +254,10 @@ def train_model(
     """Fit on the rows of ``df`` and report the in-sample error."""
     if spec.type.lower() == "elastic_net" and _solver(spec) == "moments":
         return train_models([spec], df, features, target)[0]
+    if spec.type.lower() in BOOSTED:
+        _known(spec, BOOSTED_PARAMS)
+        fit, rmse = boost(df, features, target, BoostingSpec(**{"random_state": spec.seed, **spec.params}))
+        return TrainedModel(fit, tuple(features), rmse)
     features = list(features)
     rows = df.select(target, *features)
     pipeline = build_model(spec, rows, features, target).fit(rows)
@@ -210,14 +273,17 @@ def build_model(
     kind = spec.type.lower()
     if kind == "elastic_net":
         return _elastic_net(spec, df, list(features), target)
-    if kind in ("gbt", "lightgbm"):
+    if kind == "gbt":
         return _boosted_trees(spec, list(features), target)
-    raise ValueError(f"No model is called {spec.type!r}; there are elastic_net and gbt")
+    raise ValueError(f"No pipeline is called {spec.type!r}; there are elastic_net, gbt and, for train_model, lightgbm")
 
 
 #: Elastic-net parameters; the solver is ``moments`` (covariances, then coordinate descent) or
 #: ``l-bfgs`` (Spark's, one pass over the data for each iteration, memory linear in the width).
 ELASTIC_NET_PARAMS = ("alpha", "l1_ratio", "max_iter", "tol", "solver")
+#: Names of the histogram trees, and their parameters.
+BOOSTED = ("lightgbm", "lgbm")
+BOOSTED_PARAMS = tuple(f.name for f in fields(BoostingSpec))
 #: Boosting parameters that Spark's trees know, under their usual names.
 BOOSTING_PARAMS = (
     "max_depth", "n_estimators", "learning_rate", "min_child_samples", "subsample", "colsample_bytree", "random_state",
@@ -315,6 +381,8 @@ def feature_weights(spark: SparkSession, model: TrainedModel) -> DataFrame:
     if linear is not None:
         weights, intercept = linear
         rows = [*weights.items(), ("(intercept)", intercept)]
+    elif isinstance(model.pipeline, BoostedFit):
+        rows = list(model.pipeline.importances().items())
     else:
         importances = model.pipeline.stages[-1].featureImportances
         rows = [(n, float(w)) for n, w in zip(model.features, importances)]

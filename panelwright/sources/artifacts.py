@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.operators.features import FeatureModel
+from panelwright.operators.boosting import BoostedFit
 from panelwright.operators.models import LinearFit, predict
 
 #: Name of the row that holds the intercept; no column can be called so in a panel.
@@ -18,22 +19,25 @@ INTERCEPT = "(intercept)"
 @dataclass(frozen=True)
 class Artifacts:
     features: FeatureModel
-    pipeline: PipelineModel | LinearFit
+    pipeline: PipelineModel | LinearFit | BoostedFit
 
     def predict(self, df: DataFrame) -> DataFrame:
         return predict(self.pipeline, df)
 
 
 def save_artifacts(
-    spark: SparkSession, path: str, features: FeatureModel, pipeline: PipelineModel | LinearFit
+    spark: SparkSession, path: str, features: FeatureModel, pipeline: PipelineModel | LinearFit | BoostedFit
 ) -> None:
-    """Feature statistics and the model: a linear fit as a table of weights, others as Spark writes them."""
+    """Feature statistics and the model: a linear fit as a table of weights, boosted trees as one line of
+    JSON, others as Spark writes them."""
     rows: list[tuple[int, str, float, float | None]] = []
     if isinstance(pipeline, LinearFit):
         fitted = zip(pipeline.features, pipeline.weights, pipeline.spreads)
         rows = [(i, *f) for i, f in enumerate(fitted)] + [(-1, INTERCEPT, pipeline.intercept, None)]
-    else:
+    elif not isinstance(pipeline, BoostedFit):
         pipeline.write().overwrite().save(f"{path}/model")
+    trees = [(pipeline.to_json(),)] if isinstance(pipeline, BoostedFit) else []
+    spark.createDataFrame(trees, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/trees")
     weights = spark.createDataFrame(rows, "place long, feature string, weight double, spread double")
     weights.coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
     features.save(spark, f"{path}/features")
@@ -46,6 +50,9 @@ def load_artifacts(spark: SparkSession, path: str) -> Artifacts:
     except AnalysisException as missing:
         raise FileNotFoundError(f"No fitted model under {path}: train first") from missing
     if not rows:
+        trees = spark.read.text(f"{path}/trees", wholetext=True).first()
+        if trees is not None and trees[0].strip():
+            return Artifacts(features, BoostedFit.from_json(trees[0]))
         return Artifacts(features, PipelineModel.load(f"{path}/model"))
     names, weights, spreads = zip(*((r.feature, r.weight, r.spread) for r in rows[1:])) if rows[1:] else ((), (), ())
     return Artifacts(features, LinearFit(names, weights, spreads, rows[0].weight))

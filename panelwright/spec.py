@@ -68,12 +68,16 @@ class FeatureSpec:
     #: "batch" recomputes winsor bounds on every frame, "fitted" reuses those of the training frame.
     bounds: str = "batch"
     rows_per_block: int = ROWS_PER_BLOCK
+    #: "exact" quantiles are interpolated, "approx" ones come from one scan with a bounded rank error.
+    quantiles: str = "exact"
 
     def __post_init__(self) -> None:
         if self.imputation not in ("median", "mean", "most_frequent", "constant"):
             raise ValueError(f"Unsupported imputation strategy: {self.imputation}")
         if self.bounds not in ("batch", "fitted"):
             raise ValueError(f"Unsupported bounds mode: {self.bounds}")
+        if self.quantiles not in ("exact", "approx"):
+            raise ValueError(f"Unsupported quantile method: {self.quantiles}")
 
     @property
     def lookback(self) -> int:
