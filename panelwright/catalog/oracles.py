@@ -280,28 +280,82 @@ folds AS (
   JOIN dates c ON c.k = valid_start_rank JOIN dates d ON d.k = valid_end_rank)"""
 
 
-# -- walk-forward evaluation with the default penalty: the forecast is the mean target ---------------
+# -- walk-forward evaluation ------------------------------------------------------------------------
 
+ALPHAS, L1_RATIOS = (1e-4, 2e-4, 5e-4, 1e-3, 2e-3), (0.2, 0.5, 0.8)
 
-def _fold_report(fold: int) -> str:
-    """Mean forecast of one fold, winsorised on each side by its own bounds."""
-    c = "excess_return"
 
-    def part(name: str, test: str) -> str:
-        return f"""{name} AS (SELECT symbol, date, {clipped(c, 'lo', 'hi')} AS y FROM
-  (SELECT s.* FROM supplier s, folds WHERE fold_id = {fold} AND {test}),
-  (SELECT quantile_cont({c}, 0.01) AS lo, quantile_cont({c}, 0.99) AS hi
-   FROM supplier s, folds WHERE fold_id = {fold} AND {test}))"""
+def grid_descent(x: str, grid: str, sweeps: int = 60) -> str:
+    """CTEs ``{x}_gd``, ``{x}_gw``: like :func:`elastic_net`, all penalties of ``grid`` (a1, a2) at once."""
+    p = len(FEATURES)
+    rho = "c[j] - list_dot_product(g[j], w) + g[j][j] * w[j]"
+    return f"""{x}_gd AS (
+  SELECT 0 AS k, alpha, l1_ratio, a1, a2, list_transform(c, lambda e: 0.0::DOUBLE) AS w FROM {x}_m, {grid}
+  UNION ALL
+  SELECT k + 1, alpha, l1_ratio, a1, a2, list_concat(list_concat(w[1:j - 1],
+    [sign(rho) * greatest(abs(rho) - a1, 0) / (g[j][j] + a2)]), w[j + 1:])
+  FROM (SELECT k, alpha, l1_ratio, a1, a2, w, g, j, {rho} AS rho FROM (SELECT *, k % {p} + 1 AS j FROM {x}_gd, {x}_m)
+    WHERE k < {p * sweeps})),
+{x}_gw AS MATERIALIZED (SELECT alpha, l1_ratio, w AS scaled, list_transform(list_zip(w, s), lambda e: e[1] / e[2]) AS w,
+  g, c, mu, my, vy FROM {x}_gd, {x}_m WHERE k = {p * sweeps})"""
+
+
+def _fold(f: int) -> str:
+    """CTEs of one fold: ``x{f}`` and ``z{f}``, the designs of training and validation, and its weights."""
+    sides = (("t", "s.date <= train_end"), ("v", "s.date BETWEEN valid_start AND valid_end"))
+    parts = [
+        f"{name}{f} AS (SELECT s.* FROM supplier s, folds WHERE fold_id = {f} AND {test}), "
+        f"{winsorized(f'{name}{f}', WINSOR)}, {history(f'{name}{f}')}"
+        for name, test in sides
+    ]
+    moments = elastic_net(f"x{f}").split(f"x{f}_cd AS (")[0].rstrip().rstrip(",")
+    return (
+        f"{', '.join(parts)}, {statistics(f't{f}_h', FEATURES)}, {design(f't{f}_h', f't{f}_h', f'x{f}')}, "
+        f"{design(f'v{f}_h', f't{f}_h', f'z{f}')}, {moments}, {grid_descent(f'x{f}', 'grid')}"
+    )
+
 
-    train = part(f"t{fold}", "s.date <= train_end")
-    valid = part(f"v{fold}", "s.date BETWEEN valid_start AND valid_end")
-    return f"""{train}, {valid}, f{fold} AS (
-  SELECT CAST({fold} AS BIGINT) AS fold_id, {r('max(spread)', 5, 'train_rmse')},
-    {r('sqrt(avg((y - forecast) * (y - forecast)))', 5, 'valid_rmse')},
-    {r(sharpe(0.03), 5, 'competition_sharpe')}, {r('sum(pnl)', 5, 'total_return')},
-    {r(HIT, 5, 'hit_rate')}
-  FROM (SELECT v.y, m.forecast, m.spread, least(greatest(m.forecast, 0.0), 2.0) * v.y AS pnl
-    FROM v{fold} v, (SELECT avg(y) AS forecast, stddev_pop(y) AS spread FROM t{fold}) m))"""
+def _fold_flows(f: int) -> str:
+    """Forecast and pnl of the validation rows of one fold under each penalty, and the training error."""
+    row = "[" + ", ".join(FEATURES) + "]"
+    inner = ", ".join(f"list_dot_product(g[{i}], scaled) * scaled[{i}]" for i in range(1, len(FEATURES) + 1))
+    return f"""SELECT CAST({f} AS BIGINT) AS fold_id, alpha, l1_ratio, y, forecast, spread,
+  least(greatest(forecast, 0.0), 2.0) * y AS pnl FROM (
+  SELECT alpha, l1_ratio, y, my - list_dot_product(w, mu) + list_dot_product(w, {row}) AS forecast,
+    sqrt(vy - 2 * list_dot_product(scaled, c) + list_sum([{inner}])) AS spread FROM z{f}, x{f}_gw)"""
+
+
+def walk_forward_flows(alphas, l1_ratios) -> str:
+    """CTE ``flows`` of all folds and penalties."""
+    grid = ", ".join(f"({a!r}::DOUBLE, {q!r}::DOUBLE, {a * q!r}::DOUBLE, {a * (1 - q)!r}::DOUBLE)" for a in alphas for q in l1_ratios)
+    return (
+        f"{SUPPLIER}, {folds('supplier', 5, 100, 5)}, grid(alpha, l1_ratio, a1, a2) AS (VALUES {grid}), "
+        f"{', '.join(map(_fold, range(5)))}, flows AS ({' UNION ALL '.join(map(_fold_flows, range(5)))})"
+    )
+
+
+def stump_rounds(rounds: int, rate: float, alpha: float, l2: float, least: int) -> str:
+    """CTEs p0, p1, ...: cells of (day, month) with the forecast after each tree of two leaves."""
+    shrink = lambda g: f"(sign({g}) * greatest(abs({g}) - {alpha!r}::DOUBLE, 0))"
+    score = lambda g, n: f"({shrink(g)} * {shrink(g)} / ({n} + {l2!r}::DOUBLE))"
+    out = ["p0 AS (SELECT c.*, (SELECT sum(s) / sum(n) FROM c) AS p FROM c)"]
+    for i in range(rounds):
+        sides = " UNION ALL ".join(
+            f"SELECT {f} AS f, e.cut, sum(n * p - s) FILTER ({c} <= cut) AS gl, sum(n) FILTER ({c} <= cut) AS nl, "
+            f"sum(n * p - s) FILTER ({c} > cut) AS gr, sum(n) FILTER ({c} > cut) AS nr "
+            f"FROM p{i}, (SELECT DISTINCT {c} AS cut FROM c) e GROUP BY e.cut"
+            for f, c in enumerate(("day", "month"))
+        )
+        leaf = lambda g, n: f"-{rate!r}::DOUBLE * {shrink(g)} / ({n} + {l2!r}::DOUBLE)"
+        out.append(
+            f"b{i} AS (SELECT * FROM ({sides}) WHERE nl >= {least} AND nr >= {least} "
+            f"ORDER BY {score('gl', 'nl')} + {score('gr', 'nr')} DESC, f, cut LIMIT 1)"
+        )
+        out.append(
+            f"p{i + 1} AS (SELECT day, month, n, s, p + CASE WHEN CASE f WHEN 0 THEN day ELSE month END <= cut "
+            f"THEN {leaf('gl', 'nl')} ELSE {leaf('gr', 'nr')} END AS p FROM p{i}, b{i})"
+        )
+    return ", ".join(out)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -685,7 +739,22 @@ best AS (SELECT * FROM t WHERE n2 > 0 ORDER BY s1 * s1 / n1 + s2 * s2 / n2 DESC
 SELECT day_of_week, {r('CASE WHEN day_of_week <= upto THEN s1 / n1 ELSE s2 / n2 END', 10, 'prediction')}
 FROM d, best"""
     sql["walk_forward_job"] = (
-        f"WITH {SUPPLIER}, {folds('supplier', 2, 300, 5)}, {_fold_report(0)}, {_fold_report(1)} "
-        "SELECT * FROM f0 UNION ALL SELECT * FROM f1"
-    )
+        f"WITH RECURSIVE {walk_forward_flows((LIGHT_ALPHA,), (LIGHT_L1,))} SELECT fold_id, "
+        f"{r('max(spread)', 5, 'train_rmse')}, {r('sqrt(avg((y - forecast) * (y - forecast)))', 5, 'valid_rmse')}, "
+        f"{r(sharpe(0.03), 5, 'competition_sharpe')}, {r('sum(pnl)', 5, 'total_return')}, {r(HIT, 5, 'hit_rate')} "
+        "FROM flows GROUP BY fold_id"
+    )
+    sql["parameter_search"] = (
+        f"WITH RECURSIVE {walk_forward_flows(ALPHAS, L1_RATIOS)}, f AS (SELECT alpha, l1_ratio, "
+        f"{sharpe(0.03)} AS sharpe, sqrt(avg((y - forecast) * (y - forecast))) AS rmse FROM flows GROUP BY fold_id, alpha, l1_ratio) "
+        "SELECT format('{:.5f}', alpha) AS alpha, format('{:.1f}', l1_ratio) AS l1_ratio, "
+        f"{r('avg(sharpe)', 5, 'mean_sharpe')}, {r('avg(rmse)', 5, 'mean_rmse')}, count(*) AS n_folds FROM f GROUP BY alpha, l1_ratio"
+    )
+    sql["winsorize_bounds_approx"] = f"WITH {SUPPLIER} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count({c}) AS n_values, true AS within_error, true AS error_small FROM supplier" for c in WINSOR
+    )
+    sql["boosted_stumps"] = f"""WITH {SUPPLIER},
+c AS (SELECT CAST(isodow(date) - 1 AS DOUBLE) AS day, CAST(month(date) AS DOUBLE) AS month, count(*) AS n,
+  sum(excess_return) AS s FROM supplier GROUP BY 1, 2),
+{stump_rounds(3, 0.5, 0.05, 2.0, 20)} SELECT day, month, {r('p', 8, 'prediction')} FROM p3"""
     return sql

@@ -25,6 +25,7 @@ from panelwright.catalog.panels import (
     table,
 )
 from panelwright.functions.scalars import position
+from panelwright.functions.sketches import column_sketches
 from panelwright.operators import evaluation as ev
 from panelwright.operators import features as ft
 from panelwright.operators import indicators as ind
@@ -37,7 +38,7 @@ from panelwright.session import materialize, shared_folder
 from panelwright.sources.artifacts import load_artifacts
 from panelwright.sources.readers import explode_payloads, load_panel
 from panelwright.sources.writers import read_written, write_metrics, write_panel
-from panelwright.spec import FeatureSpec, ModelSpec, ServingSpec, SplitSpec, StrategySpec, as_panel
+from panelwright.spec import ModelSpec, ServingSpec, SplitSpec, StrategySpec, as_panel
 from panelwright.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -620,30 +621,54 @@ def streaming_scores(spark, sf):
     return rounded(scoring.read_scores(spark, f"{base}/scores").select("date", "symbol", "prediction"), 5)
 
 
-SMALL_FEATURES = FeatureSpec(lags=(1,), rolling_windows=(5,))
-CV_SPLIT = SplitSpec(n_splits=2, test_size=300, gap=5)
-
-
 def walk_forward_job(spark, sf):
-    """Default penalty: every fold forecasts the mean of its training target."""
-    report = jobs.walk_forward(
-        supplier_daily(spark, sf).drop("forecast"), SUPPLIER, CV_SPLIT, SMALL_FEATURES
-    )
+    """Five folds with all lags and windows, and a penalty that leaves weights."""
+    report = jobs.walk_forward(supplier_daily(spark, sf).drop("forecast"), SUPPLIER, SPLIT, models=[LIGHT])
     return rounded(report.select("fold_id", "train_rmse", "valid_rmse", "competition_sharpe", "total_return", "hit_rate"), 5)
 
 
+#: Grid of the search: the light penalty and its neighbours.
+ALPHAS, L1_RATIOS = (1e-4, 2e-4, 5e-4, 1e-3, 2e-3), (0.2, 0.5, 0.8)
+
+
 def parameter_search(spark, sf):
-    return rounded(
-        jobs.search(
-            supplier_daily(spark, sf).drop("forecast"),
-            SUPPLIER,
-            SplitSpec(n_splits=1, test_size=300, gap=5),
-            [1e-4, 1e-2],
-            [0.5],
-            SMALL_FEATURES,
-        ),
-        5,
-    )
+    """Five folds, fifteen penalties."""
+    found = jobs.search(supplier_daily(spark, sf).drop("forecast"), SUPPLIER, SPLIT, ALPHAS, L1_RATIOS)
+    kept = found.select(F.format_number("alpha", 5).alias("alpha"), F.format_number("l1_ratio", 1).alias("l1_ratio"), "mean_sharpe", "mean_rmse", "n_folds")
+    return rounded(kept, 5)
+
+
+def winsorize_bounds_approx(spark, sf):
+    """Whether the ranks of sketched quantiles are within the error that their sketch states, and how small
+    that is."""
+    panel, shares, rows = _supplier_table(spark, sf), (0.01, 0.25, 0.5, 0.99), []
+    columns = [*BASE, SUPPLIER.target]
+    sketches = column_sketches(panel, columns, 512)
+    answers = {c: sketches[c].quantiles(shares) for c in columns}
+    ranks = panel.agg(*[f(F.col(c), a).alias(f"{c}{i}{k}") for c in columns for i, a in enumerate(answers[c]) for k, f in enumerate(
+        (lambda x, a: F.count_if(x < a), lambda x, a: F.count_if(x <= a))
+    )]).first()
+    for c in columns:
+        wanted = [s * (sketches[c].rows - 1) for s in shares]
+        near = [max(0, ranks[f"{c}{i}0"] - w, w - ranks[f"{c}{i}1"] + 1) <= sketches[c].error + 1 for i, w in enumerate(wanted)]
+        rows.append((c, sketches[c].rows, all(near), sketches[c].error <= 0.02 * sketches[c].rows))
+    return spark.createDataFrame(rows, "feature string, n_values long, within_error boolean, error_small boolean")
+
+
+def boosted_trees(spark, sf):
+    """The library's default ensemble of histogram trees on all features, cut to ten trees."""
+    matrix, names = _training(spark, sf)
+    trained = md.train_model(ModelSpec("lightgbm", {"n_estimators": 10}), matrix, names, SUPPLIER.target)
+    return trained.predict(matrix.select("symbol", "date", *names)).select("symbol", "date", "prediction")
+
+
+def boosted_stumps(spark, sf):
+    """Three trees of two leaves with L1 and L2 terms on the calendar, where a plain search is short."""
+    day, month = (F.weekday("date") * F.lit(1.0)).alias("day"), (F.month("date") * F.lit(1.0)).alias("month")
+    rows = materialize(_supplier(spark, sf).select(day, month, SUPPLIER.target), "calendar")
+    spec = ModelSpec("lightgbm", {"n_estimators": 3, "num_leaves": 2, "learning_rate": 0.5, "reg_alpha": 0.05, "reg_lambda": 2.0})
+    trained = md.train_model(spec, rows, ["day", "month"], SUPPLIER.target)
+    return rounded(trained.predict(rows.select("day", "month").distinct()), 8)
 
 
 def all_queries() -> dict[str, Query]:
@@ -723,6 +748,9 @@ def all_queries() -> dict[str, Query]:
         streaming_scores,
         walk_forward_job,
         parameter_search,
+        winsorize_bounds_approx,
+        boosted_trees,
+        boosted_stumps,
     )
     found = {q.__name__: q for q in plain}
     for key, strategy in (

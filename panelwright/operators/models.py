@@ -205,24 +205,55 @@ def coordinate_descent(
     Minimises ``|y - Xw|^2 / 2n + alpha l1 |w|_1 + alpha (1 - l1) / 2 |w|^2`` for columns divided by
     their population deviation without centring, with a free intercept.
     """
+    return elastic_net_path(m, [alpha], l1_ratio, sweeps, tol)[0]
+
+
+def elastic_net_path(
+    m: Moments, alphas: Sequence[float], l1_ratio: float, sweeps: int = MAX_ITERATIONS, tol: float = 1e-12
+) -> list[tuple[LinearFit, float]]:
+    """The elastic nets of several penalties, in the order given.
+
+    They are solved from the greatest penalty down, each from the weights of the one before. Between full
+    sweeps only the features with a weight (the active set) are swept; a full sweep that moves no weight
+    ends the search.
+    """
     p = len(m.features)
-    g, c, spread = m.covariances[:p, :p], m.covariances[:p, p], m.covariances[p, p]
-    a1, a2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
+    g, c = m.covariances[:p, :p], m.covariances[:p, p]
     w, slope = np.zeros(p), c.copy()  # slope = c - g w
-    for _ in range(sweeps):
+
+    def sweep(places: Sequence[int], a1: float, a2: float) -> float:
         moved = 0.0
-        for j in range(p):
+        for j in places:
             if g[j, j] == 0.0:
                 continue
             rho = slope[j] + g[j, j] * w[j]
-            new = math.copysign(max(abs(rho) - a1, 0.0), rho) / (g[j, j] + a2)
-            step = new - w[j]
+            step = math.copysign(max(abs(rho) - a1, 0.0), rho) / (g[j, j] + a2) - w[j]
             if step:
-                slope -= g[:, j] * step
-                w[j] = new
+                slope[:] -= g[:, j] * step
+                w[j] += step
                 moved = max(moved, abs(step))
-        if moved <= tol * max(1.0, float(np.abs(w).max(initial=0.0))):
-            break
+        return moved
+
+    found: dict[float, tuple[LinearFit, float]] = {}
+    for alpha in sorted(set(alphas), reverse=True):
+        a1, a2, left = alpha * l1_ratio, alpha * (1.0 - l1_ratio), sweeps
+        still = lambda moved: moved <= tol * max(1.0, float(np.abs(w).max(initial=0.0)))
+        while left > 0:
+            left -= 1
+            if still(sweep(range(p), a1, a2)):
+                break
+            active = np.flatnonzero(w).tolist()
+            while left > 0:
+                left -= 1
+                if still(sweep(active, a1, a2)):
+                    break
+        found[alpha] = _linear_fit(m, w)
+    return [found[a] for a in alphas]
+
+
+def _linear_fit(m: Moments, w: np.ndarray) -> tuple[LinearFit, float]:
+    p = len(m.features)
+    g, c, spread = m.covariances[:p, :p], m.covariances[:p, p], m.covariances[p, p]
     raw = w / m.spreads[:p]
     fit = LinearFit(m.features, tuple(map(float, raw)), tuple(map(float, m.spreads[:p])), float(m.means[p] - raw @ m.means[:p]))
     return fit, math.sqrt(max(0.0, float(spread - 2 * w @ c + w @ g @ w)))
@@ -231,20 +262,23 @@ def coordinate_descent(
 def train_models(
     specs: Sequence[ModelSpec], df: DataFrame, features: Sequence[str], target: str
 ) -> list[TrainedModel]:
-    """Fit several models on the same rows; all elastic nets share the passes over the data."""
-    shared: Moments | None = None
-    found = []
-    for spec in specs:
+    """Fit several models on the same rows; all elastic nets share the scan of the data, and those that
+    differ in the penalty alone are one regularisation path."""
+    paths: dict[tuple, list[int]] = {}
+    found: list[TrainedModel | None] = [None] * len(specs)
+    for i, spec in enumerate(specs):
         if spec.type.lower() == "elastic_net" and _solver(spec) == "moments":
-            shared = shared or moments(df, features, target)
             p = spec.params
-            fit, rmse = coordinate_descent(
-                shared, float(p.get("alpha", 0.5)), float(p.get("l1_ratio", 0.5)),
-                int(p.get("max_iter", MAX_ITERATIONS)), float(p.get("tol", 1e-12)),
-            )
-            found.append(TrainedModel(fit, tuple(features), rmse))
+            key = (float(p.get("l1_ratio", 0.5)), int(p.get("max_iter", MAX_ITERATIONS)), float(p.get("tol", 1e-12)))
+            paths.setdefault(key, []).append(i)
         else:
-            found.append(train_model(spec, df, features, target))
+            found[i] = train_model(spec, df, features, target)
+    if paths:
+        shared = moments(df, features, target)
+        for (l1_ratio, sweeps, tol), places in paths.items():
+            alphas = [float(specs[i].params.get("alpha", 0.5)) for i in places]
+            for i, (fit, rmse) in zip(places, elastic_net_path(shared, alphas, l1_ratio, sweeps, tol)):
+                found[i] = TrainedModel(fit, tuple(features), rmse)
     return found
 
 
