@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalars import as_column, drawdown, sharpe
-from panelwright.operators.segments import HALO, PART, instant_micros, segment
+from panelwright.operators.segments import HALO, LOOKUP_BROADCAST_ROWS, PART, instant_micros, segment
 from panelwright.session import materialize
 from panelwright.spec import ROWS_PER_BLOCK, PanelSpec, StrategySpec
 
@@ -26,19 +27,21 @@ def equity_curve(
     value: str,
     *,
     by: str | None = None,
+    runs: Sequence[str] = (),
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``equity`` (running sum of ``value``), ``peak`` (its running maximum) and ``drawdown``.
 
     ``by=None`` runs over all rows in (date, key) order, ``by=spec.key`` over each key. Either way the
     scan is blocked: running sums inside bounded blocks, then one row per block gives what each block
-    starts from. No task ever sees more than a block. From the first NULL on, equity is NULL.
+    starts from. No task ever sees more than a block. From the first NULL on, equity is NULL. ``runs``
+    names columns that tell several pooled curves of one table apart.
     """
     if by not in (None, spec.key):
         raise ValueError(f"by must be None or {spec.key!r}")
     if by is None:
         blocked = _pooled_blocks(df, spec, rows_per_block)
-        return _scan(blocked, [], [spec.date, spec.key, *spec.tiebreak], value, df.columns)
+        return _scan(blocked, [*runs], [spec.date, spec.key, *spec.tiebreak], value, df.columns)
     segmented, cut = segment(df, spec, 0, rows_per_block)
     if cut:
         segmented = segmented.where(~F.col(HALO)).drop(HALO)
@@ -100,7 +103,8 @@ def _scan(
         "_gaps_before",
         F.max(F.col("_offset") + F.col("_block_peak")).over(before).alias("_peak_before"),
     )
-    joined = local.join(starts if keys else F.broadcast(starts), [*keys, PART], "left")
+    starts = materialize(starts, "block-starts")
+    joined = local.join(F.broadcast(starts) if starts.count() <= LOOKUP_BROADCAST_ROWS else starts, [*keys, PART], "left")
     unbroken = F.col(_LOCAL_GAPS) + F.col("_gaps_before") == 0
     equity = F.when(keyed & unbroken, F.col("_offset") + F.col(_LOCAL))
     peak = F.greatest(F.col("_peak_before"), F.col("_offset") + F.col(_LOCAL_PEAK))
@@ -149,19 +153,23 @@ def strategy_report(
     strategy: StrategySpec = StrategySpec(),
     *,
     by: str | None = None,
+    runs: Sequence[str] = (),
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Sharpe (penalised by the volatility cap), total return, worst drawdown and hit rate."""
-    needed = [spec.date, spec.key, *spec.tiebreak]
+    """Sharpe (penalised by the volatility cap), total return, worst drawdown and hit rate; with ``runs``
+    a row for each of several pooled curves of one table."""
+    needed = [*runs, spec.date, spec.key, *spec.tiebreak]
     flows = df.select(*needed, pnl(position, target).alias("pnl"))
-    curve = equity_curve(flows, spec, "pnl", by=by, rows_per_block=rows_per_block)
+    curve = equity_curve(flows, spec, "pnl", by=by, runs=runs, rows_per_block=rows_per_block)
     metrics = return_metrics("pnl", strategy.volatility_cap)
     metrics["max_drawdown"] = F.min("drawdown")
     order = ["competition_sharpe", "total_return", "max_drawdown", "hit_rate"]
     aggregates = [metrics[m].alias(m) for m in order]
-    return curve.groupBy(by).agg(*aggregates) if by else curve.agg(*aggregates)
+    keys = [by] if by else [*runs]
+    return curve.groupBy(*keys).agg(*aggregates) if keys else curve.agg(*aggregates)
 
 
-def rmse(df: DataFrame, target: str, prediction: str) -> DataFrame:
+def rmse(df: DataFrame, target: str, prediction: str, runs: Sequence[str] = ()) -> DataFrame:
     error = F.col(target) - F.col(prediction)
-    return df.agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    root = F.sqrt(F.avg(error * error)).alias("rmse")
+    return df.groupBy(*runs).agg(root) if runs else df.agg(root)

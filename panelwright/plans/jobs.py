@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,10 @@ from panelwright.spec import (
 )
 
 
+#: Folds whose jobs are submitted at the same time.
+FOLDS_AT_ONCE = 4
+
+
 def train(
     df: DataFrame,
     panel: PanelSpec,
@@ -139,43 +144,41 @@ def walk_forward(
     """One row per fold and model: validation error and strategy metrics.
 
     The driver loops over folds and models only, like any cross-validator; features are built once per
-    fold and shared by its models, so a parameter search costs solver passes, not window shuffles.
+    fold and shared by its models, and all models of a fold score its rows in one pass, so a parameter
+    search costs solver passes, not window shuffles. All curves are one scan, told apart by fold and model.
     """
     panel = dataclasses.replace(panel, features=tuple(panel.feature_columns(df)))
     clean = materialize(as_panel(df, panel), "panel")
     if panel.grain == "day":
         assert_daily(clean, panel)
-    reports = []
-    for fold in walk_forward_folds(clean, panel, split):
+    runs, kept = ["fold_id", "model_id"], [*panel.order, panel.key, panel.target]
+
+    def one(fold: Fold) -> tuple[list[tuple], DataFrame]:
+        """Facts about the fold's models, and its validation rows scored and sized by each."""
         matrix, valid, names = _fold_matrices(clean, panel, fold, features)
+        guesses, facts = [], []
         for i, (spec, trained) in enumerate(zip(models, train_models(models, matrix, names, panel.target))):
-            scored = materialize(
-                trained.predict(valid).select(
-                    *panel.order,
-                    panel.key,
-                    panel.target,
-                    PREDICTION,
-                    position(PREDICTION, strategy).alias("position"),
-                ),
-                "scored",
-            )
-            report = strategy_report(scored, panel, "position", panel.target, strategy)
-            reports.append(
-                report.crossJoin(rmse(scored, panel.target, PREDICTION)).select(
-                    F.lit(fold.fold_id).cast("long").alias("fold_id"),
-                    F.lit(i).cast("long").alias("model_id"),
-                    F.lit(spec.type).alias("model"),
-                    F.lit(spec.params.get("alpha")).cast("double").alias("alpha"),
-                    F.lit(spec.params.get("l1_ratio")).cast("double").alias("l1_ratio"),
-                    F.lit(trained.rmse).cast("double").alias("train_rmse"),
-                    F.col("rmse").alias("valid_rmse"),
-                    *report.columns,
-                )
-            )
-    table = reports[0]
-    for report in reports[1:]:
-        table = table.unionByName(report)
-    return table
+            valid = trained.predict(valid).withColumnRenamed(PREDICTION, f"{PREDICTION}_{i}")
+            guesses.append(F.struct(F.lit(i).cast("long").alias("model_id"), F.col(f"{PREDICTION}_{i}").alias(PREDICTION)))
+            numbers = [spec.params.get(k) for k in ("alpha", "l1_ratio")]
+            facts.append((fold.fold_id, i, spec.type, *(None if x is None else float(x) for x in numbers), trained.rmse))
+        each = valid.select(F.lit(fold.fold_id).cast("long").alias("fold_id"), *kept, F.inline(F.array(*guesses)))
+        return facts, materialize(each.select("*", position(PREDICTION, strategy).alias("position")), "scored")
+
+    # The jobs of several folds run side by side; each waits for its own only.
+    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
+        done = list(pool.map(one, walk_forward_folds(clean, panel, split)))
+    scored, fitted = done[0][1], [f for facts, _ in done for f in facts]
+    for _, part in done[1:]:
+        scored = scored.unionByName(part)
+    report = strategy_report(scored, panel, "position", panel.target, strategy, runs=runs)
+    errors = rmse(scored, panel.target, PREDICTION, runs).withColumnRenamed("rmse", "valid_rmse")
+    # A row for each fold and model.
+    known = df.sparkSession.createDataFrame(
+        fitted, "fold_id long, model_id long, model string, alpha double, l1_ratio double, train_rmse double"
+    )
+    whole = report.join(errors, runs).join(F.broadcast(known), runs)
+    return whole.select(*known.columns, "valid_rmse", *[c for c in report.columns if c not in runs])
 
 
 def _fold_matrices(clean: DataFrame, panel: PanelSpec, fold: Fold, features: FeatureSpec):

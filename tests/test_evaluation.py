@@ -208,3 +208,20 @@ def test_quality_reports(rows):
     assert dq.type_mismatches(df, df.schema) == []
     gaps = dq.date_gaps(df.where("x IS NOT NULL"), PANEL).collect()
     assert [g["gap_days"] for g in gaps] == [2]
+
+
+def test_several_pooled_curves_in_one_table(rows):
+    from panelwright.operators.evaluation import rmse, strategy_report
+
+    data = [(f, m, f"2020-01-{d:02d}", s, float((f * d - 3 * m) % 5 - 1.5), 0.1 * d) for f in (0, 1) for m in (0, 1) for d in range(1, 9) for s in "ab"]
+    df = rows("fold long, model long, date string, symbol string, position double, target double", data)
+    df = df.withColumn("date", F.col("date").cast("timestamp_ntz"))
+    spec = PanelSpec(target="target")
+    got = {(r.fold, r.model): r for r in strategy_report(df, spec, "position", "target", runs=["fold", "model"]).collect()}
+    assert len(got) == 4
+    for (f, m), r in got.items():
+        one = df.where(f"fold = {f} and model = {m}")
+        want = strategy_report(one, spec, "position", "target").first()
+        assert all(r[c] == pytest.approx(want[c]) for c in want.asDict())
+    errors = {(r.fold, r.model): r.rmse for r in rmse(df, "target", "position", ["fold", "model"]).collect()}
+    assert errors[1, 0] == pytest.approx(rmse(df.where("fold = 1 and model = 0"), "target", "position").first()[0])

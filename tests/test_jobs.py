@@ -274,3 +274,18 @@ def test_streaming_scores_equal_batch_scores(spark, trained, tmp_path):
     joined = got.join(whole.withColumnRenamed("prediction", "want"), ["date", "symbol"])
     assert joined.where(F.abs(F.col("prediction") - F.col("want")) > 1e-9).count() == 0
     assert joined.count() == holdout.count()
+
+
+def test_path_equals_single_fits(spark):
+    """Warm starts and active sets change nothing in the solution."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 12)) @ rng.normal(size=(12, 12))
+    y = x[:, 0] - 0.5 * x[:, 3] + 0.2 * rng.normal(size=200)
+    names = [f"f{i}" for i in range(12)]
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], [*names, "y"])
+    m = md.moments(df, names, "y")
+    alphas = [1e-3, 0.3, 1e-2, 0.1, 0.3]
+    for alpha, (fit, rmse) in zip(alphas, md.elastic_net_path(m, alphas, 0.7), strict=True):
+        assert np.allclose(np.array(fit.weights) * x.std(axis=0), coordinate_descent(x, y, alpha, 0.7, 20_000), atol=1e-6)
+        assert rmse == pytest.approx(np.sqrt(((y - fit.intercept - x @ fit.weights) ** 2).mean()))
+    assert md.elastic_net_path(m, [0.3], 0.7)[0][0].weights == pytest.approx(md.coordinate_descent(m, 0.3, 0.7)[0].weights)
