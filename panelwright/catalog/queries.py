@@ -38,7 +38,7 @@ from panelwright.session import materialize, shared_folder
 from panelwright.sources.artifacts import load_artifacts
 from panelwright.sources.readers import explode_payloads, load_panel
 from panelwright.sources.writers import read_written, write_metrics, write_panel
-from panelwright.spec import ModelSpec, ServingSpec, SplitSpec, StrategySpec, as_panel
+from panelwright.spec import FeatureSpec, ModelSpec, PanelSpec, ServingSpec, SplitSpec, StrategySpec, as_panel
 from panelwright.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +149,13 @@ def feature_matrix(spark, sf):
     return rounded(matrix)
 
 
+def feature_matrix_from_schema(spark, sf):
+    """No feature is named: all numeric columns without a role are features, in the order of the schema."""
+    panel = supplier_daily(spark, sf).drop("forecast")
+    matrix, _ = ft.FeatureEstimator(PanelSpec(target=SUPPLIER.target)).fit_transform(panel)
+    return rounded(matrix)
+
+
 def feature_statistics(spark, sf):
     model = ft.FeatureEstimator(SUPPLIER).fit(_supplier_table(spark, sf))
     return rounded(model.statistics_table(spark).select("*", F.col("ord").cast("long").alias("position")).drop("ord"))
@@ -402,6 +409,21 @@ def dq_nulls(spark, sf):
     return dq.null_counts(_supplier(spark, sf), [*BASE, SUPPLIER.target])
 
 
+def dq_observed(spark, sf):
+    """The counts of a quality report that come with the write of a panel, without a scan of their own."""
+    columns = [*BASE, SUPPLIER.target]
+    watched, seen = dq.observed(_supplier(spark, sf), SUPPLIER, columns)
+    write_panel(watched, _scratch(spark, "watched"), SUPPLIER)
+    return dq.observed_report(spark, seen, columns)
+
+
+def dq_types(spark, sf):
+    """Columns whose type is not the expected one, and columns that are not there."""
+    expected = T.StructType.fromDDL("date timestamp_ntz, symbol string, close double, volume int, open double")
+    found = dq.type_mismatches(priority_daily(spark, sf), expected)
+    return spark.createDataFrame(found, "column_name string, expected string, actual string")
+
+
 def dq_outliers(spark, sf):
     return dq.outlier_counts(_supplier_table(spark, sf), BASE)
 
@@ -674,6 +696,7 @@ def boosted_stumps(spark, sf):
 def all_queries() -> dict[str, Query]:
     plain: Sequence[Query] = (
         feature_matrix,
+        feature_matrix_from_schema,
         panel_project,
         winsorize_bounds,
         winsorize_panel,
@@ -724,6 +747,8 @@ def all_queries() -> dict[str, Query]:
         dq_duplicates,
         dq_gaps,
         dq_nulls,
+        dq_observed,
+        dq_types,
         dq_outliers,
         profile,
         autocorr,

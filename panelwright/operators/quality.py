@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +66,30 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*pairs)))
 
 
+def observed(df: DataFrame, spec: PanelSpec, columns: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """``df`` with an observation of its rows, dates, NULLs and non-finite values; whatever action runs on
+    it next, a write say, fills the observation without another scan."""
+    seen = Observation(f"quality-{uuid.uuid4().hex}")
+    counts = [F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in columns]
+    for c in columns:
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            odd = F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+        else:
+            odd = F.lit(False)
+        counts.append(F.count_if(odd).alias(f"odd {c}"))
+    dates = [f(F.col(spec.date)).cast("string").alias(n) for f, n in ((F.min, "first"), (F.max, "last"))]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *dates, *counts), seen
+
+
+def observed_report(spark: SparkSession, seen: Observation, columns: Sequence[str]) -> DataFrame:
+    """The observation as one row per column; waits for the action that fills it."""
+    found = seen.get
+    rows = [(c, found["rows"], found[f"null {c}"], found[f"odd {c}"], found["first"], found["last"]) for c in columns]
+    return spark.createDataFrame(
+        rows, "feature string, n_rows long, n_null long, n_not_finite long, first_date string, last_date string"
+    )
+
+
 def outlier_counts(
     df: DataFrame, columns: Sequence[str], lower: float = 0.01, upper: float = 0.99
 ) -> DataFrame:

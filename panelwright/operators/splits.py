@@ -51,9 +51,11 @@ def fold_ranks(n_dates: int, split: SplitSpec) -> list[tuple[int, int, int, int]
 
 
 def date_ranks(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Distinct dates of a daily panel with their 1-based rank; at most 36,525 rows a century."""
+    """Distinct calendar days of a daily panel with their 1-based rank; at most 36,525 rows a century,
+    whatever times of day the rows have."""
+    day = F.to_date(spec.date).cast(df.schema[spec.date].dataType).alias(spec.date)
     return (
-        df.select(spec.date)
+        df.select(day)
         .where(F.col(spec.date).isNotNull())
         .distinct()
         .select(spec.date, F.row_number().over(W.orderBy(spec.date)).cast("long").alias("rank"))
@@ -103,19 +105,23 @@ def date_literal(df: DataFrame, spec: PanelSpec, text: str) -> Column:
     return F.lit(text).cast(df.schema[spec.date].dataType)
 
 
+def _upto(df: DataFrame, spec: PanelSpec, text: str) -> Column:
+    """Not after a fold's last date: the whole day in a daily panel, that instant in any other."""
+    kind = df.schema[spec.date].dataType
+    if spec.grain == "day" and not isinstance(kind, T.DateType):
+        return F.col(spec.date) < (date_literal(df, spec, text) + F.make_dt_interval(days=F.lit(1))).cast(kind)
+    return F.col(spec.date) <= date_literal(df, spec, text)
+
+
 def fold_filter(df: DataFrame, spec: PanelSpec, fold: Fold, role: str) -> DataFrame:
     """Rows of one side of one fold: a range filter that prunes files and row groups."""
     date = F.col(spec.date)
     if role == "train":
-        kept = date <= date_literal(df, spec, fold.train_end)
+        kept = _upto(df, spec, fold.train_end)
         if fold.train_start_rank > 1:
             kept = kept & (date >= date_literal(df, spec, fold.train_start))
         return df.where(kept)
-    return df.where(
-        date.between(
-            date_literal(df, spec, fold.valid_start), date_literal(df, spec, fold.valid_end)
-        )
-    )
+    return df.where((date >= date_literal(df, spec, fold.valid_start)) & _upto(df, spec, fold.valid_end))
 
 
 def assign_folds(df: DataFrame, spec: PanelSpec, folds: list[Fold]) -> DataFrame:
@@ -129,12 +135,10 @@ def assign_folds(df: DataFrame, spec: PanelSpec, folds: list[Fold]) -> DataFrame
 
     parts = []
     for fold in folds:
-        train = date <= date_literal(df, spec, fold.train_end)
+        train = _upto(df, spec, fold.train_end)
         if fold.train_start_rank > 1:
             train = train & (date >= date_literal(df, spec, fold.train_start))
-        valid = date.between(
-            date_literal(df, spec, fold.valid_start), date_literal(df, spec, fold.valid_end)
-        )
+        valid = (date >= date_literal(df, spec, fold.valid_start)) & _upto(df, spec, fold.valid_end)
         parts += [part(fold, "train", train), part(fold, "valid", valid)]
     kept = F.filter(F.array(*parts), lambda p: p.isNotNull())
     return df.select("*", F.inline(kept))

@@ -13,7 +13,7 @@ from panelwright.functions.scalars import position
 from panelwright.operators.evaluation import rmse, strategy_report
 from panelwright.operators.features import FeatureEstimator
 from panelwright.operators.models import PREDICTION, TrainedModel, train_model, train_models
-from panelwright.operators.quality import assert_daily
+from panelwright.operators.quality import assert_daily, observed, observed_report
 from panelwright.operators.splits import Fold, fold_filter, trailing_window, walk_forward_folds
 from panelwright.session import materialize
 from panelwright.sources.artifacts import Artifacts, load_artifacts, save_artifacts
@@ -44,8 +44,9 @@ def train(
     *,
     bucket: str = "year",
 ) -> TrainedModel:
-    """Feature matrix, fitted artifacts, metrics and feature list under ``out``.
+    """Feature matrix, fitted artifacts, metrics, feature list and a quality report under ``out``.
 
+    The report comes with the write of the cleaned table, which takes no scan of its own.
     The matrix is written first and training reads it back, so the solver's passes scan a table and
     not the window plan.
     """
@@ -53,7 +54,11 @@ def train(
     require_columns(df, panel.roles)
     if panel.grain == "day":
         assert_daily(df, panel)
-    write_panel(df, f"{out}/processed/cleaned_train", panel, bucket=bucket)
+    columns = [*([panel.target] if panel.target else []), *panel.feature_columns(df)]
+    watched, seen = observed(df, panel, columns)
+    write_panel(watched, f"{out}/processed/cleaned_train", panel, bucket=bucket)
+    quality = observed_report(spark, seen, columns)
+    quality.coalesce(1).write.mode("overwrite").json(f"{out}/artifacts/metadata/quality")
     cleaned = read_written(spark, f"{out}/processed/cleaned_train")
     matrix, fitted = FeatureEstimator(panel, features).fit_transform(cleaned)
     write_panel(matrix, f"{out}/processed/feature_matrix", panel, bucket=bucket)

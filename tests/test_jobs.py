@@ -289,3 +289,11 @@ def test_path_equals_single_fits(spark):
         assert np.allclose(np.array(fit.weights) * x.std(axis=0), coordinate_descent(x, y, alpha, 0.7, 20_000), atol=1e-6)
         assert rmse == pytest.approx(np.sqrt(((y - fit.intercept - x @ fit.weights) ** 2).mean()))
     assert md.elastic_net_path(m, [0.3], 0.7)[0][0].weights == pytest.approx(md.coordinate_descent(m, 0.3, 0.7)[0].weights)
+
+
+def test_training_leaves_a_quality_report(spark, trained):
+    out, _, history, _ = trained
+    got = {r.feature: r for r in spark.read.json(f"{out}/artifacts/metadata/quality").collect()}
+    assert set(got) == {"target", "close", "volume"}
+    assert all((r.n_rows, r.n_null, r.n_not_finite) == (history.count(), 0, 0) for r in got.values())
+    assert got["close"].first_date == str(history.agg(F.min("date")).first()[0])

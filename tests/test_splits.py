@@ -59,3 +59,19 @@ def test_cutoff_is_pushed_down(rows, tmp_path, spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(date,2020-01-10" in text
     assert plan.agg(F.min("date")).first()[0] == dt.datetime(2020, 1, 10)
+
+
+def test_days_with_times_of_day(rows):
+    """Keys of a daily panel have their own times of day; a fold ends with its last day, not at midnight."""
+    days_ = [(d, k) for d in range(20) for k in range(3)]
+    df = rows("i int, symbol int", days_).select(
+        (F.date_add(F.lit("2020-01-01").cast("date"), F.col("i")).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("symbol") * 7)).alias("date"),
+        F.col("symbol").cast("string").alias("symbol"),
+    )
+    folds = sp.walk_forward_folds(df, PANEL, SplitSpec(n_splits=2, test_size=5, gap=2))
+    assert [(f.train_end_rank, f.valid_start_rank, f.valid_end_rank) for f in folds] == [(8, 11, 15), (13, 16, 20)]
+    got = sp.assign_folds(df, PANEL, folds).groupBy("fold_id", "role").count().collect()
+    assert {(r.fold_id, r.role): r["count"] for r in got} == {(0, "train"): 24, (0, "valid"): 15, (1, "train"): 39, (1, "valid"): 15}
+    for fold in folds:
+        assert sp.fold_filter(df, PANEL, fold, "train").count() == 3 * fold.train_end_rank
+        assert sp.fold_filter(df, PANEL, fold, "valid").count() == 15
