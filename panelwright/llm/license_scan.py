@@ -4,8 +4,9 @@ A rule is a regular expression with a keyword, a hint (a literal part of its mat
 priority. The rules are made from a table of licenses and a table of the phrases in which their names
 occur; a whole name is also a rule alone, as in a heading, and the bodies of common licenses have rules
 of their own. White space, line ends and the comment marks after them count as one space. The text is
-searched in tiles of ``TILE`` characters with ``REACH`` more behind them, only if they hold a keyword, and
-by the rules whose keyword and hint they hold only. Of overlapping detections the one that contains the
+searched in tiles of ``TILE`` characters with ``REACH`` more behind them, more than the longest match has,
+only if they hold a keyword, and by the rules whose keyword and hint they hold only. A rule is detected at every
+character where it matches, so that tiles make no difference. Of overlapping detections the one that contains the
 other wins if its priority is not lower; of equal intervals the earlier rule wins. Places are characters
 of the text with its white space collapsed. Besides the rules three base phrases are found as consecutive
 words anywhere in the text.
@@ -36,12 +37,12 @@ LICENSES = (
     ("apache", r"apache licen[sc]e", r"apache software licen[sc]e", r"apache"),
     ("artistic", r"artistic licen[sc]e", r"perl artistic licen[sc]e"),
     ("boost", r"boost software licen[sc]e", r"bsl"),
-    ("bsd", r"bsd licen[sc]e", r"(?:new|modified|simplified|revised) bsd licen[sc]e", r"bsd \d[ -]clause(?: \W?\w+\W?)?(?: or \W?\w+\W?)? licen[sc]e", r"bsd"),
+    ("bsd", r"bsd licen[sc]e", r"(?:new|modified|simplified|revised) bsd licen[sc]e", r"bsd \d[ -]clause(?: \W?\w{1,20}\W?)?(?: or \W?\w{1,20}\W?)? licen[sc]e", r"bsd"),
     ("cc-by", r"creative commons attribution", r"cc[ -]by"),
     ("cc-by-nc", r"creative commons attribution[ -]non-?commercial", r"cc[ -]by-nc"),
-    ("cc-by-nc-nd", r"creative commons attribution[ -]non-?commercial[ -]no ?deriv\w*", r"cc[ -]by-nc-nd"),
+    ("cc-by-nc-nd", r"creative commons attribution[ -]non-?commercial[ -]no ?deriv\w{0,12}", r"cc[ -]by-nc-nd"),
     ("cc-by-nc-sa", r"creative commons attribution[ -]non-?commercial[ -]share-? ?alike", r"cc[ -]by-nc-sa"),
-    ("cc-by-nd", r"creative commons attribution[ -]no ?deriv\w*", r"cc[ -]by-nd"),
+    ("cc-by-nd", r"creative commons attribution[ -]no ?deriv\w{0,12}", r"cc[ -]by-nd"),
     ("cc-by-sa", r"creative commons attribution[ -]share-? ?alike", r"cc[ -]by-sa"),
     ("cc0", r"creative commons zero", r"cc0"),
     ("cddl", r"common development and distribution licen[sc]e", r"cddl"),
@@ -57,19 +58,19 @@ LICENSES = (
     ("ofl", r"sil open font licen[sc]e", r"ofl"),
     ("python", r"python software foundation licen[sc]e", r"psf licen[sc]e"),
     ("unlicense", r"unlicen[sc]e", r"the unlicen[sc]e"),
-    ("wtfpl", r"do what the f\w+ you want to public licen[sc]e", r"wtfpl"),
+    ("wtfpl", r"do what the f(?:uck|[\w*]{1,20}) you want to public licen[sc]e", r"wtfpl"),
     ("zlib", r"zlib(?:/libpng)? licen[sc]e", r"zlib"),
 )
 #: Keyword, phrase and weight; {} is the name. Later phrases have lower priority.
 PHRASES = (
-    ("spdx", r"spdx-licen[sc]e-identifier: *{}", 1.0),
+    ("spdx", r"spdx-licen[sc]e-identifier: ?{}", 1.0),
     ("licen", r"licen[sc]ed (?:under|by|with) (?:the )?(?:terms of )?(?:the )?{}", 0.95),
     ("releas", r"released (?:under|by|with) (?:the )?(?:terms of )?(?:the )?{}", 0.95),
     ("distribut", r"(?:re)?distributed (?:under|by|with) (?:the )?(?:terms of )?(?:the )?{}", 0.95),
     ("available", r"(?:made )?available under (?:the )?(?:terms of )?(?:the )?{}", 0.9),
-    ("licen", r"licen[sc]e *[:=] *(?:the )?{}", 0.9),
+    ("licen", r"licen[sc]e ?[:=] ?(?:the )?{}", 0.9),
 )
-VERSION = r"(?:,? (?:version |v)?\d+(?:\.\d+)*)?"
+VERSION = r"(?:,? (?:version |v)?\d{1,8}(?:\.\d{1,8}){0,4})?"
 #: Statements that name no license: keyword, pattern, label, weight.
 STATEMENTS = (
     ("reserved", r"all rights reserved", "reserved", 0.8),
@@ -103,13 +104,13 @@ BODIES = (
 #: White space, with the comment marks that follow a line end.
 _BLANK = r"[\s\x85\xa0\u2000-\u200a\u2028\u2029\u202f\u3000]"
 BLANKS = rf"{_BLANK}++(?:(?<=[\n\r\x85\u2028\u2029]{_BLANK}{{0,40}})[*#/;%>|!-](?:{_BLANK}|[*#/;%>|!-])*+)?"
-#: Characters of a tile, and how many more a match that begins in it may reach.
+#: Characters of a tile, and how many more are searched with it; no rule matches as many.
 TILE, REACH = 500, 400
 
 
 def _hint(name: str) -> str:
     """The longest literal part of a name, which each of its matches holds."""
-    parts = re.split(r"\(\?:.*\)\??|\[[^]]*\]\??|\\\w[*+]?|.\?", name)
+    parts = re.split(r"\(\?:.*\)\??|\[[^]]*\]\??|\\\w(?:[*+]|\{[^}]*\})?|.\?", name)
     return max(parts, key=len)
 
 
@@ -134,33 +135,47 @@ def rules() -> list[tuple[str, str, str, str, int, float]]:
 
 
 def _rule_array() -> Column:
+    """The rules with their patterns as the characters at which they match, all but the first of a tile."""
     names = ("keyword", "hint", "pattern", "label", "priority", "weight")
-    return F.array(*(F.struct(F.lit(i).alias("place"), *(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for i, r in enumerate(rules())))
-
-
-def _detections(tile: Column, rule: Column) -> Column:
-    """All matches of a rule that begin in a tile, with the characters of the text they start and end at."""
-    text, before = tile["text"], tile["before"]
-    matches = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    kind = "struct<at:int,found:array<struct<begin:int,end:int>>>"
-    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("found")).cast(kind)
-
-    def step(state: Column, match: Column) -> Column:
-        begin = F.position(match, text, state["at"])
-        end = begin + F.length(match)
-        place = F.struct(begin.alias("begin"), end.alias("end"))
-        return F.struct(end.alias("at"), F.array_append(state["found"], place).alias("found")).cast(kind)
-
-    found = F.aggregate(matches, empty, step)["found"]
-    found = F.filter(found, lambda f: (f["begin"] > before) & (f["begin"] <= before + F.lit(TILE)))
-    shift = tile["place"] * F.lit(TILE) - before
-    return F.transform(
-        found,
-        lambda f: F.struct(
-            (f["begin"] + shift).alias("begin"), (f["end"] + shift).alias("end"), rule["place"].alias("place"),
-            rule["priority"].alias("priority"), rule["label"].alias("label"), rule["weight"].alias("weight"),
-        ),
-    )
+    made = ((i, (k, h, rf"(?s:(?<=.))(?=({p}))", *rest)) for i, (k, h, p, *rest) in enumerate(rules()))
+    return F.array(*(F.struct(F.lit(i).alias("place"), *(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for i, r in made))
+
+
+def _starts(pieces: Column) -> Column:
+    """Characters at which the pieces but the first begin, counted from 1."""
+    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(state: Column, piece: Column) -> Column:
+        at = state["at"] + F.length(piece)
+        return F.struct(at.alias("at"), F.array_append(state["starts"], at).alias("starts"))
+
+    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), empty, step)["starts"]
+
+
+def _detections(tile: Column, due: Column) -> Column:
+    """All matches of the rules that begin in a tile, with the characters of the text they start and end at.
+
+    A tile is cut before every character at which a rule matches, so that the lengths of the parts are the places.
+    """
+    text = tile["text"]
+    cut = F.transform(due, lambda r: F.struct(r.alias("rule"), F.split(text, r["pattern"], -1).alias("pieces")))
+    hits = F.filter(cut, lambda h: F.size(h["pieces"]) > 1)
+    # The first character of a tile is the one before it.
+    shift = tile["place"] * F.lit(TILE) - 1
+
+    def placed(hit: Column) -> Column:
+        rule = hit["rule"]
+        matches = F.regexp_extract_all(text, rule["pattern"], F.lit(1))
+        found = F.zip_with(_starts(hit["pieces"]), matches, lambda at, m: F.struct(at.alias("at"), F.length(m).alias("n")))
+        return F.transform(
+            F.filter(found, lambda f: f["at"] <= TILE + 1),
+            lambda f: F.struct(
+                (f["at"] + shift).alias("begin"), (f["at"] + f["n"] + shift).alias("end"), rule["place"].alias("place"),
+                rule["priority"].alias("priority"), rule["label"].alias("label"), rule["weight"].alias("weight"),
+            ),
+        )
+
+    return F.flatten(F.transform(hits, placed))
 
 
 def _kept(detections: Column) -> Column:
@@ -202,17 +217,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.withColumn("pieces", F.regexp_extract_all(flat, F.lit(f"(?s).{{1,{TILE}}}"), F.lit(0)))
 
     def tile(piece: Column, i: Column) -> Column:
-        # One character before the tile tells whether a word begins there.
-        before = F.when(i > 0, F.right(F.get("pieces", i - 1), F.lit(1))).otherwise("")
+        # One character before the tile tells whether a word begins there; before the text it is a space.
+        before = F.when(i > 0, F.right(F.get("pieces", i - 1), F.lit(1))).otherwise(" ")
         after = F.coalesce(F.left(F.get("pieces", i + 1), F.lit(REACH)), F.lit(""))
-        return F.struct(F.concat(before, piece, after).alias("text"), F.length(before).alias("before"), i.alias("place"))
+        return F.struct(F.concat(before, piece, after).alias("text"), i.alias("place"))
 
     rows = rows.withColumn("tiles", F.filter(F.transform("pieces", tile), lambda t: t["text"].rlike(gate)))
     rule_array = _rule_array()
 
     def of_tile(t: Column) -> Column:
         due = F.filter(rule_array, lambda r: F.contains(t["text"], r["keyword"]) & F.contains(t["text"], r["hint"]))
-        return F.flatten(F.transform(due, lambda r: _detections(t, r)))
+        return _detections(t, due)
 
     kind = "array<struct<begin:int,end:int,place:int,priority:int,label:string,weight:double>>"
     found = F.coalesce(F.flatten(F.transform("tiles", of_tile)), F.array().cast(kind)).cast(kind)

@@ -3,10 +3,13 @@
 import collections
 import hashlib
 import math
+import random
 import re
+from re import _parser as sre_parse
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -326,3 +329,51 @@ def test_license_containment(spark):
     found = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert [d.label for d in found.detections] == ["cc-by-nc"] and found.labels == "cc-by-nc"
     assert len(license_scan.rules()) > 200
+
+
+def _by_hand(text):
+    """Detections with Python's patterns over the whole text: every character at which a rule matches."""
+    flat = regex.sub(license_scan.BLANKS, " ", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    found = [
+        (m.start(1) + 1, m.end(1) + 1, i, priority, label, weight)
+        for i, (keyword, hint, pattern, label, priority, weight) in enumerate(license_scan.rules())
+        for m in re.finditer(f"(?=({pattern}))", flat, re.ASCII)
+    ]
+
+    def beaten(d, o):
+        if not (o[0] <= d[0] and o[1] >= d[1]):
+            return False
+        return o[2] < d[2] if o[:2] == d[:2] else o[3] >= d[3]
+
+    return sorted(d for d in found if not any(beaten(d, o) for o in found))
+
+
+def test_license_places(spark):
+    """Names inside longer words, in runs, over line ends and at the borders of tiles."""
+    rng = random.Random(7)
+    parts = [
+        "mit license", "permit license", "xmit license", "licensed under the", "license: ", "released under ", "\n// ", "  ",
+        "apache license, version 2.0", "gnu general public license v3", "creative commons attribution no derivatives", "cc by-nc-sa 4.0",
+        "spdx-license-identifier: ", "gpl", "bsd 3-clause license", "ALL RIGHTS RESERVED", "copyright (c) 2021", "\U0001f600",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy", "redistributed under", "available under the terms of the ",
+        "version 1." + "2." * 40, "9" * 30, "do what the f*** you want to public license",
+    ]
+    texts = ["permit license, then mit license", "", None]
+    for i in range(60):
+        text = "".join(rng.choice(parts) + rng.choice((" ", ", ", "", "\n", " of ")) for _ in range(rng.randrange(1, 40)))
+        texts.append("x" * rng.randrange(480, 520) * (i % 2) + rng.choice(("", " ")) + text)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(rows).collect()}
+    for i, text in enumerate(texts):
+        want = _by_hand(text or "")
+        assert sorted(tuple(d) for d in got[i].detections) == want, text
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert got[i].labels == ",".join(sorted(base | {d[4] for d in want}))
+        left = math.prod([1 - d[5] for d in want] + [0.3 for _ in base])
+        assert got[i].score == pytest.approx(1 - left, abs=1e-12)
+
+
+def test_license_matches_are_bounded():
+    """No rule can match more than what is searched behind a tile."""
+    for _, _, pattern, *_ in license_scan.rules():
+        assert sre_parse.parse(pattern).getwidth()[1] < license_scan.REACH, pattern
