@@ -719,6 +719,9 @@ UNION ALL SELECT '(intercept)' AS feature, {r('my - w * mx', 6, 'weight')} FROM
         f"WITH RECURSIVE {fitted}, {late} SELECT date, symbol, {r('forecast', 6, 'prediction')} "
         f"FROM f {window.format('f')}"
     )
+    sql["ml_pipeline_forecast"] = (
+        f"WITH RECURSIVE {fitted}, {late} SELECT date, symbol, {r('forecast', 6, 'prediction')} FROM f"
+    )
     sql["payload_forecast"] = sql["score_job"]
     whole = (
         f"{winsorized('supplier', WINSOR, 'old_b')}, {history('supplier')}, "

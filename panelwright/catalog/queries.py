@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,7 @@ from panelwright.operators import quality as dq
 from panelwright.operators import recurrences as rec
 from panelwright.operators import splits as sp
 from panelwright.plans import jobs
+from panelwright.plans.stages import PanelElasticNet, PanelFeatures
 from panelwright.session import materialize, shared_folder
 from panelwright.sources.artifacts import load_artifacts
 from panelwright.sources.readers import explode_payloads, load_panel
@@ -602,6 +604,17 @@ def score_job_full_history(spark, sf):
     return rounded(jobs.score(holdout, f"{out}/artifacts", ServingSpec(history="full")), 6)
 
 
+def ml_pipeline_forecast(spark, sf):
+    """Features and elastic net as stages of one pipeline: fitted on history, saved, loaded, applied to the holdout."""
+    history, holdout = _history_and_holdout(spark, sf)
+    out = _scratch(spark, "pipeline")
+    net = PanelElasticNet(labelCol=SUPPLIER.target, alpha=LIGHT.params["alpha"], l1Ratio=LIGHT.params["l1_ratio"])
+    fitted = Pipeline(stages=[PanelFeatures(labelCol=SUPPLIER.target, featureCols=BASE), net]).fit(history)
+    fitted.write().overwrite().save(out)
+    scored = PipelineModel.load(out).transform(holdout)
+    return rounded(scored.select("date", "symbol", "prediction"), 6)
+
+
 def payload_forecast(spark, sf):
     """The holdout as one JSON record for each symbol, through to the forecasts of the trailing window."""
     history, holdout = _history_and_holdout(spark, sf)
@@ -769,6 +782,7 @@ def all_queries() -> dict[str, Query]:
         backtest_job,
         score_job,
         score_job_full_history,
+        ml_pipeline_forecast,
         payload_forecast,
         streaming_scores,
         walk_forward_job,

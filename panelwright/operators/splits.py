@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -64,17 +66,18 @@ def date_ranks(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def walk_forward_folds(df: DataFrame, spec: PanelSpec, split: SplitSpec) -> list[Fold]:
     """Fold boundaries as dates. Only the boundary dates reach the driver."""
-    ranks, at = _boundary_dates(df, spec, split)
+    ranks, at = _boundary_dates(df, spec, lambda n: fold_ranks(n, split))
     return [Fold(fold, *r, *[at[x] for x in r]) for fold, r in enumerate(ranks)]
 
 
 def _boundary_dates(
-    df: DataFrame, spec: PanelSpec, split: SplitSpec
-) -> tuple[list[tuple[int, int, int, int]], dict[int, str]]:
+    df: DataFrame, spec: PanelSpec, ranks_of: Callable[[int], list[tuple[int, ...]]]
+) -> tuple[list[tuple[int, ...]], dict[int, str]]:
+    """The ranks that ``ranks_of`` wants of so many dates, and the dates at these ranks."""
     if spec.grain == "day":
         ranked = date_ranks(df, spec).persist()
         try:
-            ranks = fold_ranks(ranked.count(), split)
+            ranks = ranks_of(ranked.count())
             wanted = {r for fold in ranks for r in fold}
             found = ranked.where(F.col("rank").isin(*wanted)).select(
                 "rank", F.col(spec.date).cast("string").alias("date")
@@ -90,7 +93,7 @@ def _boundary_dates(
         "instants",
     )
     summaries = summarize(instants, ["at"])
-    ranks = fold_ranks(summaries["at"].values, split)
+    ranks = ranks_of(summaries["at"].values)
     wanted = sorted({r - 1 for fold in ranks for r in fold})
     values = order_statistics(instants, {"at": wanted}, summaries)
     rows = df.sparkSession.createDataFrame(
@@ -144,6 +147,20 @@ def assign_folds(df: DataFrame, spec: PanelSpec, folds: list[Fold]) -> DataFrame
     return df.select("*", F.inline(kept))
 
 
+def block_folds(df: DataFrame, spec: PanelSpec, n: int, name: str = "fold") -> DataFrame:
+    """Add ``name``, the number from 0 of one of ``n`` runs of consecutive dates of about equal length, as the fold
+    column of a cross-validator. Rows without a date are in fold 0."""
+
+    def last_ranks(dates: int) -> list[tuple[int, ...]]:
+        if not 2 <= n <= dates:
+            raise ValueError(f"{n} folds need 2 folds or more and a date in each; there are {dates} dates")
+        return [(dates * i // n,) for i in range(1, n)]
+
+    ranks, at = _boundary_dates(df, spec, last_ranks)
+    later = [F.when(~_upto(df, spec, at[r]), 1).otherwise(0) for (r,) in ranks]
+    return df.select("*", reduce(lambda a, b: a + b, later).cast("int").alias(name))
+
+
 def folds_table(df: DataFrame, spec: PanelSpec, folds: list[Fold]) -> DataFrame:
     """The folds as a DataFrame with dates in the panel's own type."""
     kind = df.schema[spec.date].dataType

@@ -25,11 +25,8 @@ class Artifacts:
         return predict(self.pipeline, df)
 
 
-def save_artifacts(
-    spark: SparkSession, path: str, features: FeatureModel, pipeline: PipelineModel | LinearFit | BoostedFit
-) -> None:
-    """Feature statistics and the model: a linear fit as a table of weights, boosted trees as one line of
-    JSON, others as Spark writes them."""
+def save_fit(spark: SparkSession, path: str, pipeline: PipelineModel | LinearFit | BoostedFit) -> None:
+    """A linear fit as a table of weights, boosted trees as one line of JSON, others as Spark writes them."""
     rows: list[tuple[int, str, float, float | None]] = []
     if isinstance(pipeline, LinearFit):
         fitted = zip(pipeline.features, pipeline.weights, pipeline.spreads)
@@ -40,19 +37,28 @@ def save_artifacts(
     spark.createDataFrame(trees, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/trees")
     weights = spark.createDataFrame(rows, "place long, feature string, weight double, spread double")
     weights.coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+
+
+def load_fit(spark: SparkSession, path: str) -> PipelineModel | LinearFit | BoostedFit:
+    rows = spark.read.parquet(f"{path}/weights").orderBy("place").collect()
+    if not rows:
+        trees = spark.read.text(f"{path}/trees", wholetext=True).first()
+        if trees is not None and trees[0].strip():
+            return BoostedFit.from_json(trees[0])
+        return PipelineModel.load(f"{path}/model")
+    names, weights, spreads = zip(*((r.feature, r.weight, r.spread) for r in rows[1:])) if rows[1:] else ((), (), ())
+    return LinearFit(names, weights, spreads, rows[0].weight)
+
+
+def save_artifacts(
+    spark: SparkSession, path: str, features: FeatureModel, pipeline: PipelineModel | LinearFit | BoostedFit
+) -> None:
+    save_fit(spark, path, pipeline)
     features.save(spark, f"{path}/features")
 
 
 def load_artifacts(spark: SparkSession, path: str) -> Artifacts:
     try:
-        features = FeatureModel.load(spark, f"{path}/features")
-        rows = spark.read.parquet(f"{path}/weights").orderBy("place").collect()
+        return Artifacts(FeatureModel.load(spark, f"{path}/features"), load_fit(spark, path))
     except AnalysisException as missing:
         raise FileNotFoundError(f"No fitted model under {path}: train first") from missing
-    if not rows:
-        trees = spark.read.text(f"{path}/trees", wholetext=True).first()
-        if trees is not None and trees[0].strip():
-            return Artifacts(features, BoostedFit.from_json(trees[0]))
-        return Artifacts(features, PipelineModel.load(f"{path}/model"))
-    names, weights, spreads = zip(*((r.feature, r.weight, r.spread) for r in rows[1:])) if rows[1:] else ((), (), ())
-    return Artifacts(features, LinearFit(names, weights, spreads, rows[0].weight))
