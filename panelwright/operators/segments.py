@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.session import materialize
-from panelwright.spec import ROWS_PER_BLOCK, PanelSpec
+from panelwright.spec import ROWS_PER_BLOCK, STORED_PART, PanelSpec
 
 PART, HALO = "_part", "_halo"
 _BUCKET, _TARGETS = "_bucket", "_targets"
@@ -73,8 +73,14 @@ def segment(
 ) -> tuple[DataFrame, bool]:
     """Add ``_part``, which together with the key names a bounded group of rows.
 
-    Rows without a key are spread by a hash: they belong together in no operator.
+    Rows without a key are spread by a hash: they belong together in no operator. A bucketed panel brings
+    the column along, so that its windows need no exchange.
     """
+    if STORED_PART in df.columns:
+        others = [c for c in df.columns if c != STORED_PART]
+        if spec.grain == "day":
+            return df.select(*others, F.col(STORED_PART).alias(PART)), False
+        df = df.select(*others)
     keyless = F.xxhash64(*spec.order)
     if spec.grain == "instant":
         lookup = _block_lookup(df, spec, lookback, max(rows_per_block, lookback, 1))

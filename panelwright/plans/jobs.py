@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -15,7 +16,8 @@ from panelwright.operators.features import FeatureEstimator
 from panelwright.operators.models import PREDICTION, TrainedModel, train_model, train_models
 from panelwright.operators.quality import assert_daily, observed, observed_report
 from panelwright.operators.splits import Fold, fold_filter, trailing_window, walk_forward_folds
-from panelwright.session import materialize
+from panelwright.session import materialize, shared_folder
+from panelwright.sources.buckets import write_bucketed
 from panelwright.sources.artifacts import Artifacts, load_artifacts, save_artifacts
 from panelwright.sources.readers import explode_payloads
 from panelwright.sources.writers import read_written, write_metrics, write_panel
@@ -145,15 +147,24 @@ def walk_forward(
     features: FeatureSpec = FeatureSpec(),
     models: Sequence[ModelSpec] = (ModelSpec(),),
     strategy: StrategySpec = StrategySpec(),
+    *,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per fold and model: validation error and strategy metrics.
 
+    With ``buckets`` the panel is exchanged once, into a bucketed table in the shared folder, and the windows of
+    all folds read it as it lies.
+
     The driver loops over folds and models only, like any cross-validator; features are built once per
     fold and shared by its models, and all models of a fold score its rows in one pass, so a parameter
     search costs solver passes, not window shuffles. All curves are one scan, told apart by fold and model.
     """
     panel = dataclasses.replace(panel, features=tuple(panel.feature_columns(df)))
-    clean = materialize(as_panel(df, panel), "panel")
+    clean = as_panel(df, panel)
+    if buckets:
+        clean = write_bucketed(clean, f"{shared_folder(df.sparkSession)}/panel-{uuid.uuid4().hex}", panel, buckets)
+    else:
+        clean = materialize(clean, "panel")
     if panel.grain == "day":
         assert_daily(clean, panel)
     runs, kept = ["fold_id", "model_id"], [*panel.order, panel.key, panel.target]

@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 #: Rows one task is asked to sort and window at most; longer keys are cut into blocks.
 ROWS_PER_BLOCK = 2_000_000
 
+#: Column of a bucketed panel that parts the rows without a key; no feature.
+STORED_PART = "_stored_part"
+
 
 @dataclass(frozen=True)
 class PanelSpec:
@@ -50,7 +53,7 @@ class PanelSpec:
         return [
             f.name
             for f in df.schema.fields
-            if f.name not in self.roles and isinstance(f.dataType, T.NumericType)
+            if f.name not in (*self.roles, STORED_PART) and isinstance(f.dataType, T.NumericType)
         ]
 
 
@@ -161,5 +164,7 @@ def as_panel(df: DataFrame, spec: PanelSpec, carry: Sequence[str] = ()) -> DataF
     require_columns(df, [*spec.roles, *carry])
     types = {f.name: f.dataType for f in df.schema.fields}
     keys = [spec.date, spec.key, *spec.tiebreak, *carry]
+    if STORED_PART in df.columns and spec.grain == "day":
+        keys.append(STORED_PART)
     measures = [*([spec.target] if spec.target else []), *spec.feature_columns(df)]
     return df.select(*keys, *[clean_double(c, types[c]) for c in measures if c not in carry])
