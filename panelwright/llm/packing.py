@@ -4,7 +4,7 @@ Documents are encoded; each is cut into full sequences and a remainder. Remainde
 class, and column generation solves the linear program over cutting patterns: a knapsack dynamic
 program over the classes prices new patterns with the dual values. Patterns are rounded down, what is
 left gets greedy patterns, and the documents, ranked within their class, are dealt to the patterns'
-places. One document in ``FILL_SHARE`` is kept out as filler: these, one after the other, are cut to
+places. One document in ``FILL_SHARE``, and more of the short ones, is kept out as filler: these, one after the other, are cut to
 fill the gaps that classes and patterns leave, then make up full sequences, of which the last is padded.
 
 What reaches the driver is the histogram (``LENGTH / QUANTUM`` classes) and totals. Ranks and stream
@@ -30,8 +30,10 @@ from panelwright.llm.common import batch_of, bucket, text_rows, text_slices, wri
 LENGTH = 4096
 #: Lengths are classed in steps of this many tokens.
 QUANTUM = 16
-#: One document of so many fills gaps.
+#: One document of so many fills gaps, and of short ones as many as hold what rounding loses on the others:
+#: ``LOST`` tokens for each, against about one token for ``TOKEN_CHARACTERS``.
 FILL_SHARE = 16
+LOST, TOKEN_CHARACTERS = 10, 6
 #: Sequences, and positions of the filler stream, in a block of the running totals.
 SEQUENCE_BLOCK, STREAM_BLOCK = 4096, 1 << 16
 
@@ -192,7 +194,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = LENGTH
     if length % quantum:
         raise ValueError("quantum must divide length")
     spark = docs.sparkSession
-    rows = text_rows(docs, id_col, text_col).withColumn("fills", bucket("doc_id", FILL_SHARE) == 0)
+    tokens = F.length("text") / F.lit(TOKEN_CHARACTERS) + 1
+    short = bucket("doc_id", 1024) < 1024 * LOST / (tokens + LOST)
+    few = LOST / (tokens + LOST) > 1 / FILL_SHARE
+    rows = text_rows(docs, id_col, text_col).withColumn("fills", (bucket("doc_id", FILL_SHARE) == 0) | (few & short))
     coded = written(rows.mapInArrow(_code(vocabulary, end_id, length, quantum), _CODED_DDL), "coded")
 
     # Totals of each partition, and where its full sequences and its part of the filler stream begin.

@@ -188,3 +188,14 @@ def test_column_generation_beats_greedy():
     """Greedy filling pairs the halves and wastes room later; the program mixes all three."""
     weights, demand = np.array([52, 76, 128]), np.array([2000, 1000, 1000])
     assert sum(n for _, n in packing.cutting_patterns(weights, demand, 256)) <= 1251
+
+
+@pytest.mark.parametrize("words, texts", [(4, 4000), (24, 1500), (95, 700)])
+def test_packing_of_short_texts(spark, words, texts):
+    """All sequences but the last are full, whatever the length of the texts."""
+    some = "the of and to in is you that it he was for on are as with his they at be this have from or".split()
+    rng = np.random.default_rng(words)
+    rows = [(i, " ".join(rng.choice(some, max(1, rng.poisson(words))))) for i in range(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    used = check_packing(df, 4096, packing.pack(df, WORDS).collect())
+    assert sum(x < 4096 for x in used) <= 1
