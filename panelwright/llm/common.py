@@ -63,13 +63,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
         conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
-def release(df: DataFrame) -> None:
-    """Give back the space of a table that ``written`` returned and nobody reads any more."""
-    files = df.inputFiles()
-    if files:
-        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(os.path.dirname(files[0]))
-
-
 def bucket(id_col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids count as -1 (never a held-out row)."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus)), F.lit(-1))

@@ -144,6 +144,55 @@ def test_katz_keeps_pairs_seen_once(spark):
     assert got[held] == pytest.approx(want, rel=1e-9)
 
 
+def test_katz_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(katz, "GROUP_USES", 2000)
+    monkeypatch.setattr(katz, "GROUP_TOKENS", 8000)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    corpus, answers = katz.count_words(katz.tokenize(df))
+    model = katz.train(corpus, katz.number_chunks(corpus, answers))
+    assert corpus.groups > 2 < model.groups == model.parts.count()
+    # After any history the seen words and the weighted rest add up to 1.
+    p_word = {r.number: r.p_word for r in corpus.words.collect()}
+    n_before = {r.number: r.n for r in corpus.words.collect()} | {katz.BEGIN: corpus.n_starts}
+    pairs, weights = collections.defaultdict(dict), {}
+    for r in model.rows().collect():
+        if r.word == katz.WEIGHT:
+            weights[r.before] = 10**r.value
+        else:
+            pairs[r.before][r.word] = katz.discounted(np.array([r.value]), model.shares)[0]
+    assert weights.keys() == pairs.keys()
+    for before, seen in pairs.items():
+        rest = 1 - sum(p_word[w] for w in seen)
+        assert sum(seen.values()) / n_before[before] + weights[before] * rest == pytest.approx(1, rel=1e-9)
+    want = {r[0]: r[-1] for r in brute_katz([(r.doc_id, r.text) for r in df.collect()])}
+    got = {r.doc_id: r.score for r in katz.score(df).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_katz_spreads_a_hot_history():
+    tokens = np.arange(1, 2001)
+    row = {
+        "tokens": katz._pack(np.arange(2001)), "numbers": np.append(7, tokens).tobytes(), "lengths": [2001],
+        "counts": np.append(1, np.full(2000, 1)).tobytes(),
+    }
+    few = katz._Known(row, 16, 1)
+    assert len({g for g, _, _ in few.segments}) == 16
+    row["numbers"] = np.array([5, *[x for w in range(10, 1010) for x in (w, 5)]]).tobytes()
+    row["counts"] = np.array([10**8, *[x for _ in range(1000) for x in (1, 10**8)]]).tobytes()
+    hot = katz._Known(row, 16, 1)
+    sizes = [sum(hot.before[hot.first[hot.order[a:b]]] == 5) for _, a, b in hot.segments]
+    assert sum(sizes) == 1000 and max(sizes) < 120
+
+
+@pytest.mark.parametrize("high", [1, 255, 256, 2**40, 2**62])
+def test_squeezed_columns_open_again(high):
+    rng = np.random.default_rng(high)
+    for n in (0, 1, 1000):
+        columns = [rng.integers(0, high, n), np.zeros(n, np.int64)]
+        for x, y in zip(columns, katz._opened(katz._squeeze(*columns)), strict=True):
+            assert (x == y).all()
+
+
 def test_katz_without_training(spark):
     docs = spark.createDataFrame([(4, "a b")], "doc_id long, text string")
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
