@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import batch_of, bucket, mix, spaced_words, text_rows, text_slices, word_codes, written
+from panelwright.llm.common import batch_of, bucket, mix, release, spaced_words, text_rows, text_slices, word_codes, written
 
 FOLDS, HELD_OUT = 5, 1
 GOOD_TURING, CUTOFF, LEAST = 5, 1, 0.1
@@ -81,28 +81,21 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = np.zeros(bounds[-1], np.uint32)
             inner = np.ones(len(tokens), bool)
             inner[bounds[1:] - 1] = False
-            distinct, places = np.unique(word_codes(pieces), return_inverse=True)
-            tokens[inner] = places + 1
-            words = np.append(np.uint64(END), distinct)
+            distinct, places, uses = np.unique(word_codes(pieces), return_inverse=True, return_counts=True)
+            # The most frequent words first, so that places are small numbers.
+            order = np.argsort(-uses, kind="stable")
+            ranks = np.empty(len(order), np.int64)
+            ranks[order] = np.arange(len(order))
+            tokens[inner] = ranks[places] + 1
+            words = np.append(np.uint64(END), distinct[order])
             row = (
                 chunk, batch.column("doc_id").slice(at, n).to_pylist(), batch.column("held_out").slice(at, n).to_pylist(),
-                np.diff(bounds).tolist(), words.tobytes(), _pack(tokens),
+                np.diff(bounds).tolist(), words.tobytes(), _squeeze(tokens),
             )
             yield batch_of(_CHUNK, {name: [x] for name, x in zip(_CHUNK.names, row, strict=True)})
             chunk, at = chunk + 1, at + n
 
 
-def _pack(places: np.ndarray) -> bytes:
-    """Three bytes for each place within a chunk."""
-    return places.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // 3, 4), np.uint8)
-    wide[:, :3] = np.frombuffer(packed, np.uint8).reshape(-1, 3)
-    return wide.view("<u4").ravel().astype(np.int64)
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(len(batch)):
@@ -164,41 +157,40 @@ def _uses(groups: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            words, tokens = np.frombuffer(row["words"], np.int64), _unpack(row["tokens"])
+            words, tokens = np.frombuffer(row["words"], np.int64), _opened(row["tokens"])[0]
             train = np.repeat(~np.array(row["held_out"], bool), row["lengths"])
             n = np.bincount(tokens[train], minlength=len(words))
-            order, segments = _segments(_word_groups(words, groups))
-            words, n = words[order].view(np.uint64), n[order]
-            yield _notes(row["chunk"], segments, [_squeeze(words[a:b], n[a:b]) for _, a, b in segments])
+            places, segments = _segments(_word_groups(words, groups))
+            words, n = words[places].view(np.uint64), n[places]
+            yield _notes(row["chunk"], segments, [_squeeze(_steps(places[a:b]), words[a:b], n[a:b]) for _, a, b in segments])
 
     return run
 
 
-_COUNTED = pa.schema([("chunk", pa.int64()), ("group", pa.int64()), ("code", pa.int64()), ("number", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
-_COUNTED_DDL = "chunk long, group long, code long, number long, n long, packed binary"
+_COUNTED = pa.schema([("chunk", pa.int64()), ("code", pa.int64()), ("number", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
+_COUNTED_DDL = "chunk long, code long, number long, n long, packed binary"
 
 
 def _count_group(groups: int):
     """All uses of the words of one group: a row for each word of the training documents, and for each
-    chunk the numbers (0: unknown) and counts of its words in one binary."""
+    chunk the places, numbers and counts (0: unknown) of its words in one binary."""
 
     def run(key: tuple, uses: pa.Table) -> pa.Table:
         group = key[0].as_py()
         asked = [_opened(x) for x in uses.column("packed").to_pylist()]
-        ends = np.cumsum([len(x) for x, _ in asked])
-        words, inverse = np.unique(np.concatenate([x for x, _ in asked]), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([n for _, n in asked]), minlength=len(words)).astype(np.int64)
+        ends = np.cumsum([len(x) for x, _, _ in asked])
+        words, inverse = np.unique(np.concatenate([x for _, x, _ in asked]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([n for _, _, n in asked]), minlength=len(words)).astype(np.int64)
         order = np.lexsort((words, -total))
         number = np.empty(len(words), np.int64)
         number[order] = np.arange(len(words)) * groups + group + BEGIN + 1
         known = total > 0
         number[~known] = 0
-        answers = [_squeeze(number[x], total[x]) for x in np.split(inverse, ends[:-1])]
+        answers = [_squeeze(steps, number[x], total[x]) for (steps, _, _), x in zip(asked, np.split(inverse, ends[:-1]), strict=True)]
         none, own = int(known.sum()), len(answers)
         return pa.table(
             {
                 "chunk": pa.array([None] * none + uses.column("chunk").to_pylist(), pa.int64()),
-                "group": pa.array([group] * (none + own), pa.int64()),
                 "code": pa.array(words[known].tolist() + [None] * own, pa.int64()),
                 "number": pa.array(number[known].tolist() + [None] * own, pa.int64()),
                 "n": pa.array(total[known].tolist() + [None] * own, pa.int64()),
@@ -210,21 +202,8 @@ def _count_group(groups: int):
     return run
 
 
-_CODED = pa.schema(
-    [
-        ("chunk", pa.int64()),
-        ("doc_ids", pa.list_(pa.int64())),
-        ("held_out", pa.list_(pa.bool_())),
-        ("lengths", pa.list_(pa.int64())),
-        ("tokens", pa.binary()),
-        ("numbers", pa.binary()),
-        ("counts", pa.binary()),
-    ]
-)
-_CODED_DDL = (
-    "chunk long, doc_ids array<long>, held_out array<boolean>, lengths array<long>, tokens binary, "
-    "numbers binary, counts binary"
-)
+_CODED = pa.schema([*(f for f in _CHUNK if f.name != "words"), ("words", pa.binary())])
+_CODED_DDL = "chunk long, doc_ids array<long>, held_out array<boolean>, lengths array<long>, tokens binary, words binary"
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -232,29 +211,24 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
 
 
-def _code(groups: int):
-    """A chunk with the numbers (-1: unknown) and counts of its words."""
-
-    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        row = chunk.to_pylist()[0]
-        told = dict(zip(answers.column("group").to_pylist(), answers.column("packed").to_pylist(), strict=True))
-        words = np.frombuffer(row["words"], np.int64)
-        numbers, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        order, segments = _segments(_word_groups(words, groups))
-        for group, a, b in segments:
-            numbers[order[a:b]], counts[order[a:b]] = _opened(told[group])
-        numbers[counts == 0] = -1
-        row |= {"numbers": numbers.tobytes(), "counts": counts.tobytes()}
-        return pa.Table.from_pylist([{n: row[n] for n in _CODED.names}], _CODED)
-
-    return run
+def _code(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    """A chunk with the numbers and counts (0: unknown) of its words."""
+    row = chunk.to_pylist()[0]
+    numbers, counts = (np.zeros(int(_opened(row["tokens"])[0].max(initial=-1)) + 1, np.int64) for _ in range(2))
+    for packed in answers.column("packed").to_pylist():
+        steps, number, n = _opened(packed)
+        places = np.cumsum(steps)
+        numbers[places], counts[places] = number, n
+    return pa.Table.from_pylist([row | {"words": _squeeze(numbers, counts)}], _CODED)
 
 
 def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """History and word number of every token (-1: unknown), the bounds of the documents, and the count
     of every token's word."""
-    tokens = _unpack(row["tokens"])
-    numbers, counts = (np.frombuffer(row[n], np.int64)[tokens] for n in ("numbers", "counts"))
+    tokens = _opened(row["tokens"])[0]
+    numbers, counts = _opened(row["words"])
+    numbers[counts == 0] = -1
+    numbers, counts = numbers[tokens], counts[tokens]
     bounds = np.append(0, np.cumsum(row["lengths"])).astype(np.int64)
     before = np.empty_like(numbers)
     before[1:] = numbers[:-1]
@@ -487,9 +461,8 @@ def _discounted(count: Column, shares: dict[int, float]) -> Column:
 
 @dataclass(frozen=True)
 class Corpus:
-    """Tokenized documents: ``chunks`` (places), ``words`` (code, number, n, p_word) and totals."""
+    """Counts of the training documents: ``words`` (code, number, n, p_word) and totals."""
 
-    chunks: DataFrame
     words: DataFrame
     #: Groups in which the words were counted.
     groups: int
@@ -526,7 +499,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def count_words(chunks: DataFrame) -> tuple[Corpus, DataFrame]:
     """Counts, numbers and unigram probabilities of the words of all training documents, and what the
-    chunks need to know of them (``chunk, group, packed``)."""
+    chunks need to know of them (``chunk, packed``)."""
     n_uses = chunks.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0))).first()[0]
     groups = int(n_uses // GROUP_USES) + 1
     uses = chunks.mapInArrow(_uses(groups), _NOTE_DDL)
@@ -540,19 +513,19 @@ def count_words(chunks: DataFrame) -> tuple[Corpus, DataFrame]:
     known = words.agg(F.coalesce(F.sum("p_word"), F.lit(0.0))).first()[0]
     log_unknown = float(np.log10(max(1 - known, 1e-300))) if n_words else 0.0
     n_starts = words.filter(F.col("code") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    corpus = Corpus(chunks, words, groups, n_tokens, n_words, n_starts, shares, log_unknown)
-    return corpus, counted.filter("chunk is not null").select("chunk", "group", "packed")
+    corpus = Corpus(words, groups, n_tokens, n_words, n_starts, shares, log_unknown)
+    return corpus, counted.filter("chunk is not null").select("chunk", "packed")
 
 
-def number_chunks(corpus: Corpus, answers: DataFrame) -> DataFrame:
-    """Chunks with the numbers and counts of their words."""
-    coded = corpus.chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_code(corpus.groups), _CODED_DDL)
+def number_chunks(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Chunks with the numbers and counts of their words instead of the words."""
+    coded = chunks.drop("words").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_code, _CODED_DDL)
     return written(coded, "coded")
 
 
 def train(corpus: Corpus, coded: DataFrame) -> Model:
     """The model of all training documents."""
-    tokens = coded.agg(F.coalesce(F.sum(F.length("tokens") / 3), F.lit(0))).first()[0]
+    tokens = coded.agg(F.coalesce(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")), F.lit(0))).first()[0]
     groups = int(tokens // GROUP_TOKENS) + 1
     asked = coded.mapInArrow(_ask_pairs(groups, corpus.n_starts), _NOTE_DDL)
     counted = written(asked.groupBy("group").applyInArrow(_count_pairs, _TOLD_DDL), "pairs")
@@ -571,8 +544,10 @@ def train(corpus: Corpus, coded: DataFrame) -> Model:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
-    corpus, answers = count_words(tokenize(docs, id_col, text_col))
-    coded = number_chunks(corpus, answers)
+    chunks = tokenize(docs, id_col, text_col)
+    corpus, answers = count_words(chunks)
+    coded = number_chunks(chunks, answers)
+    release(chunks)
     model = train(corpus, coded)
     asked = coded.mapInArrow(_ask_weights(corpus.groups), _NOTE_DDL)
     weights = model.weights.withColumn("group", F.pmod(F.col("before") - 1, F.lit(corpus.groups)).cast("long"))

@@ -148,8 +148,9 @@ def test_katz_in_many_groups(spark, monkeypatch):
     monkeypatch.setattr(katz, "GROUP_USES", 2000)
     monkeypatch.setattr(katz, "GROUP_TOKENS", 8000)
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    corpus, answers = katz.count_words(katz.tokenize(df))
-    model = katz.train(corpus, katz.number_chunks(corpus, answers))
+    chunks = katz.tokenize(df)
+    corpus, answers = katz.count_words(chunks)
+    model = katz.train(corpus, katz.number_chunks(chunks, answers))
     assert corpus.groups > 2 < model.groups == model.parts.count()
     # After any history the seen words and the weighted rest add up to 1.
     p_word = {r.number: r.p_word for r in corpus.words.collect()}
@@ -170,15 +171,11 @@ def test_katz_in_many_groups(spark, monkeypatch):
 
 
 def test_katz_spreads_a_hot_history():
-    tokens = np.arange(1, 2001)
-    row = {
-        "tokens": katz._pack(np.arange(2001)), "numbers": np.append(7, tokens).tobytes(), "lengths": [2001],
-        "counts": np.append(1, np.full(2000, 1)).tobytes(),
-    }
-    few = katz._Known(row, 16, 1)
-    assert len({g for g, _, _ in few.segments}) == 16
-    row["numbers"] = np.array([5, *[x for w in range(10, 1010) for x in (w, 5)]]).tobytes()
-    row["counts"] = np.array([10**8, *[x for _ in range(1000) for x in (1, 10**8)]]).tobytes()
+    row = {"tokens": katz._squeeze(np.arange(2001)), "lengths": [2001]}
+    even = katz._Known(row | {"words": katz._squeeze(np.arange(1, 2002), np.ones(2001, np.int64))}, 16, 1)
+    assert len(even.segments) == 16
+    numbers = np.array([5, *[x for w in range(10, 1010) for x in (w, 5)]])
+    row["words"] = katz._squeeze(numbers, np.array([10**8, *[x for _ in range(1000) for x in (1, 10**8)]]))
     hot = katz._Known(row, 16, 1)
     sizes = [sum(hot.before[hot.first[hot.order[a:b]]] == 5) for _, a, b in hot.segments]
     assert sum(sizes) == 1000 and max(sizes) < 120
