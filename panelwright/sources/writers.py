@@ -13,17 +13,18 @@ BUCKET = "date_bucket"
 
 
 def write_panel(
-    df: DataFrame, path: str, panel: PanelSpec, *, bucket: str = "year", mode: str = "overwrite"
+    df: DataFrame, path: str, panel: PanelSpec, *, bucket: str = "year", mode: str = "overwrite", gather: bool = True
 ) -> None:
     """Parquet partitioned by a date bucket, sorted by key and date inside each file.
 
     The rebalance hint gathers a bucket into few files and splits one that is too large, whatever key
-    fills it; unlike a range partitioning it does not compute its input once more for sampling.
+    fills it; unlike a range partitioning it does not compute its input once more for sampling. Without
+    ``gather`` there is no exchange, and each task writes a file for each bucket it has rows of.
     """
     part = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd"}[bucket]
     bucketed = df.select("*", F.date_format(panel.date, part).alias(BUCKET))
     (
-        bucketed.hint("rebalance", BUCKET)
+        (bucketed.hint("rebalance", BUCKET) if gather else bucketed)
         .sortWithinPartitions(BUCKET, panel.key, *panel.order)
         .write.mode(mode)
         .partitionBy(BUCKET)
