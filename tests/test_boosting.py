@@ -134,3 +134,29 @@ def test_boosted_artifacts_roundtrip(spark, tmp_path, walk):
     trained = md.train_model(ModelSpec("lightgbm", {"n_estimators": 2}), matrix, model.fitted_columns, "target")
     save_artifacts(spark, str(tmp_path), model, trained.pipeline)
     assert load_artifacts(spark, str(tmp_path)).pipeline == trained.pipeline
+
+
+@pytest.mark.parametrize("rows", [1, bo.BLOCK_ROWS, 3 * bo.BATCH_ROWS + 5])
+@pytest.mark.parametrize("n_bins", [200, 60_000])
+def test_rows_come_back_from_blocks(rows, n_bins):
+    draw = np.random.default_rng(rows)
+    keys, y, score = np.arange(rows), draw.normal(size=rows), draw.normal(size=rows)
+    bins = draw.integers(0, n_bins, (rows, 3)).astype(np.uint16)
+    stored = bo._in_blocks(keys, y, score, bins)
+    assert len(stored) == -(-rows // bo.BLOCK_ROWS)
+    parts = [stored.slice(i, 2) for i in range(0, len(stored), 2)]
+    found = list(bo._gathered_blocks(iter(parts), 3, n_bins))
+    assert all(len(f[0]) <= bo.BATCH_ROWS for f in found)
+    for place, want in enumerate((keys, y, score, bins.T)):
+        assert np.array_equal(np.concatenate([f[place] for f in found], axis=-1), want)
+
+
+def test_passes_read_blocks(spark, tmp_path, monkeypatch):
+    stored = []
+    plain = bo.materialize
+    monkeypatch.setattr(bo, "materialize", lambda df, label: stored.append(plain(df, label)) or stored[-1])
+    frame = spark.range(0, 20_000, 1, 1).selectExpr("cast(id % 7 as double) a", "cast(id % 5 as double) b", "cast(id % 7 + id % 3 as double) y")
+    fit, error = bo.boost(frame, ["a", "b"], "y", bo.BoostingSpec(n_estimators=12, num_leaves=4))
+    assert [t.count() for t in stored] == [3, 3]
+    scored = bo.predict_boosted(fit, frame).selectExpr("sqrt(avg((y - prediction) * (y - prediction)))").first()[0]
+    assert error == pytest.approx(scored, rel=1e-9)
