@@ -73,14 +73,16 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
             break
         often = often[np.argsort(-counts[often], kind="stable")[:room]]
         chosen = np.sort(ranked[edges[often]])
-        left, right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
-        left[chosen >> np.uint32(16)] = True
-        right[chosen & np.uint32(0xFFFF)] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        rule = np.searchsorted(chosen, pairs[at])
-        rule[rule == len(chosen)] = 0
-        hit = chosen[rule] == pairs[at]
-        at, rule = at[hit], rule[hit]
+        # The rule of a pair, by the numbers of its symbols among the left and the right ones of all rules.
+        a, b = chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)
+        left, right = np.zeros(SYMBOLS, np.int32), np.zeros(SYMBOLS, np.int32)
+        lefts, rights = np.unique(a), np.unique(b)
+        left[lefts], right[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+        rule_of = np.full((len(lefts) + 1) * (len(rights) + 1), -1, np.int16)
+        rule_of[left[a] * (len(rights) + 1) + right[b]] = np.arange(room)
+        rule = rule_of[left[seq[:-1]] * (len(rights) + 1) + right[seq[1:]]]
+        at = np.flatnonzero(rule >= 0)
+        rule = rule[at].astype(np.int64)
         first = np.append(True, np.diff(at) != 1)
         begun = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
         even = (np.arange(len(at)) - begun) % 2 == 0
@@ -91,7 +93,6 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         keep = np.ones(before, bool)
         keep[at + 1] = False
         seq = new[keep]
-        a, b = chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)
         lengths[base + n_rules : base + n_rules + room] = lengths[a] + lengths[b]
         rules.append(np.column_stack((a, b)))
         n_rules += room

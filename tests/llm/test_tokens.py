@@ -199,3 +199,41 @@ def test_packing_of_short_texts(spark, words, texts):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     used = check_packing(df, 4096, packing.pack(df, WORDS).collect())
     assert sum(x < 4096 for x in used) <= 1
+
+
+def _plain_rounds(ids, base):
+    """The grammar by dictionaries: pairs counted, the most frequent ones replaced from the left, round by round."""
+    seq, rules = list(ids), []
+    while len(seq) > 1:
+        counts = collections.Counter(zip(seq, seq[1:]))
+        often = sorted((p for p, n in counts.items() if n >= token_files.MIN_COUNT), key=lambda p: (-counts[p], p))[: token_files.ROUND_RULES]
+        if not often:
+            break
+        number = {p: base + len(rules) + i for i, p in enumerate(sorted(often))}
+        out, i = [], 0
+        while i < len(seq):
+            # Every second of consecutive occurrences is replaced.
+            run = i
+            while run + 1 < len(seq) and (seq[run], seq[run + 1]) in number:
+                run += 1
+            for k in range(i, run, 2):
+                out.append(number[seq[k], seq[k + 1]])
+            if (run - i) % 2 == 0:
+                out.append(seq[run])
+            i = run + 1
+        rules += sorted(often)
+        saved, seq, before = len(seq) - len(out), out, len(seq)
+        if saved < token_files.ROUND_GAIN * before:
+            break
+    return rules, seq
+
+
+@pytest.mark.parametrize("base", [12, 40, 60_000])
+def test_grammar_is_that_of_a_plain_search(base):
+    ids = np.random.default_rng(base).zipf(1.6, 20_000) % min(base, 40)
+    ids = (base - 1 - ids).astype(np.uint16)
+    rules, lengths, symbols = token_files.compress(ids, base)
+    want_rules, want_symbols = _plain_rounds(ids.tolist(), base)
+    assert list(map(tuple, rules.tolist())) == want_rules and symbols.tolist() == want_symbols
+    shard = token_files.Shard(base, rules.tobytes(), lengths.tobytes(), symbols.tobytes())
+    assert shard.read(0, len(ids)).tolist() == ids.tolist()
