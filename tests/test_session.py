@@ -3,7 +3,7 @@
 import pytest
 
 from panelwright.catalog.panels import table
-from panelwright.session import _METHOD_LIMIT, compiled
+from panelwright.session import _METHOD_LIMIT, _SPLIT, compiled, small_splits
 from conftest import SF_DIR
 
 
@@ -23,3 +23,16 @@ def test_reading_a_table_bounds_generated_methods(spark, limit):
 def test_a_limit_of_the_session_stays(spark, limit):
     limit("20000")
     assert compiled(spark).conf.get(_METHOD_LIMIT) == "20000"
+
+
+def test_blocks_of_small_splits_may_overlap(spark):
+    before = spark.conf.get(_SPLIT)
+    first, second = small_splits(spark, 1000), small_splits(spark, 5000)
+    first.__enter__()
+    second.__enter__()
+    # The smaller one holds for both.
+    assert spark.conf.get(_SPLIT) == "1000"
+    first.__exit__(None, None, None)
+    assert spark.conf.get(_SPLIT) == "1000"
+    second.__exit__(None, None, None)
+    assert spark.conf.get(_SPLIT) == before
