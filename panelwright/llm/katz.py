@@ -32,13 +32,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import batch_of, bucket, mix, release, spaced_words, text_rows, text_slices, word_codes, written
+from panelwright.llm.common import batch_of, bucket, mix, release, spaced_words, text_rows, text_slices, trim, word_codes, written
 
 FOLDS, HELD_OUT = 5, 1
 GOOD_TURING, CUTOFF, LEAST = 5, 1, 0.1
@@ -102,6 +103,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
 
 
+def _by_row(run):
+    """``run`` on one row after the other; memory is given back before the next one."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            yield run(row)
+            trim()
+
+    return rows
+
+
 def _squeeze(*columns: np.ndarray) -> bytes:
     """Columns of whole numbers from 0 on, of one length, byte by byte (the lowest of all first), compressed."""
     widths, planes = [], []
@@ -113,19 +125,32 @@ def _squeeze(*columns: np.ndarray) -> bytes:
 
 
 def _opened(packed: bytes) -> list[np.ndarray]:
-    """The columns of :func:`_squeeze`."""
+    """The columns of :func:`_squeeze`, of 32 bits where three bytes hold them."""
     n_columns, n = np.frombuffer(packed, "<i8", 2).tolist()
     widths = np.frombuffer(packed, "<i8", n_columns, 16).tolist()
     body = pa.Codec("zstd").decompress(packed[16 + 8 * n_columns :], max(1, n * sum(widths)), asbytes=True)
     columns, at = [], 0
     for width in widths:
-        wide = np.zeros((n, 8), np.uint8)
+        size = 4 if width < 4 else 8
+        wide = np.zeros((n, size), np.uint8)
         wide[:, :width] = np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T
-        columns.append(wide.view("<i8").ravel())
+        columns.append(wide.view(f"<i{size}").ravel())
         at += n * width
     return columns
 
 
+def _trimmed(run):
+    """``run``, of two arguments, and memory given back after each group or chunk."""
+
+    @wraps(run)
+    def trimmed(one, two):
+        found = run(one, two)
+        trim()
+        return found
+
+    return trimmed
+
+
 def _steps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=0)
 
@@ -155,16 +180,15 @@ def _word_groups(words: np.ndarray, groups: int) -> np.ndarray:
 def _uses(groups: int):
     """Each chunk's words and how often they occur in its training documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            words, tokens = np.frombuffer(row["words"], np.int64), _opened(row["tokens"])[0]
-            train = np.repeat(~np.array(row["held_out"], bool), row["lengths"])
-            n = np.bincount(tokens[train], minlength=len(words))
-            places, segments = _segments(_word_groups(words, groups))
-            words, n = words[places].view(np.uint64), n[places]
-            yield _notes(row["chunk"], segments, [_squeeze(_steps(places[a:b]), words[a:b], n[a:b]) for _, a, b in segments])
+    def run(row: dict) -> pa.RecordBatch:
+        words, tokens = np.frombuffer(row["words"], np.int64), _opened(row["tokens"])[0]
+        train = np.repeat(~np.array(row["held_out"], bool), row["lengths"])
+        n = np.bincount(tokens[train], minlength=len(words))
+        places, segments = _segments(_word_groups(words, groups))
+        words, n = words[places].view(np.uint64), n[places]
+        return _notes(row["chunk"], segments, [_squeeze(_steps(places[a:b]), words[a:b], n[a:b]) for _, a, b in segments])
 
-    return run
+    return _by_row(run)
 
 
 _COUNTED = pa.schema([("chunk", pa.int64()), ("code", pa.int64()), ("number", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
@@ -175,6 +199,7 @@ def _count_group(groups: int):
     """All uses of the words of one group: a row for each word of the training documents, and for each
     chunk the places, numbers and counts (0: unknown) of its words in one binary."""
 
+    @_trimmed
     def run(key: tuple, uses: pa.Table) -> pa.Table:
         group = key[0].as_py()
         asked = [_opened(x) for x in uses.column("packed").to_pylist()]
@@ -211,6 +236,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
 
 
+@_trimmed
 def _code(chunk: pa.Table, answers: pa.Table) -> pa.Table:
     """A chunk with the numbers and counts (0: unknown) of its words."""
     row = chunk.to_pylist()[0]
@@ -239,12 +265,17 @@ def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def _distinct(before: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of one token of each distinct pair, in order of the pairs, and the pair of each token."""
     if max(before.max(initial=0), numbers.max(initial=0)) < 1 << 31:
-        order = np.argsort(before << 32 | numbers, kind="stable")
+        pairs = before.astype(np.int64) << 32
+        pairs |= numbers
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+        new = pairs[1:] != pairs[:-1]
     else:
         order = np.lexsort((numbers, before))
-    a, b = before[order], numbers[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
-    inverse = np.empty(len(a), np.int64)
+        a, b = before[order], numbers[order]
+        new = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new = np.append(True, new) if len(order) else np.zeros(0, bool)
+    inverse = np.empty(len(order), np.int64)
     inverse[order] = np.cumsum(new) - 1
     return order[new], inverse
 
@@ -271,33 +302,35 @@ def _ask_pairs(groups: int, n_starts: int):
     """Each chunk's distinct pairs of known words, with their counts in its training documents, and the
     count of the second word where that is not 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            known = _Known(row, groups, n_starts)
-            train = np.repeat(~np.array(row["held_out"], bool), row["lengths"])[known.at]
-            n = np.bincount(known.pair[train], minlength=len(known.first))
-            one, two = known.before[known.first], known.numbers[known.first]
-            columns = [x[known.order] for x in (one, two, n, np.where(n > 0, known.counts[known.first], 0))]
-            packed = []
-            for _, a, b in known.segments:
-                one, *others = (x[a:b] for x in columns)
-                packed.append(_squeeze(_steps(one), *others))
-            yield _notes(row["chunk"], known.segments, packed)
+    def run(row: dict) -> pa.RecordBatch:
+        known = _Known(row, groups, n_starts)
+        train = np.repeat(~np.array(row["held_out"], bool), row["lengths"])[known.at]
+        n = np.bincount(known.pair[train], minlength=len(known.first))
+        one, two = known.before[known.first], known.numbers[known.first]
+        columns = [x[known.order] for x in (one, two, n, np.where(n > 0, known.counts[known.first], 0))]
+        packed = []
+        for _, a, b in known.segments:
+            one, *others = (x[a:b] for x in columns)
+            packed.append(_squeeze(_steps(one), *others))
+        return _notes(row["chunk"], known.segments, packed)
 
-    return run
+    return _by_row(run)
 
 
 _TOLD = pa.schema([*_NOTE, ("spectrum", pa.list_(pa.int64()))])
 _TOLD_DDL = f"{_NOTE_DDL}, spectrum array<long>"
 
 
+@_trimmed
 def _count_pairs(key: tuple, asked: pa.Table) -> pa.Table:
     """All pairs of one group. A row without a chunk is the group's part of the model: pairs, their counts and
     those of their second words; ``spectrum`` is how many pairs have each low count. The others tell each chunk
     the counts of its pairs (0: not in the model)."""
-    parts = [_opened(x) for x in asked.column("packed").to_pylist()]
+    parts = [_opened(x.as_py()) for x in asked.column("packed")]
+    ends = np.cumsum([len(x[0]) for x in parts])
     before = np.concatenate([np.cumsum(x[0]) for x in parts])
     word, n, n_word = (np.concatenate([x[i] for x in parts]) for i in (1, 2, 3))
+    del parts
     first, pair = _distinct(before, word)
     total = np.bincount(pair, weights=n, minlength=len(first)).astype(np.int64)
     word_total = np.zeros(len(first), np.int64)
@@ -306,7 +339,7 @@ def _count_pairs(key: tuple, asked: pa.Table) -> pa.Table:
     total[total < CUTOFF] = 0
     seen = total > 0
     model = _squeeze(_steps(before[first][seen]), word[first][seen], total[seen], word_total[seen])
-    told = [_squeeze(total[x]) for x in np.split(pair, np.cumsum([len(x[0]) for x in parts])[:-1])]
+    told = [_squeeze(total[x]) for x in np.split(pair, ends[:-1])]
     return pa.table(
         {
             "group": pa.array([key[0].as_py()] * (1 + len(told)), pa.int64()),
@@ -356,16 +389,16 @@ def _histories(row: dict, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _ask_weights(groups: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            known, _, order, segments = _histories(row, groups)
-            yield _notes(row["chunk"], segments, [_squeeze(_steps(known[order[a:b]])) for _, a, b in segments])
+    def run(row: dict) -> pa.RecordBatch:
+        known, _, order, segments = _histories(row, groups)
+        return _notes(row["chunk"], segments, [_squeeze(_steps(known[order[a:b]])) for _, a, b in segments])
 
-    return run
+    return _by_row(run)
 
 
 def _tell_weights(key: tuple, asked: pa.Table, weights: pa.Table) -> pa.Table:
     """The weights of the histories that each chunk asks for; a history of the model has one."""
+    trim()
     before, value = (weights.column(n).to_numpy() for n in ("before", "value"))
     order = np.argsort(before)
     before, value = before[order], value[order]
@@ -395,6 +428,7 @@ def _answer(corpus: Corpus, shares: dict[int, float], pair_groups: int):
     n_tokens, n_words, word_shares, log_unknown = corpus.n_tokens, corpus.n_words, corpus.shares, corpus.log_unknown
     groups, n_starts = corpus.groups, corpus.n_starts
 
+    @_trimmed
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
         told = {(a["weights"], a["group"]): a["packed"] for a in answers.to_pylist()}
