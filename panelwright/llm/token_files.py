@@ -80,19 +80,17 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         left[lefts], right[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
         rule_of = np.full((len(lefts) + 1) * (len(rights) + 1), -1, np.int16)
         rule_of[left[a] * (len(rights) + 1) + right[b]] = np.arange(room)
-        rule = rule_of[left[seq[:-1]] * (len(rights) + 1) + right[seq[1:]]]
+        places = seq.astype(np.intp)
+        rule = rule_of.take(left[places[:-1]] * (len(rights) + 1) + right[places[1:]])
         at = np.flatnonzero(rule >= 0)
-        rule = rule[at].astype(np.int64)
+        # The places at an even distance from the first one of their run.
         first = np.append(True, np.diff(at) != 1)
-        begun = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        even = (np.arange(len(at)) - begun) % 2 == 0
-        at, rule = at[even], rule[even]
+        at = np.compress((np.maximum.accumulate(at * first) ^ at) & 1 == 0, at)
         before = len(seq)
-        new = seq.copy()
-        new[at] = (base + n_rules + rule).astype(np.uint32)
+        seq[at] = base + n_rules + rule[at].astype(np.int64)
         keep = np.ones(before, bool)
         keep[at + 1] = False
-        seq = new[keep]
+        seq = seq.take(np.flatnonzero(keep))
         lengths[base + n_rules : base + n_rules + room] = lengths[a] + lengths[b]
         rules.append(np.column_stack((a, b)))
         n_rules += room
@@ -114,22 +112,27 @@ class Shard:
         #: Expansions of all symbols, one after the other; a rule only uses symbols before it.
         self.flat = np.zeros(int(self.lengths.sum()), np.uint32)
         self.flat[:base] = np.arange(base)
-        for i, (a, b) in enumerate(table.tolist(), base):
-            at, middle = self.starts[i], self.starts[i] + self.lengths[a]
-            self.flat[at:middle] = self.flat[self.starts[a] : self.starts[a] + self.lengths[a]]
-            self.flat[middle : at + self.lengths[i]] = self.flat[self.starts[b] : self.starts[b] + self.lengths[b]]
+        # Rules that only use symbols before the first of them are expanded at once, as those of a round do.
+        newest, done = np.maximum.accumulate(table.max(axis=1, initial=0)), 0
+        while done < len(table):
+            stop = int(np.searchsorted(newest, base + done, "left"))
+            at, end = self.starts[base + done], self.starts[base + stop - 1] + self.lengths[base + stop - 1]
+            self.flat[at:end] = self._expanded(table[done:stop].ravel())
+            done = stop
         self.ends = np.cumsum(self.lengths[self.symbols])
 
+    def _expanded(self, used: np.ndarray) -> np.ndarray:
+        sizes = self.lengths[used]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[used] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
     def read(self, start: int, length: int) -> np.ndarray:
         """The ids from ``start`` on."""
         if length <= 0:
             return np.zeros(0, np.uint32)
         one = int(np.searchsorted(self.ends, start, "right"))
         two = int(np.searchsorted(self.ends, start + length, "left"))
-        used = self.symbols[one : two + 1]
-        sizes = self.lengths[used]
-        ends = np.cumsum(sizes)
-        out = self.flat[np.repeat(self.starts[used] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        out = self._expanded(self.symbols[one : two + 1])
         skip = start - (int(self.ends[one - 1]) if one else 0)
         return out[skip : skip + length]
 
@@ -156,12 +159,18 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             at = 0
             for texts in text_slices(batch.column("text"), ENCODE_BYTES):
                 ids, bounds = tool.encode(texts)
-                for i in range(len(texts)):
-                    own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint16(end_id))
-                    held.append(own)
-                    doc_ids.append(batch.column("doc_id")[at + i].as_py())
-                    lengths.append(len(own))
-                    size += len(own)
+                own, n = batch.column("doc_id").slice(at, len(texts)).to_pylist(), np.diff(bounds) + 1
+                ids, ends = np.insert(ids, bounds[1:], end_id), np.cumsum(n)
+                first = begin = 0
+                while first < len(own):
+                    # The document that fills the shard is its last one.
+                    last = min(int(np.searchsorted(ends, begin + SHARD_IDS - size)) + 1, len(own))
+                    end = int(ends[last - 1])
+                    held.append(ids[begin:end])
+                    doc_ids += own[first:last]
+                    lengths += n[first:last].tolist()
+                    size += end - begin
+                    first, begin = last, end
                     if size >= SHARD_IDS:
                         yield close()
                         shard, done, size = shard + 1, done + size, 0
@@ -178,13 +187,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 def read_documents(shards: DataFrame) -> DataFrame:
     """Documents of the stored shards: ``doc_id``, ``start``, ``n_tokens``, ``ids`` (binary, u32)."""
     schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    return _decoded(shards, schema, lambda ids: ids.astype("<u4").tobytes(), "ids binary")
+    return _decoded(shards, schema, lambda ids: ids.tobytes(), "ids binary")
 
 
 def read_digests(shards: DataFrame) -> DataFrame:
     """As ``read_documents``, with ``ids_crc32`` instead of the ids."""
     schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    return _decoded(shards, schema, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "ids_crc32 long")
+    return _decoded(shards, schema, zlib.crc32, "ids_crc32 long")
 
 
 def _decoded(shards: DataFrame, schema: pa.Schema, last, last_ddl: str) -> DataFrame:
@@ -195,7 +204,8 @@ def _decoded(shards: DataFrame, schema: pa.Schema, last, last_ddl: str) -> DataF
                 shard = Shard(row["base"], row["rules"], row["rule_lengths"], row["symbols"])
                 lengths = np.array(row["doc_lengths"], np.int64)
                 starts = np.cumsum(lengths) - lengths
-                values = [last(shard.read(int(s), int(n))) for s, n in zip(starts, lengths, strict=True)]
+                ids = shard.read(0, row["n_ids"]).astype("<u4")
+                values = [last(ids[s : s + n]) for s, n in zip(starts.tolist(), row["doc_lengths"], strict=True)]
                 out = {"part": [row["part"]] * len(lengths), "doc_id": row["doc_ids"], "start": starts + row["part_start"], "n_tokens": lengths}
                 yield batch_of(schema, out | {schema.names[-1]: values})
 

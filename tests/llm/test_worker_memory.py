@@ -1,4 +1,4 @@
-"""What Python workers keep: no more memory than the work needs."""
+"""What Python workers keep: pieces that are in use, and no more memory than the work needs."""
 
 import tracemalloc
 
@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from panelwright.llm import katz
-from panelwright.llm.common import PieceCache, trim
+from panelwright.llm.common import PieceCache, Pieces, trim
 
 
 def _cache(limit):
@@ -19,6 +19,26 @@ def _cache(limit):
     return PieceCache(encode, np.uint16, limit), asked
 
 
+def test_pieces_in_use_outlive_a_full_cache():
+    cache, asked = _cache(4)
+    cache.packed(["a", "b", "c"])
+    cache.packed(["a", "d", "e"])
+    assert cache.packed(["a", "e"]) == [b"a\0", b"e\0"]
+    assert asked == [["a", "b", "c"], ["d", "e"]]
+    assert len(cache.known) <= 4
+    cache.packed([*"fghijk"])
+    cache.packed([*"lmnopqa"])
+    assert "f" not in cache.known
+
+
+def test_pieces_of_a_slice_are_gathered():
+    lists = pa.array([["x"], ["ab", "", "x"], [], ["abc", "ab"]], pa.list_(pa.string()))
+    ids, bounds = _cache(10)[0].gather(Pieces(lists.slice(1)))
+    assert ids.tolist() == [ord(c) for c in "abxabcab"] and bounds.tolist() == [0, 3, 3, 8]
+    none, bounds = _cache(10)[0].gather(Pieces(pa.array([[], []], pa.list_(pa.string()))))
+    assert len(none) == 0 and bounds.tolist() == [0, 0, 0]
+
+
 def test_trim_empties_the_cache_in_use():
     cache, asked = _cache(10)
     cache.packed(["a"])
