@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 
 from panelwright.operators import boosting as bo
+from panelwright.operators.features import FeatureEstimator
+from panelwright.plans import jobs
 from panelwright.session import at_most
+from panelwright.spec import FeatureSpec, PanelSpec, as_panel
 
 BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
 
@@ -75,3 +78,24 @@ def test_rows_of_other_leaves_are_left_out():
     whole = tree.leaf_of(bins)
     assert np.array_equal(tree.leaf_of(bins, [second]) == second, whole == second)
     assert not (tree.leaf_of(bins, [second]) == first).any()
+
+
+def test_trees_on_a_bucketed_panel_read_no_stored_features(spark, walk, tmp_path, monkeypatch):
+    """The features go from the worker that makes them into sketches and blocks, and the trees are those of a stored matrix."""
+    read, frame = [], type(walk[1])
+    plain = frame.mapInArrow
+
+    def recorded(self, function, schema, *args, **options):
+        read.append(self.columns)
+        return plain(self, function, schema, *args, **options)
+
+    monkeypatch.setattr(frame, "mapInArrow", recorded)
+    panel = PanelSpec(target="target")
+    table = jobs.bucketed(as_panel(walk[1], panel), panel)
+    matrix, model = FeatureEstimator(panel, FeatureSpec(lags=(1,), rolling_windows=(3,))).fit_transform(table)
+    names, spec = model.fitted_columns, bo.BoostingSpec(n_estimators=2, num_leaves=5)
+    fit, error = bo.boost(matrix, names, "target", spec)
+    assert len(read) > 4 and not [columns for columns in read if any("_lag_" in c or "_roll_" in c for c in columns)]
+    matrix.write.parquet(str(tmp_path / "matrix"))
+    again, same_error = bo.boost(spark.read.parquet(str(tmp_path / "matrix")), names, "target", spec)
+    assert fit == again and error == pytest.approx(same_error, rel=1e-9)
